@@ -36,7 +36,7 @@ from .common import buckets_for, kept, table, text_bytes
 from .tokens import Words, chunks
 
 WORD_SHARE, PAIR_SHARE = 1e-6, 5e-7
-LOW, HIGH, NOISE = 5.0, 5.0, 6.0
+LOW, HIGH, NOISE = 11.0, 3.2, 6.0
 _HELD = 3_000_000
 _SUMS = "bucket int, n int, keys binary, counts binary"
 
