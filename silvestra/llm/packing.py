@@ -51,7 +51,7 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last[words.bounds[1:][filled] - 1] = True
         stops = np.flatnonzero(last) + 1
         lengths = np.diff(np.r_[0, stops]).astype(np.uint32)
-        ends = np.searchsorted(stops, words.bounds)
+        ends = np.searchsorted(stops, words.bounds, "right")
         rows = np.flatnonzero(filled)
         tie = np.add.reduceat(words.hash, words.bounds[:-1][filled]).view(np.int64)
         counts = np.diff(words.bounds)[rows]
