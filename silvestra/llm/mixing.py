@@ -69,8 +69,12 @@ def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(plan, F.col("source").eqNullSafe(F.col("src"))).withColumn("copies", F.col("epochs") + chosen.cast("long")).where("copies > 0")
 
 
-def _rows(docs: DataFrame, weight: Column, seed: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _tokens().alias("n_tokens"), _key(seed, weight).alias("key")).where("n_tokens > 0")
+def _narrow(docs: DataFrame, weight: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _tokens().alias("n_tokens"), weight.cast("double").alias("weight"))
+
+
+def _rows(narrow: DataFrame, seed: int) -> DataFrame:
+    rows = narrow.where("n_tokens > 0").select("doc_id", "source", "n_tokens", _key(seed, F.col("weight")).alias("key"))
     return rows.withColumn("bucket", _bucket(F.col("key")))
 
 
@@ -80,13 +84,17 @@ def mixture(docs: DataFrame, weight: Column, targets: dict[str, float] | None =
     ``targets`` gives each source's weight, or where None each weighs its tokens to the power
     ``POWER``; ``budget`` is in multiples of the corpus's tokens.
     """
-    rows = kept(_rows(docs, weight, seed))
+    return _mixture(_narrow(docs, weight), targets, budget, seed)
+
+
+def _mixture(narrow: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, seed: int = SEED) -> DataFrame:
+    rows = kept(_rows(narrow, seed))
     return _copies(rows, _plan(rows, targets, budget)).select("doc_id", "source", "n_tokens", "copies")
 
 
 def mixed(docs: DataFrame, weight: Column, targets: dict[str, float] | None = None, budget: float = 1.0, seed: int = SEED) -> DataFrame:
     """The rows themselves, each as often as it is taken; the text is never exchanged."""
-    plan = kept(_plan(kept(_rows(docs, weight, seed)), targets, budget))
+    plan = kept(_plan(kept(_rows(_narrow(docs, weight), seed)), targets, budget))
     kinds = {f.name: f for f in docs.schema.fields}
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in kinds]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", _tokens().alias("n_tokens"), _key(seed, weight).alias("key")).where("n_tokens > 0")
     taken = _copies(row.withColumn("bucket", _bucket(F.col("key"))), plan)
@@ -94,15 +102,17 @@ def mixed(docs: DataFrame, weight: Column, targets: dict[str, float] | None = No
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, source and the quality label's weight: 2 for good, 0.5 for bad, 1 where unknown."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("quality"))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
+    """doc_id, source, n_tokens and the quality label's weight: 2 for good, 0.5 for bad, 1 where unknown.
+
+    Texts are counted before the join, so that it exchanges numbers alone.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("quality").alias("quality"))
     weight = F.when(F.col("quality") > 0, 2.0).when(F.col("quality") <= 0, 0.5).otherwise(1.0)
-    return narrow.join(known, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "source", weight.alias("weight"))
+    return _narrow(docs, F.lit(1.0)).join(known, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "source", "n_tokens", weight.alias("weight"))
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
-    return mixture(with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), F.col("weight"))
+    return _mixture(with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 OP5_SQL = f"""
