@@ -19,7 +19,7 @@ texts vary more by chance. Documents outside are rejected.
 
 Defined results: null or empty texts have no perplexity and are kept (other rules judge them); a
 null lang is a language of its own; rows that repeat count as often as they occur; without any word
-nothing is rejected. Extra columns of any name are carried (``within_bands``) or ignored.
+nothing is rejected. Extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -274,7 +274,7 @@ def judged(docs: DataFrame, low: float = LOW, high: float = HIGH, noise: float =
     """doc_id, lang, n_tokens, perplexity, keep of every row."""
     scores = kept(scored(docs, model_of(docs)))
     limits = kept(bands(scores))  # a row a language
-    slack = F.lit(noise) / F.sqrt(F.col("n_tokens"))
+    slack = F.lit(noise) / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)))
     off = F.col("log_ppl") - F.col("mid")
     keep = F.col("log_ppl").isNull() | ((off >= -(low * F.col("spread") + slack)) & (off <= high * F.col("spread") + slack))
     return scores.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("band_lang")), "left").select("doc_id", "lang", "n_tokens", F.round(F.exp("log_ppl"), 4).alias("perplexity"), F.coalesce(keep, F.lit(True)).alias("keep"))
