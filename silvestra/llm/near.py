@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, buckets_for, kept, table, text_bytes
 from .tokens import Words, chunks, mix
 
-N, THRESHOLD = 3, 0.7
+N, THRESHOLD = 3, 0.6
 #: Document frequency from which an n-gram is of the class indexed by pairs.
 PAIRED = 4096
 #: Rows of the table of frequent n-grams, and the count within one task that reports one.

@@ -41,7 +41,7 @@ def test_topk_of_few(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
-def jaccard_pairs(rows, n=3, t=0.7):
+def jaccard_pairs(rows, n=near.N, t=near.THRESHOLD):
     sets = {}
     for i, text in rows:
         if i is not None and text is not None and text.split():
