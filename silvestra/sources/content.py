@@ -61,7 +61,9 @@ BUILT_IN = (Adapter((GZIP,), lambda c: gzip.decompress(c.raw)), Adapter((XZ,), l
 
 
 def as_xml(name: str | None, raw: bytes, adapters: tuple[Adapter, ...] = ()) -> str:
-    """Applies adapters until XML is left; the name loses an extension each time."""
+    """Applies adapters until XML is left; the name loses an extension each time. Blank input is an empty document."""
+    if not raw.strip():
+        return ""
     for _ in range(16):
         kind = content_type(name, raw)
         if kind == XML or (kind == UNKNOWN and raw.lstrip()[:1] == b"<" and not any(UNKNOWN in a.kinds for a in adapters)):

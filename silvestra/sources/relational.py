@@ -70,14 +70,14 @@ def ranked(rows: DataFrame, keys: int, first: str | None) -> DataFrame:
     order = _order(rows, keys)
     if first is not None:
         by = W.partitionBy(first).orderBy(*order)
-        return rows.withColumn("rank", F.row_number().over(by).cast("long")).withColumn("before", F.sum("size").over(by) - F.col("size")).withColumn("is_last", F.lead(F.lit(1)).over(by).isNull())
+        return rows.withColumn("rank", F.row_number().over(by).cast("long")).withColumn("before", F.sum("size").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).withColumn("is_last", F.lead(F.lit(1)).over(by).isNull())
     numeric = dict(rows.dtypes)["k0"] in ("int", "bigint", "smallint", "double", "float")
     buckets = -(-rows.count() // BUCKET_ROWS) if numeric else 1
     bounds = sorted(set(rows.approxQuantile("k0", [k / buckets for k in range(1, buckets)], 0.1 / buckets))) if buckets > 1 else []
     place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("k0"))) if bounds else F.lit(0)
     rows = rows.withColumn("bucket", place)
     by = W.partitionBy("bucket").orderBy(*order)
-    rows = rows.withColumn("rank", F.row_number().over(by).cast("long")).withColumn("before", F.sum("size").over(by) - F.col("size"))
+    rows = rows.withColumn("rank", F.row_number().over(by).cast("long")).withColumn("before", F.sum("size").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     sums = rows.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     all_before = W.orderBy("of").rowsBetween(W.unboundedPreceding, -1)  # one row a bucket
     sums = sums.select("of", F.coalesce(F.sum("n").over(all_before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(all_before), F.lit(0)).alias("s0"), F.sum("n").over(W.partitionBy()).alias("n_all"))
