@@ -7,13 +7,16 @@ least ``threshold`` are found exactly:
 1. Tasks count their n-grams; those that are frequent form one table of bounded size (its least
    frequency doubles until it fits). It orders n-grams from rare to frequent and gives the class.
    The order and classes only steer the work; no pair depends on their being exact.
-2. A set's prefix in that order is taken so long that a similar set must share a signature with it:
+2. Sets that can't have a partner go: of a set of n, a partner holds t n at least, so of its n-grams in
+   three quarters of the hash space all but n - t n at most are in some other set as well. These n-grams meet in
+   buckets, 4 bytes each, and only sets with so many shared ones go on, as a table of their own.
+3. A set's prefix in that order is taken so long that a similar set must share a signature with it:
    a single n-gram of the rare class or a pair of n-grams of the frequent class. With overlap at
    least a, and p the prefix's length of which m are frequent, p - min(m, 1) >= size - a + 1.
    The smaller set of a pair needs the shorter, indexing prefix (a = 2t/(1+t) size), the larger one
    the probing prefix (a = t size); a signature says whether it lies in the first.
-3. Signatures travel packed to buckets by hash, which give the candidate pairs.
-4. Candidates meet their sets in blocks and are verified exactly.
+4. Signatures travel packed to buckets by hash, which give the candidate pairs.
+5. Candidates meet their sets in blocks and are verified exactly.
 
 Equal sets are one node up to here, so groups of exact copies cost nothing; the documents of each
 node are joined back at the end.
@@ -36,6 +39,8 @@ from .common import BROADCAST_ROWS, buckets_for, kept, table, text_bytes
 from .tokens import Words, chunks, mix
 
 N, THRESHOLD = 3, 0.6
+#: N-grams with a hash below this take part in the sieve: three quarters.
+_SIEVED = np.uint64(3 << 62)
 #: Document frequency from which an n-gram is of the class indexed by pairs.
 PAIRED = 4096
 #: Rows of the table of frequent n-grams, and the count within one task that reports one.
@@ -68,8 +73,8 @@ def _keys(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner[heads], mix(sums)
 
 
-def _survey(n: int):
-    """Rows (0, n-gram, count) of n-grams frequent in this task; rows (1, set, doc_id)."""
+def _survey(n: int, t: float):
+    """Rows (0, n-gram, count) of n-grams frequent in this task; (1, set, doc_id); (2, set, 0) of sets with too few n-grams in the sieve."""
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64))], ["kind", "a", "b"])
@@ -88,6 +93,9 @@ def _survey(n: int):
                 continue
             at, key = _keys(hashes, owner)
             yield rows(1, key, batch.column("doc_id").to_numpy(zero_copy_only=False)[at])
+            every, seen = (np.bincount(o, minlength=batch.num_rows)[at] for o in (owner, owner[hashes < _SIEVED]))
+            free = key[seen <= every - np.ceil(t * every - 1e-9).astype(np.int64)]
+            yield rows(2, free, np.zeros(len(free), np.int64))
             held.append(hashes)
             size += len(hashes)
             if size >= _TASK_GRAMS:
@@ -99,6 +107,82 @@ def _survey(n: int):
     return run
 
 
+def _sieved(n: int, n_buckets: int):
+    """Of each set: its size, and its n-grams in the sieve, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            hashes, owner = _sets(batch, n)
+            if not len(hashes):
+                continue
+            _, key = _keys(hashes, owner)
+            heads = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
+            size = np.diff(np.r_[heads, len(owner)])
+            node = np.repeat(np.arange(len(heads)), size)
+            low = hashes < _SIEVED
+            node, hashes = node[low], hashes[low]
+            seen = np.bincount(node, minlength=len(heads))
+            bucket = ((hashes >> np.uint64(34)) % np.uint64(n_buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, short, node = bucket[order], hashes[order].astype(np.uint32), node[order]
+            edges = np.flatnonzero(np.diff(bucket)) + 1
+            out: list[list] = [[], [], [], [], []]
+            for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(bucket)], strict=True):
+                own = node[lo:hi]
+                at = np.r_[0, np.flatnonzero(np.diff(own)) + 1] if hi > lo else np.zeros(0, np.int64)
+                if hi > lo:
+                    sizes = np.stack([size[own[at]], seen[own[at]]], 1).astype(np.uint32)
+                    for k, v in enumerate((int(bucket[lo]), key[own[at]].tobytes(), sizes.tobytes(), np.diff(np.r_[at, hi - lo]).astype(np.uint32).tobytes(), short[lo:hi].tobytes())):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "sets", "sizes", "counts", "grams"])
+
+    return run
+
+
+def _shared(parts: int):
+    """Of one bucket: how many n-grams each set shares with others, where any, by part of the sets."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        of = np.repeat(np.arange(sum(len(x.as_py()) for x in bucket["sets"]) // 8), _joined(bucket["counts"], np.uint32))
+        keys, sizes = _joined(bucket["sets"], np.uint64), _joined(bucket["sizes"], np.uint32).reshape(-1, 2)
+        grams, once = _joined(bucket["grams"], np.uint32), np.zeros(len(keys), bool)
+        once[np.unique(keys, return_index=True)[1]] = True  # of equal sets, one
+        grams, of = grams[once[of]], of[once[of]]
+        order = np.argsort(grams, kind="stable")
+        grams, of = grams[order], of[order]
+        heads = np.r_[0, np.flatnonzero(grams[1:] != grams[:-1]) + 1] if len(grams) else np.zeros(0, np.int64)
+        several = np.maximum.reduceat(of, heads) != np.minimum.reduceat(of, heads) if len(grams) else np.zeros(0, bool)
+        of = of[np.repeat(several, np.diff(np.r_[heads, len(grams)]))]
+        key = keys[of]
+        order = np.argsort(key, kind="stable")
+        key, of = key[order], of[order]
+        heads = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1] if len(key) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[heads, len(key)])
+        key, size = key[heads], sizes[of[heads]]
+        part = (key % np.uint64(parts)).astype(np.int32)
+        row = np.empty(len(key), [("key", "<u8"), ("n", "<u4"), ("seen", "<u4"), ("shared", "<u4")])
+        row["key"], row["n"], row["seen"], row["shared"] = key, size[:, 0], size[:, 1], counts
+        chosen = np.unique(part)
+        return pa.table([pa.array(chosen, pa.int32()), pa.array([row[part == p].tobytes() for p in chosen], pa.binary())], ["part", "rows"])
+
+    return run
+
+
+def _partnered(t: float):
+    """The sets of one part that share as much as a partner takes."""
+
+    def run(group: pa.Table) -> pa.Table:
+        row = _joined(group["rows"], np.dtype([("key", "<u8"), ("n", "<u4"), ("seen", "<u4"), ("shared", "<u4")]))
+        row = row[np.argsort(row["key"], kind="stable")]
+        heads = np.r_[0, np.flatnonzero(row["key"][1:] != row["key"][:-1]) + 1] if len(row) else np.zeros(0, np.int64)
+        shared = np.add.reduceat(row["shared"].astype(np.int64), heads) if len(row) else np.zeros(0, np.int64)
+        row = row[heads]
+        spare = row["n"] - np.ceil(t * row["n"] - 1e-9).astype(np.int64)
+        return pa.table([pa.array(row["key"][shared >= row["seen"] - spare].view(np.int64))], ["set"])
+
+    return run
+
+
 def _ranked(hashes: np.ndarray, owner: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sets with each n-gram led by the level of its frequency, sorted within the set."""
     names, levels = frequent
@@ -293,7 +377,7 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     size = text_bytes(docs)
-    survey = kept(texts.mapInArrow(_survey(n), "kind int, a long, b long"))
+    survey = kept(texts.mapInArrow(_survey(n, t), "kind int, a long, b long"))
     members = survey.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id")).distinct()
     counts = kept(survey.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= min(16, paired)).select("a", F.floor(F.log2("n")).cast("int").alias("level")))
     per_level, least, rows = {r["level"]: r["count"] for r in counts.groupBy("level").count().collect()}, 99, 0
@@ -305,6 +389,13 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     names, levels = got["a"].to_numpy().view(np.uint64), got["level"].to_numpy().astype(np.uint8)
     order = np.argsort(names)
     frequent = spark.sparkContext.broadcast((names[order], levels[order]))
+    sieved = texts.mapInArrow(_sieved(n, buckets_for(size / 2)), "bucket int, sets binary, sizes binary, counts binary, grams binary")
+    shared = sieved.groupBy("bucket").applyInArrow(_shared(buckets_for(size / 6)), "part int, rows binary")
+    going = shared.groupBy("part").applyInArrow(_partnered(t), "set long").unionByName(survey.where("kind = 2").select(F.col("a").alias("set"))).distinct()
+    chosen = kept(members.join(going, "set").groupBy("set").agg(F.min("doc_id").alias("__id")).select("__id"))
+    few = chosen.count() <= BROADCAST_ROWS
+    texts = kept(texts.join(F.broadcast(chosen) if few else chosen, F.col("doc_id") == F.col("__id"), "left_semi"))
+    size = text_bytes(texts)
     groups = max(2, -(-int(size * 1.2) // (64 << 20)))
     packed = texts.mapInArrow(_signatures(n, t, paired, buckets_for(size * (1 - t) / 6 * 13), frequent), "bucket int, sets binary, sizes binary, counts binary, sigs binary")
     kind = "block long, a binary, b binary"
