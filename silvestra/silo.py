@@ -108,6 +108,18 @@ class Silo:
         row = self.query(xpath, 1, start).select(attribute(name).alias("v")).first()
         return row["v"] if row else None
 
+    def first_text_as_uint(self, xpath: str, start: DataFrame | None = None) -> int | None:
+        row = self.query(xpath, 1, start).select(navigate.text_as_uint().alias("v")).first()
+        return int(row["v"]) if row and row["v"] is not None else None
+
+    def first_attr_as_uint(self, xpath: str, name: str, start: DataFrame | None = None) -> int | None:
+        row = self.query(xpath, 1, start).select(navigate.attr_as_uint(name).alias("v")).first()
+        return int(row["v"]) if row and row["v"] is not None else None
+
+    def first_export(self, xpath: str, start: DataFrame | None = None, **flags: bool) -> str | None:
+        row = export.exported(self.nodes, self.query(xpath, 1, start), **flags).first()
+        return row["xml"] if row else None
+
     def query_many(self, xpaths: list[str]) -> DataFrame:
         """All queries in one job; ``query`` tells which a row answers."""
         parts = [self.query(x, check=False).withColumn("query", F.lit(x)) for x in xpaths]

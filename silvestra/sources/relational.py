@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import ATTRS, COLUMNS, NODES
+from ..store import written
 
 BUCKET_ROWS = 1_000_000
 
@@ -40,8 +41,8 @@ class Level:
     below: Level | None = None
 
 
-def _prepared(level: Level) -> DataFrame:
-    """Keys k0.., parent keys p0.., attrs, text, leaf texts, and the size of each row's subtree."""
+def _prepared(level: Level, sums: DataFrame | None) -> DataFrame:
+    """Keys k0.., parent keys p0.., attrs, text, leaf texts, and the size of each row's subtree; ``sums`` has those below by key."""
     pairs = [F.struct(F.lit(n).alias("name"), c.cast("string").alias("value")) for n, c in level.attrs.items()]
     attrs = F.filter(F.array(*pairs), lambda a: a["value"].isNotNull()) if pairs else F.lit(None).cast(ATTRS)
     text = F.lit(None).cast("string") if level.text is None else level.text.cast("string")
@@ -50,11 +51,11 @@ def _prepared(level: Level) -> DataFrame:
     for name in [c for c in rows.columns if c[0] == "p" or c[0] == "k"]:
         rows = rows.where(F.col(name).isNotNull())
     own = 1 + len(leaves)
-    if level.below is None:
+    if sums is None:
         return rows.withColumn("size", F.lit(own).cast("long"))
-    sums = _prepared(level.below).groupBy(*[F.col(f"p{k}").alias(f"c{k}") for k in range(len(level.key))]).agg(F.sum("size").alias("below"))
     on = reduce(Column.__and__, [F.col(f"k{k}") == F.col(f"c{k}") for k in range(len(level.key))])
-    return rows.join(sums, on, "left").withColumn("size", own + F.coalesce("below", F.lit(0))).drop("below", *[f"c{k}" for k in range(len(level.key))])
+    rows = rows.join(sums, on, "left").withColumn("size", own + F.coalesce("below", F.lit(0)))
+    return written(rows.drop("below", *[f"c{k}" for k in range(len(level.key))]))  # read again for ids and for the level above
 
 
 def _order(rows: DataFrame, keys: int) -> list:
@@ -108,22 +109,32 @@ def _nodes(rows: DataFrame, level: Level, path: str, depth: int, before: int, si
 
 def tree(root: str, top: Level, silo: str = "silo") -> DataFrame:
     """Node rows of one silo with one root over the rows of ``top`` and what lies below them."""
-    path, depth, level = f"{root}/{top.element}", 1, top
-    rows = ranked(_prepared(top), len(top.key), None)
+    path, depth, chain = f"{root}/{top.element}", 1, [top]
+    while chain[-1].below is not None:
+        chain.append(chain[-1].below)
+    prepared: list[DataFrame] = []
+    sums = None
+    for k in range(len(chain) - 1, -1, -1):
+        prepared.insert(0, _prepared(chain[k], sums))
+        if k:
+            sums = prepared[0].groupBy(*[F.col(f"p{j}").alias(f"c{j}") for j in range(len(chain[k].up))]).agg(F.sum("size").alias("below"))
+    rows = ranked(prepared[0], len(top.key), None)
     rows = rows.withColumn("parent_id", F.lit(1).cast("long")).withColumn("node_id", 2 + F.col("before")).withColumn("anc", F.array(F.lit(1).cast("long")))
-    size = _prepared(top).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s"))
+    rows = rows if len(chain) == 1 else written(rows)
+    size = prepared[0].agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s"))
     head = size.select(
         F.lit(silo).alias("silo_id"), F.lit(1).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.lit(None).cast("long").alias("next_id"), (F.col("s") + 1).cast("long").alias("last_desc"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("sib_pos"), F.lit(1).cast("long").alias("name_pos"),
         F.lit(root).alias("element"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("tail"), F.lit(None).cast(ATTRS).alias("attrs"), F.lit(None).cast("array<string>").alias("tokens"), F.lit(False).alias("is_tokenized"), F.lit(root).alias("path"), F.array().cast("array<bigint>").alias("anc"),
     )
-    out, before = [head.select(*COLUMNS), _nodes(rows, level, path, depth, 0, silo)], 0
-    while level.below is not None:
-        lower, keys, before = level.below, len(level.key), len(level.leaves)
-        ups = rows.select(*[F.col(f"k{k}").alias(f"u{k}") for k in range(keys)], F.col("node_id").alias("parent_id"), F.concat("anc", F.array("node_id")).alias("anc"))
-        on = reduce(Column.__and__, [F.col(f"p{k}") == F.col(f"u{k}") for k in range(keys)])
-        rows = ranked(_prepared(lower).join(ups, on).drop(*[f"u{k}" for k in range(keys)]), len(lower.key), "parent_id")
-        rows = rows.withColumn("node_id", F.col("parent_id") + 1 + before + F.col("before"))
-        level, path, depth = lower, f"{path}/{lower.element}", depth + 1
-        out.append(_nodes(rows, level, path, depth, before, silo))
+    out = [head.select(*COLUMNS), _nodes(rows, top, path, depth, 0, silo)]
+    for k, (level, lower) in enumerate(zip(chain, chain[1:], strict=False), 1):
+        keys, leaves = len(level.key), len(level.leaves)
+        ups = rows.select(*[F.col(f"k{j}").alias(f"u{j}") for j in range(keys)], F.col("node_id").alias("parent_id"), F.concat("anc", F.array("node_id")).alias("anc"))
+        on = reduce(Column.__and__, [F.col(f"p{j}") == F.col(f"u{j}") for j in range(keys)])
+        rows = ranked(prepared[k].join(ups, on).drop(*[f"u{j}" for j in range(keys)]), len(lower.key), "parent_id")
+        rows = rows.withColumn("node_id", F.col("parent_id") + 1 + leaves + F.col("before"))
+        rows = rows if lower.below is None else written(rows)
+        path, depth = f"{path}/{lower.element}", depth + 1
+        out.append(_nodes(rows, lower, path, depth, leaves, silo))
     made = reduce(DataFrame.unionByName, out)
     return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NODES.fields])
