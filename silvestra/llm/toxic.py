@@ -7,7 +7,7 @@ number of words (runs of non-space characters). A document is toxic with at leas
 matches and a score of ``MIN_SCORE``, or with any match and a score of ``SURE_SCORE``.
 
 The lexicon is a seed of English words of weight 1, and words learned from labels: those much more
-frequent in toxic than in other labelled documents of their language. Learning takes at most
+frequent in toxic than in other labelled documents, of their language and of all. Learning takes at most
 ``LABELLED_ROWS`` labelled documents (the least by a hash of doc_id); scoring takes all documents.
 
 Defined results: a null or empty text scores 0 with no hits; a null lang is a language of its own;
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
@@ -97,7 +97,8 @@ def learned_lexicon(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROW
     """Weights of the words that tell labelled toxic documents from the other labelled ones.
 
     A word needs at least ``MIN_SUPPORT`` toxic documents and ``MIN_SHARE`` of its language's, exact
-    copies counted once, and smoothed log odds of ``MIN_LOG_ODDS``; at ``FULL_LOG_ODDS`` it weighs 1.
+    copies counted once, and smoothed log odds of ``MIN_LOG_ODDS`` both in its language and in all of
+    them, as it is matched in all; at ``FULL_LOG_ODDS`` it weighs 1.
     The labels broadcast are ``rows`` at most; the lexicon holds at most 1 / MIN_SHARE times the
     words of a document for each language.
     """
@@ -107,9 +108,16 @@ def learned_lexicon(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROW
     texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "lang", "toxic"]).select("lang", "text", (F.col("toxic") > 0).alias("toxic"))
     counts = texts.mapInArrow(_word_counts, "lang string, word string, toxic long, clean long").groupBy("lang", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     totals = counts.where("word = ''").select(F.col("lang").alias("of"), F.col("toxic").alias("n_toxic"), F.col("clean").alias("n_clean"))
-    odds = F.log((F.col("toxic") + 0.5) / (F.col("n_toxic") + 1)) - F.log((F.col("clean") + 0.5) / (F.col("n_clean") + 1))
+    whole = counts.groupBy(F.col("word").alias("all_of")).agg(F.sum("toxic").alias("toxic_all"), F.sum("clean").alias("clean_all"))
+    sums = whole.where("all_of = ''").select(F.col("toxic_all").alias("n_toxic_all"), F.col("clean_all").alias("n_clean_all"))
+
+    def odds(toxic: str, clean: str, n_toxic: str, n_clean: str) -> Column:
+        return F.log((F.col(toxic) + 0.5) / (F.col(n_toxic) + 1)) - F.log((F.col(clean) + 0.5) / (F.col(n_clean) + 1))
+
     told = counts.where(f"word <> '' and toxic >= {MIN_SUPPORT}").join(totals, F.col("lang").eqNullSafe(F.col("of"))).where(F.col("toxic") >= MIN_SHARE * F.col("n_toxic"))
-    told = told.select("word", odds.alias("odds")).where(F.col("odds") >= MIN_LOG_ODDS).groupBy("word").agg(F.max("odds").alias("odds"))
+    told = told.join(whole, F.col("word") == F.col("all_of")).crossJoin(F.broadcast(sums))  # one row
+    least = F.least(odds("toxic", "clean", "n_toxic", "n_clean"), odds("toxic_all", "clean_all", "n_toxic_all", "n_clean_all"))
+    told = told.select("word", least.alias("odds")).where(F.col("odds") >= MIN_LOG_ODDS).groupBy("word").agg(F.max("odds").alias("odds"))
     return {r["word"]: min(1.0, r["odds"] / FULL_LOG_ODDS) for r in told.collect() if " " not in r["word"]}
 
 
