@@ -13,9 +13,10 @@ counts, g(v) the mass that is left, and Pc the discounted share of bigram types
 interpolated with the uniform distribution. A document's perplexity is exp of its mean -ln P, the
 first word following a start symbol.
 
-Each language has a lower and an upper band around the median of ln perplexity: ``LOW`` and ``HIGH``
-times the scaled median deviation plus ``NOISE`` over the root of the number of words away, as short
-texts vary more by chance. Documents outside are rejected.
+Each language has a band of ln perplexity: from ``LOW`` times its median, which copied texts keep above
+and endless repetition doesn't, to ``HIGH`` scaled median deviations above the median. Both ends give
+way by ``NOISE`` over the root of the number of words, as short texts vary more by chance. Documents
+outside are rejected.
 
 Defined results: null or empty texts have no perplexity and are kept (other rules judge them); a
 null lang is a language of its own; rows that repeat count as often as they occur; without any word
@@ -36,8 +37,8 @@ from .common import buckets_for, kept, table, text_bytes
 from .tokens import Words, chunks
 
 WORD_SHARE, PAIR_SHARE = 1e-6, 5e-7
-LOW, HIGH, NOISE = 11.0, 3.2, 6.0
-_HELD = 3_000_000
+LOW, HIGH, NOISE = 0.25, 3.2, 6.0
+_HELD = 1_500_000
 _SUMS = "bucket int, n int, keys binary, counts binary"
 
 
@@ -276,7 +277,7 @@ def judged(docs: DataFrame, low: float = LOW, high: float = HIGH, noise: float =
     limits = kept(bands(scores))  # a row a language
     slack = F.lit(noise) / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)))
     off = F.col("log_ppl") - F.col("mid")
-    keep = F.col("log_ppl").isNull() | ((off >= -(low * F.col("spread") + slack)) & (off <= high * F.col("spread") + slack))
+    keep = F.col("log_ppl").isNull() | ((F.col("log_ppl") >= low * F.col("mid") - slack) & (off <= high * F.col("spread") + slack))
     return scores.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("band_lang")), "left").select("doc_id", "lang", "n_tokens", F.round(F.exp("log_ppl"), 4).alias("perplexity"), F.coalesce(keep, F.lit(True)).alias("keep"))
 
 
