@@ -45,7 +45,7 @@ _SIEVED = np.uint64(3 << 62)
 PAIRED = 4096
 #: Rows of the table of frequent n-grams, and the count within one task that reports one.
 FREQUENT_ROWS, TASK_COUNT = 1_000_000, 4
-_TASK_GRAMS = 8_000_000
+_TASK_GRAMS = 3_000_000
 _LEVEL_BITS = 6
 
 
@@ -389,7 +389,7 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     names, levels = got["a"].to_numpy().view(np.uint64), got["level"].to_numpy().astype(np.uint8)
     order = np.argsort(names)
     frequent = spark.sparkContext.broadcast((names[order], levels[order]))
-    sieved = texts.mapInArrow(_sieved(n, buckets_for(size / 2)), "bucket int, sets binary, sizes binary, counts binary, grams binary")
+    sieved = texts.mapInArrow(_sieved(n, buckets_for(size)), "bucket int, sets binary, sizes binary, counts binary, grams binary")
     shared = sieved.groupBy("bucket").applyInArrow(_shared(buckets_for(size / 6)), "part int, rows binary")
     going = shared.groupBy("part").applyInArrow(_partnered(t), "set long").unionByName(survey.where("kind = 2").select(F.col("a").alias("set"))).distinct()
     chosen = kept(members.join(going, "set").groupBy("set").agg(F.min("doc_id").alias("__id")).select("__id"))
