@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import kept, table
 
 K, LISTS, CHUNK_ROWS = 10, 2, 8192
+#: All vectors in double precision are broadcast to the scans up to this size, and joined beyond it.
+BROADCAST_BYTES = 64 << 20
 DIGITS, SLACK = 9, 1e-5
-_ROWS, _PAIRS = 512, 50_000
-_ENTRIES = "q_chunk int, o_chunk int, list int, q binary, o binary, v binary"
+_ROWS, _PAIRS, _PART = 512, 50_000, 2_000_000
+_ENTRIES = "q_chunk int, o_chunk int, part int, list int, q binary, o binary, v binary"
 
 
 def _pack(dims: int, lists: int):
@@ -82,20 +84,38 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[rank < k], col[rank < k]
 
 
-def _scan(choose, name_a: str = "", name_b: str = ""):
-    """Applies ``choose(scores, cutoffs of the rows)`` to both directions of each chunk pair of a list."""
+def _scan(choose, edges: np.ndarray, held, name_a: str = "", name_b: str = ""):
+    """Applies ``choose(scores, cutoffs of the rows)`` to both directions of each chunk pair of a list.
+
+    The list's columns come from the broadcast vectors ``held``, or with the row.
+    """
+
+    def columns(at: dict, chunk: str) -> np.ndarray | None:
+        if held is None:
+            return _matrix(at["x" + chunk], at["n" + chunk].as_py())
+        ids, x = held.value.get(at[chunk].as_py(), (b"", b""))
+        whole, of = np.frombuffer(x, np.float64).reshape(len(ids) // 8, edges[-1]), at["list"].as_py()
+        return np.ascontiguousarray(whole[:, edges[of] : edges[of + 1]], np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 at = {name: batch.column(name)[r] for name in batch.schema.names}
                 a, b = at["a"].as_py(), at["b"].as_py()
-                sides = [(a, b, _matrix(at["xa"], at["na"].as_py()), _matrix(at["xb"], at["nb"].as_py()), at[name_a] if name_a else None)]
+                sides = [(a, b, columns(at, "a"), columns(at, "b"), at[name_a] if name_a else None)]
+                if not len(sides[0][2]) or not len(sides[0][3]):
+                    continue
                 if a != b:
                     sides.append((b, a, sides[0][3], sides[0][2], at[name_b] if name_b else None))
                 for q_chunk, o_chunk, x, y, cut in sides:
-                    found: list[list[np.ndarray]] = [[], [], []]
+                    found, held, part = ([], [], []), 0, 0
                     cut = None if cut is None else np.frombuffer(cut.as_buffer(), np.float64)
+
+                    def out(found, part, names=(q_chunk, o_chunk, at["list"].as_py())):
+                        q, o, v = (np.concatenate(f).tobytes() if f else b"" for f in found)
+                        numbers = (names[0], names[1], part, names[2])
+                        return pa.RecordBatch.from_arrays([*(pa.array([z], pa.int32()) for z in numbers), *(pa.array([z], pa.binary()) for z in (q, o, v))], ["q_chunk", "o_chunk", "part", "list", "q", "o", "v"])
+
                     for lo in range(0, len(x), _ROWS):
                         scores = x[lo : lo + _ROWS] @ y.T
                         if a == b:
@@ -108,8 +128,11 @@ def _scan(choose, name_a: str = "", name_b: str = ""):
                         found[1].append(o.astype(np.uint16))
                         if cut is None:
                             found[2].append(scores[q, o])
-                    q, o, v = (np.concatenate(f).tobytes() if f else b"" for f in found)
-                    yield pa.RecordBatch.from_arrays([pa.array([q_chunk], pa.int32()), pa.array([o_chunk], pa.int32()), pa.array([at["list"].as_py()], pa.int32()), *(pa.array([z], pa.binary()) for z in (q, o, v))], ["q_chunk", "o_chunk", "list", "q", "o", "v"])
+                        held += len(q)
+                        if held >= _PART:
+                            yield out(found, part)
+                            found, held, part = ([], [], []), 0, part + 1
+                    yield out(found, part)
 
     return run
 
@@ -144,9 +167,16 @@ def _by_chunk(q_chunk: int, of: np.ndarray, q: np.ndarray, o: np.ndarray) -> pa.
     )
 
 
-def _resolved(row: dict) -> tuple[np.ndarray, ...]:
+def _sides(row: dict, held) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the query chunk and of the object chunk: broadcast ones, or those that the row brings."""
+    if held is not None:
+        made = ((held.value[row[c].as_py()][0], held.value[row[c].as_py()][1]) for c in ("q_chunk", "o_chunk"))
+        return [(np.frombuffer(ids, np.int64), np.frombuffer(x, np.float64).reshape(len(ids) // 8, -1)) for ids, x in made]
+    return [(np.frombuffer(row[i].as_buffer(), np.int64), _matrix(row[x], row[n].as_py(), np.float64)) for i, n, x in (("ia", "na", "xa"), ("ib", "nb", "xb"))]
+
+
+def _resolved(row: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
     """Query and object numbers of a row's pairs, and their whole scores."""
-    x, y = _matrix(row["xa"], row["na"].as_py(), np.float64), _matrix(row["xb"], row["nb"].as_py(), np.float64)
     q, o = (np.frombuffer(row[c].as_buffer(), np.uint16).astype(np.int64) for c in ("q", "o"))
     score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[q[i : i + _PAIRS]], y[o[i : i + _PAIRS]]) for i in range(0, len(q), _PAIRS))])
     return q, o, np.round(score, DIGITS)
@@ -158,10 +188,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[r] for name in batch.schema.names}
 
 
-def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        q, _, score = _resolved(row)
-        yield pa.RecordBatch.from_arrays([pa.array([row["q_chunk"].as_py()], pa.int32()), pa.array([row["na"].as_py()], pa.int32()), pa.array([q.astype(np.uint16).tobytes()], pa.binary()), pa.array([score.tobytes()], pa.binary())], ["q_chunk", "n", "q", "score"])
+def _known(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            (_, x), (_, y) = _sides(row, held)
+            q, _, score = _resolved(row, x, y)
+            yield pa.RecordBatch.from_arrays([pa.array([row["q_chunk"].as_py()], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([q.astype(np.uint16).tobytes()], pa.binary()), pa.array([score.tobytes()], pa.binary())], ["q_chunk", "n", "q", "score"])
+
+    return run
 
 
 def _cutoff(k: int):
@@ -185,16 +219,25 @@ def _union(entries: pa.Table) -> pa.Table:
     return _by_chunk(entries["q_chunk"][0].as_py(), np.full(len(both), entries["o_chunk"][0].as_py()), both >> np.uint32(16), both & np.uint32(0xFFFF))
 
 
-def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        q, o, score = _resolved(row)
-        good = score >= np.frombuffer(row["tau"].as_buffer(), np.float64)[q]
-        ids = [np.frombuffer(row[c].as_buffer(), np.int64) for c in ("ia", "ib")]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[0][q[good]]), pa.array(ids[1][o[good]]), pa.array(score[good])], ["query_id", "vec_id", "score"])
+def _final(k: int, held):
+    """Of one chunk pair, each query's k best that reach tau."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            (ids, x), (others, y) = _sides(row, held)
+            q, o, score = _resolved(row, x, y)
+            good = score >= np.frombuffer(row["tau"].as_buffer(), np.float64)[q]
+            q, o, score = q[good], others[o[good]], score[good]
+            order = np.lexsort((o, -score, q))
+            q, o, score = q[order], o[order], score[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q[first]]), pa.array(o[first]), pa.array(score[first])], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def top_k(vectors: DataFrame, k: int = K, lists: int = LISTS, chunk_rows: int = CHUNK_ROWS, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id and score (6 digits) of the k best others of every vector."""
+    """query_id, rank (from 1), vec_id and score (9 digits) of the k best others of every vector."""
     if not 0 < chunk_rows <= 1 << 16:
         raise ValueError("a chunk has 1 to 65536 rows")
     finite = F.forall("vector", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
@@ -204,27 +247,41 @@ def top_k(vectors: DataFrame, k: int = K, lists: int = LISTS, chunk_rows: int =
     chunks, lists = max(1, -(-n // chunk_rows) * 5 // 4 if n > chunk_rows else 1), max(1, min(lists, dims or 1))
     packed = kept(rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).groupBy("chunk").applyInArrow(_pack(dims or 1, lists), "chunk int, list int, ids binary, n int, x binary"))
 
-    part = packed.where("list >= 0")
-    every = F.sequence(F.lit(0), F.lit(chunks - 1))
-    left = part.select(F.col("chunk").alias("a"), F.col("list"), F.col("n").alias("na"), F.col("x").alias("xa"), F.explode(F.filter(every, lambda c: c >= F.col("chunk"))).alias("b"))
-    right = part.select(F.col("chunk").alias("b"), F.col("list"), F.col("n").alias("nb"), F.col("x").alias("xb"), F.explode(F.filter(every, lambda c: c <= F.col("chunk"))).alias("a"))
-    pairs = left.join(right, ["a", "b", "list"])
-    whole = packed.where("list < 0")
-    asking = whole.select(F.col("chunk").alias("q_chunk"), F.col("ids").alias("ia"), F.col("n").alias("na"), F.col("x").alias("xa"))
-    asked = whole.select(F.col("chunk").alias("o_chunk"), F.col("ids").alias("ib"), F.col("n").alias("nb"), F.col("x").alias("xb"))
-
-    first = pairs.mapInArrow(_scan(lambda scores, _: _best(scores, k)), _ENTRIES)
+    small = n * (dims or 1) * 8 <= BROADCAST_BYTES
+    part, whole, held = packed.where("list >= 0"), packed.where("list < 0"), None
+    if small:
+        got = whole.select("chunk", "ids", "x").toArrow()
+        held = vectors.sparkSession.sparkContext.broadcast({c: (i.as_py(), v.as_py()) for c, i, v in zip(got["chunk"].to_pylist(), got["ids"], got["x"], strict=True)})
+    every = vectors.sparkSession.range(chunks).select(F.col("id").cast("int").alias("a")).select("a", F.explode(F.sequence(F.col("a"), F.lit(chunks - 1))).alias("b"))
+    every = every.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list")).repartition(max(1, min(4096, chunks * (chunks + 1) // 2 * lists)))
+
+    def with_columns(rows: DataFrame) -> DataFrame:
+        if small:
+            return rows
+        left = part.select(F.col("chunk").alias("a"), "list", F.col("n").alias("na"), F.col("x").alias("xa"))
+        right = part.select(F.col("chunk").alias("b"), "list", F.col("n").alias("nb"), F.col("x").alias("xb"))
+        return rows.join(left, ["a", "list"]).join(right, ["b", "list"])
+
+    def attached(rows: DataFrame) -> DataFrame:
+        if small:
+            return rows
+        asking = whole.select(F.col("chunk").alias("q_chunk"), F.col("ids").alias("ia"), F.col("n").alias("na"), F.col("x").alias("xa"))
+        asked = whole.select(F.col("chunk").alias("o_chunk"), F.col("ids").alias("ib"), F.col("n").alias("nb"), F.col("x").alias("xb"))
+        return rows.join(asking, "q_chunk").join(asked, "o_chunk")
+
+    edges = np.linspace(0, dims or 1, lists + 1).astype(int)
+    first = with_columns(every).mapInArrow(_scan(lambda scores, _: _best(scores, k), edges, held), _ENTRIES)
     kind = "q_chunk int, o_chunk int, q binary, o binary"
     listed = first.groupBy("q_chunk").applyInArrow(_merged(k), kind)
-    known = listed.join(asking, "q_chunk").join(asked, "o_chunk").mapInArrow(_known, "q_chunk int, n int, q binary, score binary")
+    known = attached(listed).mapInArrow(_known(held), "q_chunk int, n int, q binary, score binary")
     taus = kept(known.groupBy("q_chunk").applyInArrow(_cutoff(k), "chunk int, tau binary"))
 
-    cut = pairs.join(taus.toDF("a", "ta"), "a").join(taus.toDF("b", "tb"), "b")
-    second = cut.mapInArrow(_scan(lambda scores, tau: np.nonzero(scores >= (tau / lists - SLACK).astype(np.float32)[:, None]), "ta", "tb"), _ENTRIES)
-    collected = second.groupBy("q_chunk", "o_chunk").applyInArrow(_union, kind)
-    scored = collected.join(asking, "q_chunk").join(asked, "o_chunk").join(taus.toDF("q_chunk", "tau"), "q_chunk").mapInArrow(_final, "query_id long, vec_id long, score double")
+    cut = every.join(taus.toDF("a", "ta"), "a").join(taus.toDF("b", "tb"), "b")
+    second = with_columns(cut).mapInArrow(_scan(lambda scores, tau: np.nonzero(scores >= (tau / lists - SLACK).astype(np.float32)[:, None]), edges, held, "ta", "tb"), _ENTRIES)
+    collected = second.groupBy("q_chunk", "o_chunk", "part").applyInArrow(_union, kind)
+    scored = attached(collected.join(taus.toDF("q_chunk", "tau"), "q_chunk")).mapInArrow(_final(k, held), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_exact_topk(spark, sf_dir: str) -> DataFrame:
@@ -236,5 +293,5 @@ WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) e
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
 s AS (SELECT a.vec_id q, b.vec_id o, round(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)), {DIGITS}) s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, o) r FROM s)
-SELECT q AS query_id, CAST(r AS INT) AS rank, o AS vec_id, round(s, 6) AS score FROM r WHERE r <= {K}
+SELECT q AS query_id, CAST(r AS INT) AS rank, o AS vec_id, s AS score FROM r WHERE r <= {K}
 """

@@ -15,8 +15,9 @@ def words(rng, n, vocabulary=400):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
 
-@pytest.mark.parametrize(("lists", "chunk"), [(2, 64), (3, 17)])
-def test_topk_is_exact(spark, lists, chunk):
+@pytest.mark.parametrize(("lists", "chunk", "size"), [(2, 64, 1 << 20), (3, 17, 0)])
+def test_topk_is_exact(spark, monkeypatch, lists, chunk, size):
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", size)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(90, 12)).astype(np.float32).round(2)
     x[10] = x[11] = x[12]  # ties
