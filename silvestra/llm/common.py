@@ -28,8 +28,8 @@ def buckets_for(n_bytes: float) -> int:
     return max(4, -(-int(n_bytes / BUCKET_BYTES) // 4) * 4)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows as a table written once to the shared folder that ``spark.checkpoint.dir`` names.
+def kept(df: DataFrame, *by: str) -> DataFrame:
+    """The rows as a table written once to the shared folder that ``spark.checkpoint.dir`` names, in folders by the columns given.
 
     This cuts the lineage and outlives lost executors. Where the setting is absent, a temporary
     folder serves a local master; any other master must have it set.
@@ -42,5 +42,5 @@ def kept(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="silvestra-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/silvestra-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,11 +2,14 @@
 
 Words are lower-case runs of non-space bytes. All words and all bigrams of all texts are counted;
 tasks send their sums in packed, sorted and delta-coded arrays to buckets by key. A word is known if
-it occurs at least twice and in at least ``WORD_SHARE`` of all tokens; the others are one class,
-whose probability is shared equally among its words. Bigrams in fewer than two places or in less
-than ``PAIR_SHARE`` of all tokens are counted, but pruned from the model after that: their
-discounted mass goes to the lower order. So the model has at most 1 / share entries at any size of
-the corpus, and it is broadcast as sorted arrays of keys with their probabilities.
+it occurs at least twice; the others are one class, whose probability is shared equally among its
+words. Bigrams that occur once are counted, but not in the model: their discounted mass goes to the
+lower order. Both floors are the same at every size, so the model grows with the corpus. (Shares of
+all tokens as further floors can be given; they are 0.)
+
+The bigrams never leave the shared folder: each bucket's keys and counts are a sorted row there, and
+a task that scores texts looks its own bigrams up bucket by bucket, for ``_SCORED`` tokens at a time.
+Only what is held by known word (hash, follower count, two weights: 20 bytes) is broadcast.
 
 P(w | v) = (c(vw) - D(c(vw))) / c(v) + g(v) Pc(w), with the discounts D1, D2, D3+ from the counts of
 counts, g(v) the mass that is left, and Pc the discounted share of bigram types that end in w,
@@ -30,15 +33,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, kept, table, text_bytes
 from .tokens import Words, chunks
 
-WORD_SHARE, PAIR_SHARE = 1e-6, 5e-7
-LOW, HIGH, NOISE = 0.25, 3.2, 6.0
-_HELD = 1_500_000
+WORD_SHARE, PAIR_SHARE = 0.0, 0.0
+LOW, HIGH, NOISE = 0.3, 1.8, 6.0
+_HELD, _SCORED = 1_500_000, 1_200_000
 _SUMS = "bucket int, n int, keys binary, counts binary"
 
 
@@ -145,28 +150,60 @@ def _pairs(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v, w
 
 
+def _planes(x: np.ndarray) -> bytes:
+    return x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def _pair_bucket(base: int, least: float):
-    """Rows of kind 0: pairs to keep; 1: counts of counts; 2 and 3: by 65536 ids, tokens that follow each, types that end in each."""
+    """Rows of kind 0: pairs to keep, by bucket; 1: counts of counts; 2 and up, by 65536 ids: see ``_part_sums``."""
 
     def run(group: pa.Table) -> pa.Table:
         keys, counts = _bucket_sums(group)
         keep = counts >= least
-        rows = [(0, 0, keys[keep].tobytes(), counts[keep].tobytes()), (1, 0, b"", np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes())]
-        for kind, ids, values in ((2, keys // np.uint64(base), counts), (3, keys % np.uint64(base), np.ones(len(keys), np.int64))):
+        rows = [(0, group["bucket"][0].as_py(), keys[keep].tobytes(), counts[keep].tobytes()), (1, 0, b"", np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes())]
+        v, twice = keys // np.uint64(base), keep & (counts == 2)
+        more = keep & ~twice
+        for kind, ids, values in ((2, v, counts), (3, keys % np.uint64(base), np.ones(len(keys), np.int64)), (4, v[keep], counts[keep]), (5, v[twice], np.ones(twice.sum(), np.int64)), (6, v[more], np.ones(more.sum(), np.int64))):
             ids, sums = _summed(ids, values)
             part = (ids >> np.uint64(16)).astype(np.int64)
-            for p in np.unique(part):
-                rows.append((kind, int(p), (ids[part == p] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), sums[part == p].tobytes()))
+            heads = np.searchsorted(part, np.arange(int(part[-1]) + 2)) if len(part) else np.zeros(1, np.int64)
+            for p in np.flatnonzero(np.diff(heads)):
+                at = slice(heads[p], heads[p + 1])
+                rows.append((kind, int(p), (ids[at] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), _planes(sums[at])))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "a", "b"])
 
     return run
 
 
 def _part_sums(group: pa.Table) -> pa.Table:
-    total = np.zeros(1 << 16, np.int64)
-    for a, b in zip(group["a"], group["b"], strict=True):
-        total[np.frombuffer(a.as_py(), np.uint16)] += np.frombuffer(b.as_py(), np.int64)
-    return pa.table([group["kind"].slice(0, 1), group["part"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["kind", "part", "total"])
+    """By id of 65536: tokens that follow, types that end in it; of the kept pairs: tokens that follow, pairs of 2, pairs of more.
+
+    ``types`` are how many ids end 1, 2, 3, 4 types, 3 or more, and the sum of all.
+    """
+    total = np.zeros((5, 1 << 16), np.int64)
+    for kind, a, b in zip(group["kind"].to_pylist(), group["a"], group["b"], strict=True):
+        total[kind - 2, np.frombuffer(a.as_py(), np.uint16)] += _unplaned(b.as_py())
+    ends = total[1]
+    types = [*((ends == k).sum() for k in (1, 2, 3, 4)), (ends > 2).sum(), ends.sum()]
+    return pa.table([group["part"].slice(0, 1), pa.array([_planes(total.ravel())], pa.binary()), pa.array([[int(x) for x in types]], pa.list_(pa.int64()))], ["part", "total", "types"])
+
+
+def _weights(d: np.ndarray, e: np.ndarray, all_ends: int, spare: float):
+    """By id: followers, the mass left to the lower order, and the lower order's share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in zip(batch.column("part"), batch.column("total"), strict=True):
+                follow, ends, kept_follow, twice, more = _unplaned(raw.as_py()).reshape(5, -1)
+                left = np.clip(1 - (kept_follow - d[1] * twice - d[2] * more) / np.maximum(1, follow), 1e-9, 1)
+                lower = np.where(ends > 0, ends - e[np.clip(ends, 1, 3) - 1], 0) / all_ends + spare
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (follow, left, lower))], ["part", "follow", "left", "ends"])
+
+    return run
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -178,45 +215,58 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Sorted hash arrays: the known words, the pairs, and what each is worth."""
+    """What is held by word, and where the pairs are: a row of sorted keys and counts for each bucket."""
 
     known: np.ndarray
-    pairs: np.ndarray
-    share: np.ndarray
+    follow: np.ndarray
     left: np.ndarray
     ends: np.ndarray
     rare_words: int
+    discounts: np.ndarray
+    n_buckets: int
+    files: list[str]
 
-    def log_p(self, words: Words) -> np.ndarray:
-        """ln P of each token."""
-        v, w = _pairs(words, self.known)
-        p = self.left[v.astype(np.int64)] * self.ends[w.astype(np.int64)]
-        if len(self.pairs):
-            key = v * np.uint64(len(self.known) + 2) + w
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            p = p + np.where(self.pairs[at] == key, self.share[at], np.float32(0))
-        out = np.log(np.maximum(p, 1e-12))
-        out[w == 0] -= np.log(max(1, self.rare_words))
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """How often each of these ascending keys occurs, 0 where it isn't kept."""
+        out, bucket = np.zeros(len(keys), np.int64), _spread(keys) % self.n_buckets
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
+        for file in self.files:
+            system, path = fs.FileSystem.from_uri(file)
+            with system.open_input_file(path) as source:
+                for row in pq.ParquetFile(source).iter_batches(batch_size=1, columns=["part", "a", "b"], use_threads=False):
+                    k = row.column(0)[0].as_py()
+                    have, counts = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in ((1, np.uint64), (2, np.int64)))
+                    mine = order[bounds[k] : bounds[k + 1]]
+                    if len(have) and len(mine):
+                        at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
+                        out[mine] = np.where(have[at] == keys[mine], counts[at], 0)
         return out
 
-
-def assembled(known: np.ndarray, pairs: np.ndarray, counts: np.ndarray, of_counts: np.ndarray, follow: np.ndarray, ends: np.ndarray, rare_words: int) -> Model:
-    """The model of the counts; ``follow`` and ``ends`` are by word id."""
-    base = len(known) + 2
-    d = discounts(of_counts)[np.minimum(counts, 3) - 1] if len(counts) else np.zeros(0)
-    v = (pairs // np.uint64(base)).astype(np.int64)
-    share = (counts - d) / np.maximum(1, follow[v])
-    left = np.clip(1 - np.bincount(v, share, minlength=base), 1e-9, 1)
-    types = [int((ends == k).sum()) for k in (1, 2, 3, 4)]
-    d = np.where(ends > 0, discounts(np.array(types))[np.clip(ends, 1, 3) - 1], 0)
-    total, seen = max(1, int(ends.sum())), base - 1  # all but the start symbol
-    lower = np.maximum(ends - d, 0) / total
-    lower = lower + (1 - lower.sum()) / seen
-    return Model(known, pairs, share.astype(np.float32), left.astype(np.float32), lower.astype(np.float32), rare_words)
+    def keys(self, words: Words) -> np.ndarray:
+        v, w = _pairs(words, self.known)
+        return v * np.uint64(len(self.known) + 2) + w
+
+    def log_p(self, keys: np.ndarray) -> np.ndarray:
+        """ln P of each token, by the key of its pair."""
+        if not len(keys):
+            return np.zeros(0)
+        order = np.argsort(keys).astype(np.uint32)
+        pairs = keys[order]
+        heads = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+        pairs = pairs[heads]
+        c, base = self.counts(pairs), np.uint64(len(self.known) + 2)
+        v, w = (pairs // base).astype(np.int64), (pairs % base).astype(np.int64)
+        share = np.where(c > 0, c - self.discounts[np.clip(c, 1, 3) - 1], 0) / np.maximum(1, self.follow[v])
+        p = np.log(np.maximum(share + self.left[v] * self.ends[w].astype(np.float64), 1e-12))
+        p[w == 0] -= np.log(max(1, self.rare_words))
+        out = np.empty(len(keys))
+        out[order] = np.repeat(p, np.diff(np.r_[heads, len(keys)]))
+        return out
 
 
 def model_of(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Model:
-    """Counts all words and all bigrams of all texts; the driver gets at most 1 / share of each."""
+    """Counts all words and all bigrams of all texts; the driver gets what is held by known word."""
     spark = docs.sparkSession
     texts = docs.select("text").where("text is not null")
     size = text_bytes(docs)
@@ -232,28 +282,45 @@ def model_of(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float
         v, w = _pairs(Words(batch.column("text"), lower=True), shared.value)
         return v * np.uint64(base) + w
 
+    n_buckets = buckets_for(size)
     sums = texts.mapInArrow(_sums(keys_of, n_buckets), _SUMS)
-    sums = kept(sums.groupBy("bucket").applyInArrow(_pair_bucket(base, max(2, tokens * pair_share)), "kind int, part int, a binary, b binary"))
-    got = sums.where("kind < 2").select("kind", "a", "b").toArrow()
-    kinds = got["kind"].to_pylist()
-    read = lambda c, k, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_py(), t) for x, is_k in zip(got[c], kinds, strict=True) if is_k == k)])
-    pairs, counts = read("a", 0, np.uint64), read("b", 0, np.int64)
-    order = np.argsort(pairs)
-    of_counts = read("b", 1, np.int64).reshape(-1, 4).sum(0)
-    dense = np.zeros((2, -(-base // (1 << 16)) << 16), np.int64)
-    for row in sums.where("kind >= 2").groupBy("kind", "part").applyInArrow(_part_sums, "kind int, part int, total binary").toArrow().to_pylist():
-        dense[row["kind"] - 2, row["part"] << 16 : (row["part"] + 1) << 16] = np.frombuffer(row["total"], np.int64)
-    return assembled(known, pairs[order], counts[order], of_counts, dense[0, :base], dense[1, :base], n_words - len(known))
+    sums = kept(sums.groupBy("bucket").applyInArrow(_pair_bucket(base, max(2, tokens * pair_share)), "kind int, part int, a binary, b binary"), "kind")
+    of_counts = sum((np.frombuffer(r["b"], np.int64) for r in sums.where("kind = 1").select("b").toLocalIterator()), np.zeros(4, np.int64))
+    parts = kept(sums.where("kind >= 2").groupBy("part").applyInArrow(_part_sums, "part int, total binary, types array<long>"))
+    types = sum((np.array(r["types"]) for r in parts.select("types").collect()), np.zeros(6, np.int64))
+    e, all_ends = discounts(types[:4]), max(1, int(types[5]))
+    spare = (1 - (types[5] - e @ types[[0, 1, 4]]) / all_ends) / (base - 1)  # for all but the start symbol
+    d = discounts(of_counts)
+    follow, left, ends = (np.full(base, x, np.float32) for x in (0, 1, spare))
+    for row in parts.select("part", "total").mapInArrow(_weights(d, e, all_ends, spare), "part int, follow binary, left binary, ends binary").toLocalIterator():
+        at = slice(row["part"] << 16, min(base, (row["part"] + 1) << 16))
+        for to, name in ((follow, "follow"), (left, "left"), (ends, "ends")):
+            to[at] = np.frombuffer(row[name], np.float32)[: at.stop - at.start]
+    files = sorted(f for f in sums.inputFiles() if "/kind=0/" in f)
+    return Model(known, follow, left, ends, n_words - len(known), d, n_buckets, files)
 
 
 def _scored(model):
+    def out(held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        log_p, at = model.value.log_p(np.concatenate([keys for _, keys, _ in held])), 0
+        for batch, keys, bounds in held:
+            sums = np.r_[0.0, np.cumsum(log_p[at : at + len(keys)])]
+            at += len(keys)
+            n = np.diff(bounds)
+            mean = np.where(n > 0, (sums[bounds[:-1]] - sums[bounds[1:]]) / np.maximum(n, 1), np.nan)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), pa.array(mean, mask=n == 0)], ["doc_id", "lang", "n_tokens", "log_ppl"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in chunks(batches):
             words = Words(batch.column("text"), lower=True)
-            sums = np.r_[0.0, np.cumsum(model.value.log_p(words).astype(np.float64))]
-            n = np.diff(words.bounds)
-            mean = np.where(n > 0, (sums[words.bounds[:-1]] - sums[words.bounds[1:]]) / np.maximum(n, 1), np.nan)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(n.astype(np.int64)), pa.array(mean, mask=n == 0)], ["doc_id", "lang", "n_tokens", "log_ppl"])
+            held.append((batch.select(["doc_id", "lang"]), model.value.keys(words), words.bounds))
+            size += len(held[-1][1])
+            if size >= _SCORED:
+                yield from out(held)
+                held, size = [], 0
+        if held:
+            yield from out(held)
 
     return run
 

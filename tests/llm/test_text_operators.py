@@ -323,6 +323,16 @@ def test_perplexity_rules(docs_of):
     assert perplexity.judged(docs_of(texts).limit(0)).count() == 0
 
 
+def test_perplexity_model_has_no_cap(docs_of, monkeypatch):
+    docs = docs_of(["a " * 100_000] * 45 + ["rare pair"] * 2)
+    model = perplexity.model_of(docs)
+    assert len(model.known) == 3
+    assert (model.counts(np.sort(model.keys(Words(pa.array(["rare pair"]), lower=True)))) == 2).all()
+    one = perplexity.scored(docs, model).orderBy("doc_id").collect()
+    monkeypatch.setattr(perplexity, "buckets_for", lambda n_bytes: 13)
+    assert perplexity.scored(docs, perplexity.model_of(docs)).orderBy("doc_id").collect() == one
+
+
 def test_packed_keys():
     rng = np.random.default_rng(4)
     for n in (0, 1, 1000):
