@@ -13,6 +13,9 @@ its words, drops templates of which too few words occur at all for the coverage;
 match. Within a stretch the matches are split where more than a template's length of other words lies
 between them, and the best part counts.
 
+A match must hold the phrases of ``MUST``, each word next to the other: names and versions that tell
+a license from others of nearly the same words.
+
 A row comes out for each document and license with a coverage of ``MIN_COVERAGE`` and matches that
 fill ``MIN_DENSITY`` of the words they span. Defined results: null or empty texts, and texts without
 a license, give no row; rows that repeat each give their own; of equally good stretches the first
@@ -25,6 +28,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +47,27 @@ TEMPLATES = {
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Released under the MIT License",
     "MIT-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-}
+    "GPL-2.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "BSD": "Released under the BSD License",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0",
+    "BSL-1.0-full": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+} | {x.name[:-4]: x.read_text() for x in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda x: x.name) if x.name.endswith(".txt")}
+#: Phrases, by template, that a match must hold as they are.
+MUST = {
+    "Apache-2.0": ("apache", "2.0"), "Apache-2.0-notice": ("apache", "2.0"), "CC-BY-NC-4.0": ("by-nc", "4.0"), "CC-BY-4.0": ("creative commons attribution 4.0",), "MIT": ("mit",), "BSD": ("bsd",),
+    "GPL-3.0": ("gnu general public license", "version 3"), "GPL-2.0-notice": ("gnu general public license", "version 2"), "GPL-3.0-notice": ("gnu general public license", "version 3"), "GPL-3.0-full": ("gnu general public license version 3",),
+    "AGPL-3.0-notice": ("gnu affero general public license", "version 3"), "LGPL-2.1-notice": ("gnu lesser general public license", "version 2.1"), "LGPL-3.0-notice": ("gnu lesser general public license", "version 3"),
+    "MPL-2.0-notice": ("mozilla", "2.0"), "EPL-2.0-notice": ("eclipse", "2.0"), "BSL-1.0-notice": ("boost", "1.0"),
+}
+#: Templates of more words get no look at single words beforehand, only at the text's length.
+LONG = 500
 #: Words too common to begin a stretch.
 COMMON = frozenset("a all and any are as at be by for from in is it may must not of on or that the this to under with without you use work files file version list".split())
 _WORD = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
@@ -108,6 +132,13 @@ class Template:
         self.name, self.words = name, words_of(text)
         self.counts = Counter(self.words)
         self.telling = {w for w in self.words if w not in COMMON} or set(self.words)
+        runs = [p.split() for p in MUST.get(name, ())]
+        self.must = [range(k, k + len(r)) for r in runs for k in [x for x in range(len(self.words)) if self.words[x : x + len(r)] == r][:1]]
+
+    def told(self, part: list[tuple[int, int]]) -> bool:
+        """Whether these matched places (in the text, in the template) hold the template's phrases."""
+        at = {k: x for x, k in part}
+        return all(k in at and at[k] - at.get(run[0], -1) == k - run[0] for run in self.must for k in run)
 
     def stretches(self, places: dict[str, list[int]], n: int) -> list[tuple[int, int]]:
         """Where its telling words lie close together, with a margin; disjoint and in order."""
@@ -123,6 +154,8 @@ class Template:
     def best(self, text: list[str], places: dict[str, list[int]], coverage: float, density: float) -> tuple[float, int, int] | None:
         """Coverage, first word and end of the best part that passes."""
         size, found = len(self.words), None
+        if len(text) < coverage * size - 1e-9 or any(self.words[k] not in places for run in self.must for k in run):
+            return None
         if sum(min(c, len(places.get(w, ()))) for w, c in self.counts.items()) < coverage * size - 1e-9:
             return None
         for lo, hi in self.stretches(places, len(text)):
@@ -130,12 +163,12 @@ class Template:
             have = Counter(own)
             if sum(min(c, have[w]) for w, c in self.counts.items()) < coverage * size - 1e-9:
                 continue
-            matched, part = [lo + i for i, _ in align(text[lo:hi], self.words)], []
+            matched, part = [(lo + i, k) for i, k in align(text[lo:hi], self.words)], []
             for x in [*matched, None]:
-                if part and (x is None or x - part[-1] > size):
-                    share = round(len(part) / size, 6)
-                    if share >= coverage and len(part) / (part[-1] + 1 - part[0]) >= density and (found is None or share > found[0]):
-                        found = (share, part[0], part[-1] + 1)
+                if part and (x is None or x[0] - part[-1][0] > size):
+                    share, first, end = round(len(part) / size, 6), part[0][0], part[-1][0] + 1
+                    if share >= coverage and len(part) / (end - first) >= density and (found is None or share > found[0]) and self.told(part):
+                        found = (share, first, end)
                     part = []
                 if x is not None:
                     part.append(x)
@@ -147,11 +180,9 @@ def licenses_in(text: str | None, templates: list[Template], coverage: float = M
     if not text:
         return []
     words = words_of(text)
-    wanted = {w for t in templates for w in t.counts}
     places: dict[str, list[int]] = {}
     for k, w in enumerate(words):
-        if w in wanted:
-            places.setdefault(w, []).append(k)
+        places.setdefault(w, []).append(k)
     found = ((t.name, t.best(words, places, coverage, density)) for t in templates)
     return [(name, *hit) for name, hit in found if hit]
 
@@ -159,7 +190,8 @@ def licenses_in(text: str | None, templates: list[Template], coverage: float = M
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = MIN_COVERAGE, density: float = MIN_DENSITY) -> DataFrame:
     """doc_id, license, coverage, start, stop (words from 0, stop excluded); one pass, no exchange.
 
-    The JVM drops texts that hold no telling word of any template as a substring; they can't match.
+    The JVM drops texts that hold no telling word of any template as a substring, and are shorter than the
+    least that a long template needs; they can't match.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +201,10 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: fl
             columns = list(zip(*rows, strict=True)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "license", "coverage", "start", "stop"])
 
-    low, some = F.lower("text"), F.lit(False)
-    for w in sorted(required(templates)):
+    sizes = {n: sorted(map(len, words_of(t))) for n, t in templates.items()}
+    least = [sum(x[: int(coverage * len(x))]) for x in sizes.values() if len(x) > LONG]
+    low, some = F.lower("text"), F.length("text") >= min(least) if least else F.lit(False)
+    for w in sorted(required({n: t for n, t in templates.items() if len(sizes[n]) <= LONG}, coverage)):
         some = some | F.contains(low, F.lit(w))
     return docs.select(F.col("doc_id").cast("long"), "text").where(some).mapInArrow(run, "doc_id long, license string, coverage double, start int, stop int")
 

@@ -160,6 +160,18 @@ def test_licenses(docs_of):
     assert licenses.scanned(docs_of(rows).limit(0)).count() == 0
 
 
+def test_licenses_by_name_and_whole(docs_of):
+    gpl, agpl, lgpl = (licenses.TEMPLATES[f"{n}-notice"] for n in ("GPL-3.0", "AGPL-3.0", "LGPL-2.1"))
+    whole = [n for n in licenses.TEMPLATES if n.endswith("-full")]
+    texts = ["Released under the BSD License", "Released under the Apache License", "Licensed under the MIT of the", gpl, agpl, lgpl, gpl.replace("version 3", "version 2"), *(f"before\n{licenses.TEMPLATES[n]}\nafter" for n in whole)]
+    got = [{r["license"] for r in licenses.scanned(docs_of(texts)).where(f"doc_id = {k}").collect()} for k in range(7)]
+    assert got == [{"BSD"}, set(), set(), {"GPL-3.0-notice"}, {"AGPL-3.0-notice"}, {"LGPL-2.1-notice"}, {"GPL-2.0-notice"}]
+    found = {(r["doc_id"], r["license"]) for r in licenses.scanned(docs_of(texts)).collect()}
+    assert {"GPL-3.0-full", "LGPL-3.0-full", "MPL-2.0-full", "BSL-1.0-full"} <= set(whole)
+    for k, n in enumerate(whole, 7):
+        assert (k, n) in found and not any((k, m) in found for m in whole if m != n)
+
+
 def test_mixing_against_brute_force(docs_of):
     import hashlib
 
