@@ -4,9 +4,10 @@ A document is the set of its word n-grams (lower case, runs of non-space bytes;
 than ``n`` words has one n-gram, all of it). All pairs of documents with a Jaccard similarity of at
 least ``threshold`` are found exactly:
 
-1. Tasks count their n-grams; those that are frequent form one table of bounded size (its least
-   frequency doubles until it fits). It orders n-grams from rare to frequent and gives the class.
-   The order and classes only steer the work; no pair depends on their being exact.
+1. Tasks count their n-grams, slice by slice, and sample those that are rare in a slice; those that
+   are frequent over all form one table of bounded size (its least frequency doubles until it fits).
+   It orders n-grams from rare to frequent and gives the class. The order and classes only steer the
+   work; no pair depends on their being exact.
 2. Sets that can't have a partner go: of a set of n, a partner holds t n at least, so of its n-grams in
    three quarters of the hash space all but n - t n at most are in some other set as well. These n-grams meet in
    buckets, 4 bytes each, and only sets with so many shared ones go on, as a table of their own.
@@ -15,15 +16,17 @@ least ``threshold`` are found exactly:
    least a, and p the prefix's length of which m are frequent, p - min(m, 1) >= size - a + 1.
    The smaller set of a pair needs the shorter, indexing prefix (a = 2t/(1+t) size), the larger one
    the probing prefix (a = t size); a signature says whether it lies in the first.
-4. Signatures travel packed to buckets by hash, which give the candidate pairs.
-5. Candidates meet their sets in blocks and are verified exactly.
+4. Signatures travel packed to buckets by hash, which give the candidate pairs; long lists of one
+   signature are split, and their pieces meet in tasks of their own.
+5. Candidates meet their sets in blocks of bounded size and are verified exactly.
 
-Equal sets are one node up to here, so groups of exact copies cost nothing; the documents of each
-node are joined back at the end.
+Equal sets are one node throughout, so groups of exact copies cost nothing and are never paired up.
+The result is a row for each document: its class and its number of links.
 
-Defined results: null doc_id, null text and texts without words take no part; rows that share a
-doc_id are one document with the pairs of each, and never a pair of their own. Extra columns of any
-name are ignored.
+Defined results: null doc_ids have no row (``deduplicated`` keeps their rows); documents whose texts
+are null or without words are a class each, with no link; rows that share a doc_id are one document
+with the links of each different set, and none of its own. Extra columns of any name are ignored, or
+carried by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -38,14 +41,19 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, buckets_for, kept, table, text_bytes
 from .tokens import Words, chunks, mix
 
-N, THRESHOLD = 3, 0.6
+#: Copies with a tenth of their words edited have a Jaccard similarity of 0.5 to 0.6 in 3-grams; texts of their own have less than 0.25.
+N, THRESHOLD = 3, 0.5
 #: N-grams with a hash below this take part in the sieve: three quarters.
 _SIEVED = np.uint64(3 << 62)
 #: Document frequency from which an n-gram is of the class indexed by pairs.
 PAIRED = 4096
-#: Rows of the table of frequent n-grams, and the count within one task that reports one.
-FREQUENT_ROWS, TASK_COUNT = 1_000_000, 4
-_TASK_GRAMS = 3_000_000
+#: Rows of the table of frequent n-grams; the count within a slice that reports one, and of how many of the other occurrences one is.
+FREQUENT_ROWS, TASK_COUNT, SAMPLED = 1_000_000, 4, 64
+_TASK_GRAMS = 2_000_000
+#: Sets of one signature from which their pairs are the work of several tasks; pairs held by a task.
+LONG_LIST, _HELD_PAIRS = 2048, 500_000
+#: N-grams, at 8 bytes each, and sets of a group; two groups meet in a task.
+GROUP_BYTES, GROUP_SETS = 8 << 20, 2000
 _LEVEL_BITS = 6
 
 
@@ -73,17 +81,48 @@ def _keys(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return owner[heads], mix(sums)
 
 
+class _Once:
+    """Tells which sets a task sees for the first time."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def new(self, key: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(key), bool)
+        for k, x in enumerate(key.tolist()):
+            if x not in self.seen:
+                self.seen.add(x)
+                out[k] = True
+        return out
+
+    def only(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams and texts of the new sets, and their keys."""
+        at, key = _keys(hashes, owner)
+        new = self.new(key)
+        if new.all():
+            return hashes, owner, key
+        chosen = np.repeat(new, np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(owner) != 0]), len(owner)])) if len(owner) else np.zeros(0, bool)
+        return hashes[chosen], owner[chosen], key[new]
+
+
 def _survey(n: int, t: float):
-    """Rows (0, n-gram, count) of n-grams frequent in this task; (1, set, doc_id); (2, set, 0) of sets with too few n-grams in the sieve."""
+    """Rows (0, n-gram, count) of n-grams frequent in a slice of this task; (1, set, doc_id); (2, set, 0) of sets with too few n-grams in the sieve.
+
+    Of the n-grams that are rare in a slice, (3, n-gram, 1) for a share of their occurrences, so that
+    those that are frequent over many slices show too.
+    """
 
     def rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.astype(np.int64))], ["kind", "a", "b"])
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         values = np.sort(np.concatenate(held))
         heads = np.r_[0, np.flatnonzero(values[1:] != values[:-1]) + 1]
-        counts = np.diff(np.r_[heads, len(values)])
-        return rows(0, values[heads[counts >= TASK_COUNT]], counts[counts >= TASK_COUNT])
+        values, counts = values[heads], np.diff(np.r_[heads, len(values)])
+        often = counts >= TASK_COUNT
+        some = ~often & (mix(values + np.bitwise_xor.reduce(values)) % np.uint64(SAMPLED) < counts.astype(np.uint64))
+        yield rows(0, values[often], counts[often])
+        yield rows(3, values[some], np.ones(some.sum(), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -99,10 +138,10 @@ def _survey(n: int, t: float):
             held.append(hashes)
             size += len(hashes)
             if size >= _TASK_GRAMS:
-                yield counted(held)
+                yield from counted(held)
                 held, size = [], 0
         if held:
-            yield counted(held)
+            yield from counted(held)
 
     return run
 
@@ -111,11 +150,11 @@ def _sieved(n: int, n_buckets: int):
     """Of each set: its size, and its n-grams in the sieve, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = _Once()
         for batch in chunks(batches):
-            hashes, owner = _sets(batch, n)
+            hashes, owner, key = once.only(*_sets(batch, n))
             if not len(hashes):
                 continue
-            _, key = _keys(hashes, owner)
             heads = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
             size = np.diff(np.r_[heads, len(owner)])
             node = np.repeat(np.arange(len(heads)), size)
@@ -198,12 +237,11 @@ def _ranked(hashes: np.ndarray, owner: np.ndarray, frequent: tuple[np.ndarray, n
 
 def _signatures(n: int, t: float, paired: int, n_buckets: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = frequent.value
+        table, once = frequent.value, _Once()
         for batch in chunks(batches):
-            hashes, owner = _sets(batch, n)
+            hashes, owner, key = once.only(*_sets(batch, n))
             if not len(hashes):
                 continue
-            _, key = _keys(hashes, owner)
             ranked, owner, level = _ranked(hashes, owner, table)
             heads = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
             size = np.diff(np.r_[heads, len(owner)])
@@ -246,28 +284,27 @@ def _joined(column, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unique_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    a, b, n, m = a[order], b[order], n[order], m[order]
     if len(a):
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        a, b = a[new], b[new]
-    return a, b
+        a, b, n, m = a[new], b[new], n[new], m[new]
+    return a, b, n, m
+
 
+def _packed_rows(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["kind", "a", "b", "n", "m"])
 
-def _blocked(a: np.ndarray, b: np.ndarray, groups: int) -> pa.Table:
-    """Pairs packed by block: the pair of groups that their sets are in."""
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    x, y = (low % np.uint64(groups)).astype(np.int64), (high % np.uint64(groups)).astype(np.int64)
-    block = np.minimum(x, y) * groups + np.maximum(x, y)
-    order = np.argsort(block, kind="stable")
-    block, low, high = block[order], low[order], high[order]
-    heads = np.r_[0, np.flatnonzero(np.diff(block)) + 1] if len(block) else np.zeros(0, np.int64)
-    ends = np.r_[heads[1:], len(block)] if len(block) else heads
-    return pa.table([pa.array(block[heads], pa.int64()), pa.array([low[i:j].tobytes() for i, j in zip(heads, ends, strict=True)], pa.binary()), pa.array([high[i:j].tobytes() for i, j in zip(heads, ends, strict=True)], pa.binary())], ["block", "a", "b"])
 
+def _candidates(t: float):
+    """Of one bucket: rows of kind 0 hold pairs of sets; rows of kind 1 two pieces of a long list of sets with one signature.
+
+    In a list, sorted by size, each set in its indexing prefix meets the larger ones. The pieces of
+    long lists meet in tasks of their own, so no list is one task's work.
+    """
 
-def _candidates(t: float, groups: int):
     def run(bucket: pa.Table) -> pa.Table:
         sigs = _joined(bucket["sigs"], np.uint64)
         name = sigs >> np.uint64(1)
@@ -276,89 +313,96 @@ def _candidates(t: float, groups: int):
         same = ranked[1:] == ranked[:-1]
         order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
         of = np.repeat(np.arange(sum(len(x.as_py()) for x in bucket["sets"]) // 8), _joined(bucket["counts"], np.uint32))[order]
-        key, size = _joined(bucket["sets"], np.uint64)[of], _joined(bucket["sizes"], np.uint32).astype(np.int64)[of]
+        key, size = _joined(bucket["sets"], np.uint64)[of], _joined(bucket["sizes"], np.uint32)[of]
         name, index = name[order], (sigs[order] & np.uint64(1)).astype(bool)
         order = np.lexsort((key, size, name))
         name, key, size, index = name[order], key[order], size[order], index[order]
         if len(name):
             new = np.r_[True, (name[1:] != name[:-1]) | (key[1:] != key[:-1])]
             name, key, size, index = name[new], key[new], size[new], index[new]
-        at, d, found = np.flatnonzero(index), 1, ([np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)])
-        held = 0
+        rows: list[tuple] = []
+        heads = np.r_[0, np.flatnonzero(name[1:] != name[:-1]) + 1, len(name)] if len(name) else np.zeros(1, np.int64)
+        length = np.diff(heads)
+        for k in np.flatnonzero(length > LONG_LIST):
+            pieces = [slice(i, min(i + LONG_LIST // 2, heads[k + 1])) for i in range(heads[k], heads[k + 1], LONG_LIST // 2)]
+            flagged = (size << np.uint32(1)) | index
+            for i, x in enumerate(pieces):
+                for y in pieces[i:]:
+                    if size[y.start] * t <= size[x.stop - 1] + 1e-9 and index[x].any():
+                        rows.append((1, key[x].tobytes(), key[y].tobytes() if x is not y else b"", flagged[x].tobytes(), size[y].tobytes() if x is not y else b""))
+        at, d, held = np.flatnonzero(index & np.repeat(length <= LONG_LIST, length)), 1, 0
+        found: list[tuple] = []
         while len(at):
             at = at[at + d < len(name)]
             at = at[(name[at] == name[at + d]) & (size[at + d] * t <= size[at] + 1e-9)]
-            found[0].append(key[at])
-            found[1].append(key[at + d])
+            found.append((key[at], key[at + d], size[at], size[at + d]))
             held += len(at)
             d += 1
-            if held > 4_000_000:
-                a, b = _unique_pairs(*(np.concatenate(x) for x in found))
-                found, held = ([a], [b]), 0
-        a, b = (np.concatenate(x) for x in found)
-        return _blocked(*_unique_pairs(np.minimum(a, b), np.maximum(a, b)), groups)
+            if held > _HELD_PAIRS or not len(at):
+                rows += [(0, *(x[i : i + _HELD_PAIRS].tobytes() for x in pairs)) for pairs in [_unique_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))] for i in range(0, len(pairs[0]), _HELD_PAIRS)]
+                found, held = [], 0
+        return _packed_rows(rows)
 
     return run
 
 
-def _once(groups: int):
-    def run(block: pa.Table) -> pa.Table:
-        return _blocked(*_unique_pairs(_joined(block["a"], np.uint64), _joined(block["b"], np.uint64)), groups)
+def _expanded(t: float):
+    """(a, b, n, m): the pairs of sets, and their sizes."""
 
-    return run
+    def out(a, b, n, m) -> pa.RecordBatch:
+        swap = a.view(np.int64) > b.view(np.int64)
+        a, b, n, m = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, m, n), np.where(swap, n, m)
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int32))], ["a", "b", "n", "m"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, *raw in zip(*(batch.column(c) for c in ("kind", "a", "b", "n", "m")), strict=True):
+                a, b, n, m = (np.frombuffer(x.as_py(), k) for x, k in zip(raw, (np.uint64, np.uint64, np.uint32, np.uint32), strict=True))
+                if kind.as_py() == 0:
+                    yield out(a, b, n, m)
+                    continue
+                index, n, own = (n & np.uint32(1)).astype(bool), n >> np.uint32(1), not len(b)
+                if own:
+                    b, m = a, n
+                meet = index[:, None] & (m[None, :] * t <= n[:, None] + 1e-9)
+                i, j = np.nonzero(np.triu(meet, 1) if own else meet)
+                yield out(a[i], b[j], n[i], m[j])
 
-def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set, block): where sets are wanted; a row holds all pairs of its block."""
-    for batch in batches:
-        for block, a, b in zip(batch.column("block").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
-            keys = np.unique(np.frombuffer(a.as_py() + b.as_py(), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), block, np.int64))], ["set", "block"])
+    return run
 
 
-def _set_rows(n: int, wanted):
-    """(block, set, grams) of each wanted set; without a list of wanted ones, (set, grams) of all."""
+def _set_rows(n: int):
+    """(set, grams) of each text, of equal sets one a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = _Once()
         for batch in chunks(batches):
             hashes, owner = _sets(batch, n)
             if not len(hashes):
                 continue
-            at, key = _keys(hashes, owner)
+            _, key = _keys(hashes, owner)
             heads = np.r_[0, np.flatnonzero(np.diff(owner)) + 1, len(owner)]
-            if wanted is None:
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array([hashes[heads[k] : heads[k + 1]].tobytes() for k in range(len(key))], pa.binary())], ["set", "grams"])
-                continue
-            names, docs, blocks = wanted.value
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[at]
-            lo, hi = np.searchsorted(names, key.view(np.int64), "left"), np.searchsorted(names, key.view(np.int64), "right")
-            out: list[list] = [[], [], []]
-            for k in np.flatnonzero(hi > lo):
-                if docs[lo[k]] == ids[k]:
-                    grams = hashes[heads[k] : heads[k + 1]].tobytes()
-                    for block in blocks[lo[k] : hi[k]]:
-                        out[0].append(int(block))
-                        out[1].append(int(key[k : k + 1].view(np.int64)[0]))
-                        out[2].append(grams)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["block", "set", "grams"])
+            new = np.flatnonzero(once.new(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array([hashes[heads[k] : heads[k + 1]].tobytes() for k in new], pa.binary())], ["set", "grams"])
 
     return run
 
 
 def _verify(t: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        a, b = _joined(pairs["a"], np.uint64).view(np.int64), _joined(pairs["b"], np.uint64).view(np.int64)
-        grams = {k: v for k, v in zip(sets["set"].to_pylist(), sets["grams"], strict=True)}
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
+        order = np.lexsort((pairs["b"].to_numpy(), pairs["a"].to_numpy()))
+        a, b = pairs["a"].to_numpy()[order], pairs["b"].to_numpy()[order]
+        sets = sets.combine_chunks()
+        grams, column = {k: v for v, k in enumerate(sets["set"].to_pylist())}, sets["grams"]
+        of = lambda k: np.frombuffer(column[grams[int(k)]].as_buffer(), np.uint64)
         score = np.zeros(len(a))
         edges = np.flatnonzero(np.diff(a)) + 1
         for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(a)], strict=True):
             if hi == lo:
                 continue
-            own = np.frombuffer(grams[int(a[lo])].as_py(), np.uint64)
-            for at in range(lo, hi, 1000):
-                others = [np.frombuffer(grams[int(k)].as_py(), np.uint64) for k in b[at : min(hi, at + 1000)]]
+            own = of(a[lo])
+            for at in range(lo, hi, 200):
+                others = [of(k) for k in b[at : min(hi, at + 200)]]
                 sizes = np.array([len(x) for x in others])
                 every = np.concatenate(others)
                 place = np.minimum(np.searchsorted(own, every), len(own) - 1)
@@ -370,16 +414,41 @@ def _verify(t: float):
     return run
 
 
-def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, jaccard) of different sets; (set, doc_id) of all documents."""
-    if not 0.5 < t <= 1:
-        raise ValueError("the threshold must be above 0.5 and at most 1")
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """(block, a, b): the pairs in blocks of bounded size; pairs of one cluster share few blocks.
+
+    Each set takes the label of its least neighbour's least neighbour, which is one for most of a
+    cluster, so a set is sent to about one block. Labels of more than ``GROUP_BYTES`` or
+    ``GROUP_SETS`` are split into groups of sets; the others share groups. A block is a pair of groups.
+    """
+    both = pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n")))
+    near = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"), F.first("n").alias("n")))
+    near = near.join(near.select(F.col("a").alias("least"), F.col("least").alias("label")), "least").select("a", "label", "n")
+    sizes = kept(near.groupBy("label").agg(F.sum("n").alias("grams"), F.count("*").alias("sets")).select("label", "grams", "sets", F.ceil(F.greatest(F.col("grams") * 8 / GROUP_BYTES, F.col("sets") / GROUP_SETS)).alias("parts")))
+    grams, sets = sizes.where("parts <= 1").agg(F.sum("grams"), F.sum("sets")).first()
+    groups = 1 + int(max((grams or 0) * 8 / GROUP_BYTES, (sets or 0) / GROUP_SETS))
+    large = sizes.where("parts > 1").select("label", "parts")
+    if large.count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    part = F.when(F.col("parts").isNull(), F.xxhash64(F.pmod(F.xxhash64("label"), F.lit(groups)))).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("parts"))))
+    group = kept(near.join(large, "label", "left").select("a", part.alias("part")))
+    placed = pairs.select("a", "b").join(group.toDF("a", "x"), "a").join(group.toDF("b", "y"), "b")
+    return placed.select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("block"), "a", "b")
+
+
+def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a, b, jaccard) of different sets; (set, doc_id) of all documents; (set, first, docs): each set's least doc_id and their number."""
+    if not 0.4 <= t <= 1:
+        raise ValueError("the threshold must be 0.4 to 1")
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     size = text_bytes(docs)
-    survey = kept(texts.mapInArrow(_survey(n, t), "kind int, a long, b long"))
-    members = survey.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id")).distinct()
-    counts = kept(survey.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= min(16, paired)).select("a", F.floor(F.log2("n")).cast("int").alias("level")))
+    survey = kept(texts.mapInArrow(_survey(n, t), "kind int, a long, b long"), "kind")
+    members = kept(survey.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id")).distinct())
+    firsts = kept(members.groupBy("set").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")))
+    counts = survey.where("kind in (0, 3)").groupBy("a").agg(F.sum(F.when(F.col("kind") == 0, F.col("b")).otherwise(0)).alias("n"), F.count_if(F.col("kind") == 3).alias("some"))
+    counts = counts.select("a", (F.col("n") + F.when(F.col("some") >= 4, F.col("some") * SAMPLED).otherwise(0)).alias("n"))
+    counts = kept(counts.where(F.col("n") >= min(16, paired)).select("a", F.floor(F.log2("n")).cast("int").alias("level")))
     per_level, least, rows = {r["level"]: r["count"] for r in counts.groupBy("level").count().collect()}, 99, 0
     for level in sorted(per_level, reverse=True):
         if (rows := rows + per_level[level]) > FREQUENT_ROWS:
@@ -392,39 +461,27 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     sieved = texts.mapInArrow(_sieved(n, buckets_for(size)), "bucket int, sets binary, sizes binary, counts binary, grams binary")
     shared = sieved.groupBy("bucket").applyInArrow(_shared(buckets_for(size / 6)), "part int, rows binary")
     going = shared.groupBy("part").applyInArrow(_partnered(t), "set long").unionByName(survey.where("kind = 2").select(F.col("a").alias("set"))).distinct()
-    chosen = kept(members.join(going, "set").groupBy("set").agg(F.min("doc_id").alias("__id")).select("__id"))
+    chosen = kept(firsts.join(going, "set").select(F.col("first").alias("__id")).distinct())
     few = chosen.count() <= BROADCAST_ROWS
     texts = kept(texts.join(F.broadcast(chosen) if few else chosen, F.col("doc_id") == F.col("__id"), "left_semi"))
     size = text_bytes(texts)
-    groups = max(2, -(-int(size * 1.2) // (64 << 20)))
     packed = texts.mapInArrow(_signatures(n, t, paired, buckets_for(size * (1 - t) / 6 * 13), frequent), "bucket int, sets binary, sizes binary, counts binary, sigs binary")
-    kind = "block long, a binary, b binary"
-    found = packed.groupBy("bucket").applyInArrow(_candidates(t, groups), kind)
-    pairs = kept(found.groupBy("block").applyInArrow(_once(groups), kind))
-    routes = pairs.mapInArrow(_routes, "set long, block long").join(members.groupBy("set").agg(F.min("doc_id").alias("doc_id")), "set")
-    routes = kept(routes)
-    if routes.count() <= BROADCAST_ROWS:
-        got = routes.toArrow()
-        name, doc, block = (got[c].to_numpy() for c in ("set", "doc_id", "block"))
-        order = np.argsort(name)
-        wanted = spark.sparkContext.broadcast((name[order], doc[order], block[order]))
-        sets = texts.mapInArrow(_set_rows(n, wanted), "block long, set long, grams binary")
-    else:
-        every = texts.mapInArrow(_set_rows(n, None), "set long, grams binary")
-        sets = every.join(routes, "set").dropDuplicates(["set", "block"]).select("block", "set", "grams")
-    similar = pairs.groupBy("block").cogroup(sets.groupBy("block")).applyInArrow(_verify(t), "a long, b long, jaccard double")
-    return similar, members
-
-
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, paired: int = PAIRED) -> DataFrame:
-    """doc_id_a < doc_id_b and their jaccard, of every pair of at least the threshold."""
-    similar, members = _similar_sets(docs, n, threshold, paired)
-    members = kept(members)
-    left, right = members.toDF("a", "x"), members.toDF("b", "y")
-    near = similar.join(left, "a").join(right, "b").select("x", "y", "jaccard")
-    equal = members.toDF("a", "x").join(members.toDF("a", "y"), "a").where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    every = near.where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard").unionByName(equal.toDF("doc_id_a", "doc_id_b", "jaccard"))
-    return every.groupBy("doc_id_a", "doc_id_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    found, kind = kept(packed.groupBy("bucket").applyInArrow(_candidates(t), "kind int, a binary, b binary, n binary, m binary"), "kind"), "a long, b long, n int, m int"
+    long_lists = found.where("kind = 1")
+    long_lists = long_lists.repartition(max(1, long_lists.count() // 16))
+    pairs = kept(found.where("kind = 0").mapInArrow(_expanded(t), kind).unionByName(long_lists.mapInArrow(_expanded(t), kind)).distinct())
+    blocks = kept(_blocks(pairs))
+    routes = blocks.select(F.col("block").alias("to"), F.explode(F.array("a", "b")).alias("set")).distinct()
+    sets = texts.mapInArrow(_set_rows(n), "set long, grams binary").join(routes, "set").select("to", "set", "grams")
+    similar = blocks.groupBy("block").cogroup(sets.groupBy("to")).applyInArrow(_verify(t), "a long, b long, jaccard double")
+    return similar, members, firsts
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, paired: int = PAIRED) -> DataFrame:
+    """doc_id_a < doc_id_b and their jaccard, of every pair of different sets; each set is named by its least doc_id."""
+    similar, _, firsts = _similar_sets(docs, n, threshold, paired)
+    named = similar.join(firsts.select(F.col("set").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("set").alias("b"), F.col("first").alias("y")), "b").where("x <> y")
+    return named.groupBy(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -446,30 +503,56 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def grouped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, paired: int = PAIRED) -> DataFrame:
+    """doc_id, class_id, n_links of every document.
+
+    A class is connected by pairs of at least the threshold; its id is the least doc_id in it. A link
+    joins two texts of different documents: equal sets or sets of at least the threshold; links are
+    counted by sets and their numbers of documents, so copies are never paired with one another.
+    """
+    similar, members, firsts = _similar_sets(docs, n, threshold, paired)
+    similar = kept(similar)
+    both = similar.select("a", "b").unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(firsts.select(F.col("set").alias("b"), "docs"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("docs").alias("near"))
+    several = kept(members.join(members.groupBy("doc_id").count().where("count > 1").select("doc_id"), "doc_id").select("set", "doc_id"))  # documents of several sets
+    name = firsts.select("set", "first")
+    edges = similar.select("a", "b").join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    label = components(edges.unionByName(several.join(name, "set").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
+    info = kept(firsts.join(near, "set", "left").join(label.withColumnRenamed("node", "first"), "first", "left").select("set", "docs", F.coalesce("label", "first").alias("class_id"), (F.col("docs") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+    # Sets of more than 1 / 10,000 of all memberships are 10,000 at most; these meet their documents without an exchange.
+    least = max(1000, members.count() // 10_000)
+    often, rest = F.broadcast(info.where(F.col("docs") > least)), info.where(F.col("docs") <= least)
+    told = members.join(often, "set").unionByName(members.join(F.broadcast(info.where(F.col("docs") > least).select("set")), "set", "left_anti").join(rest, "set")).select("doc_id", "class_id", "n_links")
+    own = both.join(several.toDF("a", "doc_id"), "a").join(several.toDF("b", "doc_id"), ["b", "doc_id"]).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(-1).cast("long").alias("n_links"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return every.unionByName(told).unionByName(own).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
+
+
 def deduplicated(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of which the document is the least doc_id of its group; all columns as they are.
+    """The rows of which the document is the least doc_id of its class; all columns as they are.
 
-    Groups are connected by pairs of at least the threshold. Rows that share a doc_id go or stay
-    together; rows with a null doc_id stay. The ids to go are broadcast only where they are few.
+    Rows that share a doc_id go or stay together; rows with a null doc_id stay. The ids to go are
+    broadcast only where their count, which is taken, is small.
     """
-    similar, members = _similar_sets(docs, n, threshold, PAIRED)
-    least = kept(members.join(members.groupBy("set").agg(F.min("doc_id").alias("least")), "set"))
-    own = least.select("set", "least").distinct()
-    edges = similar.select("a", "b").join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = least.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    gone = kept(components(edges.unionByName(same)).where("node <> label").select(F.col("node").alias("__gone")))
+    gone = kept(grouped(docs, n, threshold).where("doc_id <> class_id").select("doc_id"))
+    rows, gone = docs.select(F.struct("*").alias("row")), gone.toDF("id")
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return rows.join(F.broadcast(gone) if few else gone, F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return similar_pairs(table(spark, sf_dir, "documents"))
+    return grouped(table(spark, sf_dir, "documents"))
 
 
 OP2_SQL = f"""
-WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[^\\t\\n\\f\\r ]+') w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + {N - 1}], ' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {N - 1}, 1) + 1)) p FROM w WHERE len(w) > 0)),
-s AS (SELECT doc_id, count(*) n FROM g GROUP BY doc_id),
-o AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT x AS doc_id_a, y AS doc_id_b, round(c / (p.n + q.n - c), 6) AS jaccard FROM o JOIN s p ON p.doc_id = x JOIN s q ON q.doc_id = y WHERE c / (p.n + q.n - c) >= {THRESHOLD} - 1e-9
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[^\\t\\n\\f\\r ]+') w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+t AS (SELECT doc_id, list_sort(list_distinct([array_to_string(w[p : p + {N - 1}], ' ') FOR p IN range(1, greatest(len(w) - {N - 1}, 1) + 1)])) g FROM w WHERE len(w) > 0),
+m AS (SELECT DISTINCT doc_id, md5(array_to_string(g, chr(10))) k FROM t),
+g AS (SELECT DISTINCT md5(array_to_string(g, chr(10))) k, len(g) n, unnest(g) g FROM t),
+o AS (SELECT a.k x, b.k y, a.n n, b.n m, count(*) c FROM g a JOIN g b ON a.g = b.g GROUP BY ALL),
+s AS (SELECT x, y FROM o WHERE c / (n + m - c) >= {THRESHOLD} - 1e-9),
+l AS (SELECT p.doc_id x, q.doc_id y FROM s JOIN m p ON p.k = s.x JOIN m q ON q.k = s.y WHERE p.doc_id <> q.doc_id),
+e AS (SELECT DISTINCT x, y FROM l),
+r AS (SELECT doc_id x, doc_id y FROM documents WHERE doc_id IS NOT NULL UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT r.x AS doc_id, min(r.y) AS class_id, coalesce(max(n.n), 0) AS n_links FROM r LEFT JOIN (SELECT x, count(*) n FROM l GROUP BY x) n ON n.x = r.x GROUP BY r.x
 """

@@ -1,10 +1,13 @@
 """Exact top-k search, n-gram Jaccard join, substring dedup."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from silvestra.llm import near, repeats, topk
 
@@ -42,23 +45,44 @@ def test_topk_of_few(spark):
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
-def jaccard_pairs(rows, n=near.N, t=near.THRESHOLD):
-    sets = {}
+def sets_of(rows, n=near.N):
+    """(doc_id, set of n-grams) of each different text of a document."""
+    out = set()
     for i, text in rows:
         if i is not None and text is not None and text.split():
             w = text.lower().split()
-            sets.setdefault(i, []).append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))})
+            out.add((i, frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1)))))
+    return sorted(out, key=lambda x: (x[0], len(x[1])))
+
+
+def brute_links(rows, t=near.THRESHOLD):
+    """Similarity of each pair of different sets, by their least doc_ids."""
+    first = {}
+    for i, s in sets_of(rows):
+        first[s] = min(i, first.get(s, i))
     out = {}
-    for a, b in combinations(sorted(sets), 2):
-        s = max(len(x & y) / len(x | y) for x in sets[a] for y in sets[b])
-        if s >= t - 1e-9:
-            out[a, b] = round(s, 6)
+    for a, b in combinations(first, 2):
+        s, x, y = len(a & b) / len(a | b), *sorted((first[a], first[b]))
+        if s >= t - 1e-9 and x != y:
+            out[x, y] = max(round(s, 6), out.get((x, y), 0))
     return out
 
 
-@pytest.mark.parametrize("paired", [4096, 3])
-def test_near_pairs_are_exact(docs_of, paired):
-    rng = random.Random(paired)
+def brute_groups(rows, t=near.THRESHOLD):
+    """doc_id: (least doc_id of what it is connected with, number of links)."""
+    sets, label, links = sets_of(rows), {i: i for i, _ in rows if i is not None}, Counter()
+    linked = [(i, j) for (i, a), (j, b) in combinations(sets, 2) if i != j and len(a & b) / len(a | b) >= t - 1e-9]
+    for i, j in linked:
+        links[i] += 1
+        links[j] += 1
+    while any(label[i] != label[j] for i, j in linked):
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
+    return {i: (label[i], links[i]) for i in label}
+
+
+def near_rows(seed):
+    rng = random.Random(seed)
     rows = [(k, t) for k, t in enumerate(HARD)] + [(None, "one two"), (3, "other words here now")]
     base = [words(rng, rng.randint(3, 90)) for _ in range(12)]
     shared = words(rng, 30)
@@ -67,18 +91,62 @@ def test_near_pairs_are_exact(docs_of, paired):
         for _ in range(rng.randint(0, 1 + len(w) // 12)):
             w[rng.randrange(len(w))] = f"w{rng.randrange(400)}"
         rows.append((100 + k, " ".join(w + (shared if rng.random() < 0.3 else []))))
-    rows += [(100, rows[-1][1]), rows[-1]]
-    got = {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in near.similar_pairs(docs_of(rows), paired=paired).collect()}
-    assert got == jaccard_pairs(rows)
+    return [*rows, (100, rows[-1][1]), rows[-1], (101, rows[-2][1]), (101, rows[-2][1] + " end")]
+
+
+@pytest.mark.parametrize(("paired", "long_list", "group"), [(4096, 2048, 2000), (3, 4, 5)])
+def test_near_groups_are_exact(docs_of, monkeypatch, paired, long_list, group):
+    monkeypatch.setattr(near, "LONG_LIST", long_list)  # sizes from which work is split
+    monkeypatch.setattr(near, "GROUP_SETS", group)
+    monkeypatch.setattr(near, "BROADCAST_ROWS", 1_000_000 if group > 5 else 0)
+    rows = near_rows(paired)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.grouped(docs_of(rows), paired=paired).collect()}
+    assert got == brute_groups(rows)
+    assert {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in near.links(docs_of(rows), paired=paired).collect()} == brute_links(rows)
+
+
+def test_near_groups_of_nothing(docs_of):
+    assert near.grouped(docs_of([(1, "a")]).limit(0)).count() == 0
+    assert [tuple(r) for r in near.grouped(docs_of([(1, None), (1, ""), (None, "a")])).collect()] == [(1, 1, 0)]
+
+
+def test_near_pieces_of_long_lists_are_all_pairs(monkeypatch):
+    """One signature of many sets: the pairs of its pieces are those of the whole list."""
+    rng = np.random.default_rng(8)
+    key, size, index = rng.integers(1, 1 << 62, 300).astype(np.uint64), rng.integers(5, 15, 300).astype(np.uint32), rng.random(300) < 0.6
+    sig = (np.full(300, 77, np.uint64) << np.uint64(1)) | index.astype(np.uint64)
+    bucket = pa.table([[key.tobytes()], [size.tobytes()], [np.ones(300, np.uint32).tobytes()], [sig.tobytes()]], ["sets", "sizes", "counts", "sigs"])
+
+    def pairs(long_list):
+        monkeypatch.setattr(near, "LONG_LIST", long_list)
+        found = near._candidates(0.5)(bucket)
+        return {kind: {(r["a"], r["b"], r["n"], r["m"]) for b in near._expanded(0.5)(iter(found.filter(pa.array([k == kind for k in found["kind"].to_pylist()])).to_batches())) for r in b.to_pylist()} for kind in (0, 1)}
+
+    whole, split = pairs(1000), pairs(40)
+    assert whole[0] and not whole[1] and split[1] == whole[0] and not split[0]
+
+
+def test_near_survey_sees_what_is_rare_in_each_slice(monkeypatch):
+    """An n-gram once in each slice, never frequent in one, is still told from the sample."""
+    monkeypatch.setattr(near, "_TASK_GRAMS", 50)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([f"common words here x{k} y{k} " + " ".join(f"z{k}.{j}" for j in range(60)) for k in range(2000)])], ["doc_id", "text"])
+    got = Counter()
+    for k in range(0, 2000, 2):
+        for batch in near._survey(3, 0.5)(iter([rows.slice(k, 2)])):
+            got.update(a for kind, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if kind == 3)
+    assert 8 <= max(got.values()) <= 80
 
 
-def test_near_groups(docs_of):
+def test_near_duplicates_go(spark, docs_of):
     rng = random.Random(2)
     a, c = words(rng, 60), words(rng, 60)
     b = ["x", *a[1:]]
     rows = [(5, " ".join(a)), (2, " ".join(b)), (9, " ".join(a)), (9, " ".join(a)), (4, " ".join(c)), (7, None), (None, "a"), (None, "a"), (8, ""), (6, "")]
-    out = near.deduplicated(docs_of(rows))
-    assert out.columns == docs_of(rows).columns
+    docs = docs_of(rows)
+    for name in ("__gone", "id", "class_id", "a.b"):
+        docs = docs.withColumn(name, F.lit(1))
+    out = near.deduplicated(docs)
+    assert out.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["2", "4", "6", "7", "8", "None", "None"]
     assert near.deduplicated(docs_of([(1, "a")]).limit(0)).count() == 0
 
