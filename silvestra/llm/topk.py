@@ -1,22 +1,23 @@
-"""Exact top-k search by three-phase uniform threshold; every vector is a query.
+"""Exact top-k search by three-phase uniform threshold: a query set against all vectors.
 
-The score of two vectors is their cosine, a sum over ``lists`` blocks of dimensions. Each block is a
-list of its own: what scans it has that block's columns only, in chunks of ``chunk_rows`` vectors.
+The queries are the vectors whose id is divisible by ``every``; each is compared with all others. The
+score of two vectors is their cosine, a sum over ``lists`` blocks of dimensions. Queries and objects
+form a grid of cells of bounded size, and each block of dimensions is a list of its own in each cell.
 
-1. Every list gives each query its k best objects by partial score. Their whole scores are resolved;
-   the k-th best of them, tau, is a score that k objects are known to reach.
-2. The cutoff tau / lists goes back to all lists, which give the objects with at least that partial
+1. Every list gives each query its k best objects by partial score. Their whole scores are resolved
+   in the cell; the k-th best over all cells, tau, is a score that k objects are known to reach.
+2. The cutoff tau / lists goes to all cells, whose lists collect the objects with at least that partial
    score. An object of score tau or more has one such entry at least, whatever the signs.
 3. The scores of the collected objects are resolved in double precision, and the best k are taken.
 
 The partial scores are in single precision; ``SLACK`` covers its error. Scores are compared at 9
-digits, ties go to the lower id. All pairs are looked at, so the work is quadratic by nature; chunk
-pairs are independent tasks, and what is exchanged is entries, never all scores.
+digits, ties go to the lower id. What is exchanged are the vectors of the grid, once by phase, and k
+scores for each query and cell, never all scores. Nothing is broadcast or sent to the driver.
 
 Defined results: null ids and null vectors, and vectors with null, infinite or NaN elements or of
-norm 0 take no part. Rows that repeat an id are one object with the least of the vectors. A shorter
-vector counts as padded with zeros. A query has fewer than k rows if there are fewer other objects.
-Extra columns of any name are ignored.
+norm 0 take no part. Rows that repeat an id are one object with the least of the vectors, which is
+found before rows meet. A shorter vector counts as padded with zeros. A query has fewer than k rows
+if there are fewer other objects. Extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -25,48 +26,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import kept, table
 
-K, LISTS, CHUNK_ROWS = 10, 2, 8192
-#: All vectors in double precision are broadcast to the scans up to this size, and joined beyond it.
-BROADCAST_BYTES = 64 << 20
+K, LISTS, EVERY = 10, 2, 20
+CHUNK_ROWS, QUERY_ROWS = 8192, 16_384
+#: Bytes of the objects of a cell; with fewer objects than for 16 such cells, a cell is a chunk.
+CELL_BYTES = 32 << 20
 DIGITS, SLACK = 9, 1e-5
-_ROWS, _PAIRS, _PART = 512, 50_000, 2_000_000
-_ENTRIES = "q_chunk int, o_chunk int, part int, list int, q binary, o binary, v binary"
+_ROWS = 512
 
 
-def _pack(dims: int, lists: int):
-    """Of one chunk: a row with all columns in double precision (list -1), and one for each list."""
-    edges = np.linspace(0, dims, lists + 1).astype(int)
+def _pack(dims: int, chunk_rows: int):
+    """Chunks of so many rows: ids, and the vectors scaled to norm 1."""
+
+    def out(number: int, ids: list[np.ndarray], rows: list[np.ndarray]) -> pa.RecordBatch:
+        i, x = np.concatenate(ids), np.concatenate(rows)
+        chunk = (TaskContext.get().partitionId() << 32) + number
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(i)], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([(x / np.linalg.norm(x, axis=1, keepdims=True)).tobytes()], pa.binary())], ["chunk", "n", "ids", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, held, number = [], [], 0, 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, min(batch.num_rows - at, chunk_rows - held))
+                lists = part.column("vector")
+                sizes, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+                x = np.zeros((len(part), dims))
+                x[np.repeat(np.arange(len(part)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+                ids.append(part.column("id").to_numpy())
+                rows.append(x)
+                at, held = at + len(part), held + len(part)
+                if held == chunk_rows:
+                    yield out(number, ids, rows)
+                    ids, rows, held, number = [], [], 0, number + 1
+        if held:
+            yield out(number, ids, rows)
 
-    def run(chunk: pa.Table) -> pa.Table:
-        best: dict[int, tuple] = {}
-        for i, v in zip(chunk["id"].to_pylist(), chunk["vector"].to_pylist(), strict=True):
-            v = tuple(v)
-            if i not in best or v < best[i]:
-                best[i] = v
-        ids = np.array(sorted(best), np.int64)
-        x = np.zeros((len(ids), dims))
-        for k, i in enumerate(ids):
-            x[k, : len(best[int(i)])] = best[int(i)]
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        parts = [x, *(np.ascontiguousarray(x[:, a:b], np.float32) for a, b in zip(edges, edges[1:], strict=False))]
-        number = chunk["chunk"][0].as_py()
-        return pa.table(
-            [pa.array([number] * len(parts), pa.int32()), pa.array(range(-1, lists), pa.int32()), pa.array([ids.tobytes()] + [b""] * lists, pa.binary()), pa.array([len(ids)] * len(parts), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-            ["chunk", "list", "ids", "n", "x"],
-        )
+    return run
+
+
+def _asking(every: int):
+    """Of each chunk, the rows that are queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, ids, x in zip(batch.column("chunk"), batch.column("ids"), batch.column("x"), strict=True):
+                own = np.frombuffer(ids.as_buffer(), np.int64)
+                chosen = own % every == 0
+                if chosen.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), pa.array([own[chosen].tobytes()], pa.binary()), pa.array([np.frombuffer(x.as_buffer()).reshape(len(own), -1)[chosen].tobytes()], pa.binary())], ["chunk", "ids", "x"])
 
     return run
 
 
-def _matrix(raw: pa.Scalar, n: int, kind: type = np.float32) -> np.ndarray:
-    flat = np.frombuffer(raw.as_buffer(), kind)
-    return flat.reshape(n, len(flat) // n)
+def _vectors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids ascending, and their vectors."""
+    ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows["ids"]])
+    x = np.concatenate([np.frombuffer(x.as_buffer()) for x in rows["x"]]).reshape(len(ids), -1)
+    order = np.argsort(ids)
+    return ids[order], x[order]
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,116 +108,55 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[rank < k], col[rank < k]
 
 
-def _scan(choose, edges: np.ndarray, held, name_a: str = "", name_b: str = ""):
-    """Applies ``choose(scores, cutoffs of the rows)`` to both directions of each chunk pair of a list.
-
-    The list's columns come from the broadcast vectors ``held``, or with the row.
-    """
-
-    def columns(at: dict, chunk: str) -> np.ndarray | None:
-        if held is None:
-            return _matrix(at["x" + chunk], at["n" + chunk].as_py())
-        ids, x = held.value.get(at[chunk].as_py(), (b"", b""))
-        whole, of = np.frombuffer(x, np.float64).reshape(len(ids) // 8, edges[-1]), at["list"].as_py()
-        return np.ascontiguousarray(whole[:, edges[of] : edges[of + 1]], np.float32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                at = {name: batch.column(name)[r] for name in batch.schema.names}
-                a, b = at["a"].as_py(), at["b"].as_py()
-                sides = [(a, b, columns(at, "a"), columns(at, "b"), at[name_a] if name_a else None)]
-                if not len(sides[0][2]) or not len(sides[0][3]):
-                    continue
-                if a != b:
-                    sides.append((b, a, sides[0][3], sides[0][2], at[name_b] if name_b else None))
-                for q_chunk, o_chunk, x, y, cut in sides:
-                    found, held, part = ([], [], []), 0, 0
-                    cut = None if cut is None else np.frombuffer(cut.as_buffer(), np.float64)
-
-                    def out(found, part, names=(q_chunk, o_chunk, at["list"].as_py())):
-                        q, o, v = (np.concatenate(f).tobytes() if f else b"" for f in found)
-                        numbers = (names[0], names[1], part, names[2])
-                        return pa.RecordBatch.from_arrays([*(pa.array([z], pa.int32()) for z in numbers), *(pa.array([z], pa.binary()) for z in (q, o, v))], ["q_chunk", "o_chunk", "part", "list", "q", "o", "v"])
-
-                    for lo in range(0, len(x), _ROWS):
-                        scores = x[lo : lo + _ROWS] @ y.T
-                        if a == b:
-                            own = np.arange(len(scores))
-                            scores[own, lo + own] = -np.inf
-                        q, o = choose(scores, None if cut is None else cut[lo : lo + _ROWS])
-                        real = np.isfinite(scores[q, o])
-                        q, o = q[real], o[real]
-                        found[0].append((q + lo).astype(np.uint16))
-                        found[1].append(o.astype(np.uint16))
-                        if cut is None:
-                            found[2].append(scores[q, o])
-                        held += len(q)
-                        if held >= _PART:
-                            yield out(found, part)
-                            found, held, part = ([], [], []), 0, part + 1
-                    yield out(found, part)
-
-    return run
-
-
-def _merged(k: int):
-    """Of one query chunk: each list's k best over all object chunks, as pairs to resolve."""
-
-    def run(entries: pa.Table) -> pa.Table:
-        chunks, lists = entries["o_chunk"].to_numpy(), entries["list"].to_numpy()
-        pairs = []
-        for b in np.unique(lists):
-            rows = [(chunks[r], *(np.frombuffer(entries[c][int(r)].as_buffer(), t) for c, t in (("q", np.uint16), ("o", np.uint16), ("v", np.float32)))) for r in np.flatnonzero(lists == b)]
-            of = np.concatenate([np.full(len(x[1]), x[0], np.int64) for x in rows])
-            q, o, v = (np.concatenate([x[c] for x in rows]) for c in (1, 2, 3))
-            order = np.lexsort((-v, q))
-            q, o, of = q[order], o[order], of[order]
-            good = np.arange(len(q)) - np.searchsorted(q, q) < k
-            pairs.append(np.stack([of[good], q[good].astype(np.int64), o[good].astype(np.int64)]))
-        every = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        return _by_chunk(entries["q_chunk"][0].as_py(), *every)
-
-    return run
-
-
-def _by_chunk(q_chunk: int, of: np.ndarray, q: np.ndarray, o: np.ndarray) -> pa.Table:
-    """Pairs sorted by the objects' chunk, one row for each chunk."""
-    heads = np.r_[0, np.flatnonzero(np.diff(of)) + 1] if len(of) else np.zeros(0, int)
-    ends = np.r_[heads[1:], len(of)]
-    return pa.table(
-        [pa.array([q_chunk] * len(heads), pa.int32()), pa.array(of[heads], pa.int32()), *(pa.array([x[i:j].astype(np.uint16).tobytes() for i, j in zip(heads, ends, strict=False)], pa.binary()) for x in (q, o))],
-        ["q_chunk", "o_chunk", "q", "o"],
-    )
-
-
-def _sides(row: dict, held) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the query chunk and of the object chunk: broadcast ones, or those that the row brings."""
-    if held is not None:
-        made = ((held.value[row[c].as_py()][0], held.value[row[c].as_py()][1]) for c in ("q_chunk", "o_chunk"))
-        return [(np.frombuffer(ids, np.int64), np.frombuffer(x, np.float64).reshape(len(ids) // 8, -1)) for ids, x in made]
-    return [(np.frombuffer(row[i].as_buffer(), np.int64), _matrix(row[x], row[n].as_py(), np.float64)) for i, n, x in (("ia", "na", "xa"), ("ib", "nb", "xb"))]
-
-
-def _resolved(row: dict, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Query and object numbers of a row's pairs, and their whole scores."""
-    q, o = (np.frombuffer(row[c].as_buffer(), np.uint16).astype(np.int64) for c in ("q", "o"))
-    score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[q[i : i + _PAIRS]], y[o[i : i + _PAIRS]]) for i in range(0, len(q), _PAIRS))])
-    return q, o, np.round(score, DIGITS)
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for r in range(batch.num_rows):
-            yield {name: batch.column(name)[r] for name in batch.schema.names}
-
-
-def _known(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            (_, x), (_, y) = _sides(row, held)
-            q, _, score = _resolved(row, x, y)
-            yield pa.RecordBatch.from_arrays([pa.array([row["q_chunk"].as_py()], pa.int32()), pa.array([len(x)], pa.int32()), pa.array([q.astype(np.uint16).tobytes()], pa.binary()), pa.array([score.tobytes()], pa.binary())], ["q_chunk", "n", "q", "score"])
+def _entries(queries: pa.Table, objects: pa.Table, edges: np.ndarray, choose) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of a cell: (query number, query id, object id, whole score) of what ``choose`` takes from any list."""
+    ids, x = _vectors(queries)
+    for others, raw in zip(objects["ids"], objects["x"], strict=True):
+        own = np.frombuffer(others.as_buffer(), np.int64)
+        y = np.frombuffer(raw.as_buffer()).reshape(len(own), -1)
+        parts = [np.ascontiguousarray(y[:, a:b], np.float32) for a, b in zip(edges, edges[1:], strict=False)]
+        for lo in range(0, len(ids), _ROWS):
+            some, found = x[lo : lo + _ROWS], []
+            same = np.nonzero(ids[lo : lo + _ROWS, None] == own[None, :]) if len(np.intersect1d(ids[lo : lo + _ROWS], own)) else None
+            for (a, b), part in zip(zip(edges, edges[1:], strict=False), parts, strict=True):
+                scores = np.ascontiguousarray(some[:, a:b], np.float32) @ part.T
+                if same is not None:
+                    scores[same] = -np.inf
+                q, o = choose(scores, lo)
+                real = scores[q, o] > -np.inf
+                found.append(q[real] * len(own) + o[real])
+            both = np.unique(np.concatenate(found))
+            for at in range(0, len(both), 50_000):
+                q, o = both[at : at + 50_000] // len(own), both[at : at + 50_000] % len(own)
+                yield q + lo, ids[q + lo], own[o], np.round(np.einsum("ij,ij->i", some[q], y[o]), DIGITS)
+
+
+def _firsts(found: Iterator[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """Of each query the k best, equal scores by the lower id."""
+    held, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def merged() -> tuple[np.ndarray, ...]:
+        number, q, o, score = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((o, -score, number))
+        order = order[np.arange(len(order)) - np.searchsorted(number[order], number[order]) < k]
+        return number[order], q[order], o[order], score[order]
+
+    for entry in found:
+        held.append(entry)
+        size += len(entry[0])
+        if size > 1_000_000:
+            held, size = [merged()], 0
+    return merged()
+
+
+def _known(edges: np.ndarray, k: int):
+    """Phase 1 of a cell: of each query the k best whole scores among the lists' k best."""
+
+    def run(queries: pa.Table, objects: pa.Table) -> pa.Table:
+        if not len(queries) or not len(objects):
+            return pa.table([pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 2], ["q_chunk", "q", "score"])
+        _, q, _, score = _firsts(_entries(queries, objects, edges, lambda scores, _: _best(scores, k)), k)
+        return pa.table([queries["q_chunk"].slice(0, 1), pa.array([q.tobytes()], pa.binary()), pa.array([score.tobytes()], pa.binary())], ["q_chunk", "q", "score"])
 
     return run
 
@@ -202,86 +165,57 @@ def _cutoff(k: int):
     """tau of each query of a chunk; without k known objects there is none, and all entries count."""
 
     def run(known: pa.Table) -> pa.Table:
-        q, score = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in known[c]]) for c, t in (("q", np.uint16), ("score", np.float64)))
+        q, score = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in known[c]]) for c, t in (("q", np.int64), ("score", np.float64)))
         order = np.lexsort((-score, q))
-        q, score = q[order].astype(np.int64), score[order]
-        tau = np.full(known["n"][0].as_py(), -np.inf)
-        kth = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == k - 1)
-        tau[q[kth]] = score[kth]
-        return pa.table([known["q_chunk"].slice(0, 1), pa.array([tau.tobytes()], pa.binary())], ["chunk", "tau"])
+        q, score = q[order], score[order]
+        kth = np.arange(len(q)) - np.searchsorted(q, q) == k - 1
+        return pa.table([known["q_chunk"].slice(0, 1), pa.array([q[kth].tobytes()], pa.binary()), pa.array([score[kth].tobytes()], pa.binary())], ["q_chunk", "known", "tau"])
 
     return run
 
 
-def _union(entries: pa.Table) -> pa.Table:
-    """The entries of all lists for one chunk pair, each object once a query."""
-    both = np.unique(np.concatenate([np.frombuffer(q.as_buffer(), np.uint16).astype(np.uint32) << np.uint32(16) | np.frombuffer(o.as_buffer(), np.uint16) for q, o in zip(entries["q"], entries["o"], strict=True)]))
-    return _by_chunk(entries["q_chunk"][0].as_py(), np.full(len(both), entries["o_chunk"][0].as_py()), both >> np.uint32(16), both & np.uint32(0xFFFF))
-
+def _final(edges: np.ndarray, k: int):
+    """Phases 2 and 3 of a cell: all entries from the cutoff on, resolved; of each query the k best that reach tau."""
 
-def _final(k: int, held):
-    """Of one chunk pair, each query's k best that reach tau."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            (ids, x), (others, y) = _sides(row, held)
-            q, o, score = _resolved(row, x, y)
-            good = score >= np.frombuffer(row["tau"].as_buffer(), np.float64)[q]
-            q, o, score = q[good], others[o[good]], score[good]
-            order = np.lexsort((o, -score, q))
-            q, o, score = q[order], o[order], score[order]
-            first = np.arange(len(q)) - np.searchsorted(q, q) < k
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[first]]), pa.array(o[first]), pa.array(score[first])], ["query_id", "vec_id", "score"])
+    def run(queries: pa.Table, objects: pa.Table) -> pa.Table:
+        number = q = o = np.zeros(0, np.int64)
+        score = np.zeros(0)
+        if len(queries) and len(objects):
+            ids, _ = _vectors(queries)
+            tau = np.full(len(ids), -np.inf)
+            tau[np.searchsorted(ids, np.frombuffer(queries["known"][0].as_buffer(), np.int64))] = np.frombuffer(queries["tau"][0].as_buffer())
+            cut = (tau / (len(edges) - 1) - SLACK).astype(np.float32)
+            found = _entries(queries, objects, edges, lambda scores, lo: np.nonzero(scores >= cut[lo : lo + _ROWS, None]))
+            good = ((e, e[3] >= tau[e[0]]) for e in found)
+            number, q, o, score = _firsts((tuple(c[g] for c in e) for e, g in good), k)
+        return pa.table([pa.array(q), pa.array(o), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, k: int = K, lists: int = LISTS, chunk_rows: int = CHUNK_ROWS, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id and score (9 digits) of the k best others of every vector."""
-    if not 0 < chunk_rows <= 1 << 16:
-        raise ValueError("a chunk has 1 to 65536 rows")
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, lists: int = LISTS, chunk_rows: int = CHUNK_ROWS, query_rows: int = QUERY_ROWS, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id and score (9 digits) of the k best others of each vector with an id divisible by ``every``."""
     finite = F.forall("vector", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     rows = vectors.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(finite & F.exists("vector", lambda e: e != 0))
-    n, dims = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
-    chunks, lists = max(1, -(-n // chunk_rows) * 5 // 4 if n > chunk_rows else 1), max(1, min(lists, dims or 1))
-    packed = kept(rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).groupBy("chunk").applyInArrow(_pack(dims or 1, lists), "chunk int, list int, ids binary, n int, x binary"))
-
-    small = n * (dims or 1) * 8 <= BROADCAST_BYTES
-    part, whole, held = packed.where("list >= 0"), packed.where("list < 0"), None
-    if small:
-        got = whole.select("chunk", "ids", "x").toArrow()
-        held = vectors.sparkSession.sparkContext.broadcast({c: (i.as_py(), v.as_py()) for c, i, v in zip(got["chunk"].to_pylist(), got["ids"], got["x"], strict=True)})
-    every = vectors.sparkSession.range(chunks).select(F.col("id").cast("int").alias("a")).select("a", F.explode(F.sequence(F.col("a"), F.lit(chunks - 1))).alias("b"))
-    every = every.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))).alias("list")).repartition(max(1, min(4096, chunks * (chunks + 1) // 2 * lists)))
-
-    def with_columns(rows: DataFrame) -> DataFrame:
-        if small:
-            return rows
-        left = part.select(F.col("chunk").alias("a"), "list", F.col("n").alias("na"), F.col("x").alias("xa"))
-        right = part.select(F.col("chunk").alias("b"), "list", F.col("n").alias("nb"), F.col("x").alias("xb"))
-        return rows.join(left, ["a", "list"]).join(right, ["b", "list"])
-
-    def attached(rows: DataFrame) -> DataFrame:
-        if small:
-            return rows
-        asking = whole.select(F.col("chunk").alias("q_chunk"), F.col("ids").alias("ia"), F.col("n").alias("na"), F.col("x").alias("xa"))
-        asked = whole.select(F.col("chunk").alias("o_chunk"), F.col("ids").alias("ib"), F.col("n").alias("nb"), F.col("x").alias("xb"))
-        return rows.join(asking, "q_chunk").join(asked, "o_chunk")
-
-    edges = np.linspace(0, dims or 1, lists + 1).astype(int)
-    first = with_columns(every).mapInArrow(_scan(lambda scores, _: _best(scores, k), edges, held), _ENTRIES)
-    kind = "q_chunk int, o_chunk int, q binary, o binary"
-    listed = first.groupBy("q_chunk").applyInArrow(_merged(k), kind)
-    known = attached(listed).mapInArrow(_known(held), "q_chunk int, n int, q binary, score binary")
-    taus = kept(known.groupBy("q_chunk").applyInArrow(_cutoff(k), "chunk int, tau binary"))
-
-    cut = every.join(taus.toDF("a", "ta"), "a").join(taus.toDF("b", "tb"), "b")
-    second = with_columns(cut).mapInArrow(_scan(lambda scores, tau: np.nonzero(scores >= (tau / lists - SLACK).astype(np.float32)[:, None]), edges, held, "ta", "tb"), _ENTRIES)
-    collected = second.groupBy("q_chunk", "o_chunk", "part").applyInArrow(_union, kind)
-    scored = attached(collected.join(taus.toDF("q_chunk", "tau"), "q_chunk")).mapInArrow(_final(k, held), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    dims = rows.agg(F.max(F.size("vector"))).first()[0] or 1
+    lists = max(1, min(lists, dims))
+    objects = kept(rows.groupBy("id").agg(F.min("vector").alias("vector")).mapInArrow(_pack(dims, chunk_rows), "chunk long, n int, ids binary, x binary"))
+    n, chunks = objects.agg(F.sum("n"), F.count("*")).first()
+    cells = max(1, min(chunks, 16), -(-(n or 0) * dims * 8 // CELL_BYTES))
+    asking = kept(objects.mapInArrow(_asking(every), "chunk long, ids binary, x binary"))
+    q_chunks = max(1, -(-int(asking.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 8 // query_rows))
+    asking = asking.select(F.pmod(F.xxhash64("chunk"), F.lit(q_chunks)).cast("int").alias("q_chunk"), "ids", "x")
+    edges = np.linspace(0, dims, lists + 1).astype(int)
+    cell = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+    asked = objects.select(cell(q_chunks).alias("for"), F.pmod(F.xxhash64("chunk", F.lit(7)), F.lit(cells)).cast("int").alias("place"), "ids", "x")
+
+    known = asking.withColumn("cell", cell(cells)).groupBy("q_chunk", "cell").cogroup(asked.groupBy("for", "place")).applyInArrow(_known(edges, k), "q_chunk int, q binary, score binary")
+    taus = kept(known.groupBy("q_chunk").applyInArrow(_cutoff(k), "q_chunk int, known binary, tau binary"))
+    told = asking.join(taus, "q_chunk").withColumn("cell", cell(cells))
+    found = told.groupBy("q_chunk", "cell").cogroup(asked.groupBy("for", "place")).applyInArrow(_final(edges, k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_exact_topk(spark, sf_dir: str) -> DataFrame:
@@ -291,7 +225,7 @@ def op1_exact_topk(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = f"""
 WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
-s AS (SELECT a.vec_id q, b.vec_id o, round(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)), {DIGITS}) s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+s AS (SELECT a.vec_id q, b.vec_id o, round(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)), {DIGITS}) s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, o) r FROM s)
 SELECT q AS query_id, CAST(r AS INT) AS rank, o AS vec_id, s AS score FROM r WHERE r <= {K}
 """

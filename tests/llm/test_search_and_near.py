@@ -18,22 +18,22 @@ def words(rng, n, vocabulary=400):
     return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
 
 
-@pytest.mark.parametrize(("lists", "chunk", "size"), [(2, 64, 1 << 20), (3, 17, 0)])
-def test_topk_is_exact(spark, monkeypatch, lists, chunk, size):
-    monkeypatch.setattr(topk, "BROADCAST_BYTES", size)
+@pytest.mark.parametrize(("lists", "chunk", "asking", "every"), [(2, 64, 1000, 1), (3, 17, 9, 3)])
+def test_topk_is_exact(spark, lists, chunk, asking, every):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(90, 12)).astype(np.float32).round(2)
     x[10] = x[11] = x[12]  # ties
     rows = [(int(i), [float(v) for v in r], "k", 1) for i, r in enumerate(x)]
     rows += [rows[5], (7, [9.0] * 12, "k", 1), (500, None, "k", 1), (None, [1.0] * 12, "k", 1), (501, [0.0] * 12, "k", 1), (502, [float("nan")] + [1.0] * 11, "k", 1), (503, [1.0, 2.0], "k", 1), (504, [], "k", 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, chunk string, n int")
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(frame, 4, lists, chunk).collect()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(frame, 4, every, lists, chunk, asking).collect()}
     v = {i: np.array(r, float) for i, r in zip(range(90), x, strict=True)}
     v[503] = np.array([1.0, 2.0] + [0.0] * 10)
     if tuple([9.0] * 12) < tuple(map(float, x[7])):
         v[7] = np.array([9.0] * 12)
-    assert len(got) == 4 * len(v)
-    for q in v:
+    asked = [q for q in v if q % every == 0]
+    assert len(got) == 4 * len(asked)
+    for q in asked:
         scores = sorted((-round(float(v[q] @ v[o] / np.linalg.norm(v[q]) / np.linalg.norm(v[o])), 9), o) for o in v if o != q)
         for rank in range(1, 5):
             assert got[q, rank][0] == scores[rank - 1][1] and abs(got[q, rank][1] + scores[rank - 1][0]) < 2e-6
@@ -41,7 +41,9 @@ def test_topk_is_exact(spark, monkeypatch, lists, chunk, size):
 
 def test_topk_of_few(spark):
     frame = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
-    assert sorted((r["query_id"], r["vec_id"]) for r in topk.top_k(frame).collect()) == [(1, 2), (2, 1)]
+    assert sorted((r["query_id"], r["vec_id"]) for r in topk.top_k(frame, every=1).collect()) == [(1, 2), (2, 1)]
+    assert [(r["query_id"], r["vec_id"]) for r in topk.top_k(frame, every=2).collect()] == [(2, 1)]
+    assert topk.top_k(frame).count() == 0
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
