@@ -18,7 +18,8 @@ least ``threshold`` are found exactly:
    the probing prefix (a = t size); a signature says whether it lies in the first.
 4. Signatures travel packed to buckets by hash, which give the candidate pairs; long lists of one
    signature are split, and their pieces meet in tasks of their own.
-5. Candidates meet their sets in blocks of bounded size and are verified exactly.
+5. Candidates meet in blocks of bounded size, first with the parities of their n-grams in some bits,
+   which give an upper bound of the similarity; those that pass meet whole sets and are verified exactly.
 
 Equal sets are one node throughout, so groups of exact copies cost nothing and are never paired up.
 The result is a row for each document: its class and its number of links.
@@ -371,8 +372,8 @@ def _expanded(t: float):
     return run
 
 
-def _set_rows(n: int):
-    """(set, grams) of each text, of equal sets one a task."""
+def _set_rows(n: int, made):
+    """(set, grams) of each text, of equal sets one a task; ``made`` gives the bytes of a set's n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
@@ -383,7 +384,39 @@ def _set_rows(n: int):
             _, key = _keys(hashes, owner)
             heads = np.r_[0, np.flatnonzero(np.diff(owner)) + 1, len(owner)]
             new = np.flatnonzero(once.new(key))
-            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array([hashes[heads[k] : heads[k + 1]].tobytes() for k in new], pa.binary())], ["set", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array([made(hashes[heads[k] : heads[k + 1]]) for k in new], pa.binary())], ["set", "grams"])
+
+    return run
+
+
+def _parity(grams: np.ndarray) -> bytes:
+    """For each value of an n-gram's last bits, whether the set has an odd number; two to four times as many bits as n-grams."""
+    bits = max(64, 2 << int(len(grams) - 1).bit_length())
+    return np.packbits((np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
+def _bounded(t: float):
+    """The pairs that may be similar: sets that differ in h parities differ in h n-grams at least."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        row = {k: v for v, k in enumerate(sets["set"].to_pylist())}
+        raw = [x.as_buffer() for x in sets.combine_chunks()["grams"]]
+        size = np.array([len(x) for x in raw])
+        a, b = (np.array([row[k] for k in pairs[c].to_pylist()], np.int64) for c in "ab")
+        n = pairs["n"].to_numpy().astype(np.int64) + pairs["m"].to_numpy()
+        least, differ = np.minimum(size[a], size[b]), np.zeros(len(a), np.int64)
+        for bits in np.unique(least):
+            chosen = np.flatnonzero(least == bits)
+            used = np.unique(np.r_[a[chosen], b[chosen]])
+            folded = np.empty((len(used), bits // 8), np.uint64)
+            for k, x in enumerate(used):  # parities of fewer bits are sums of those of more; packbits sets the first bit highest, so folding halves is right
+                folded[k] = np.bitwise_xor.reduce(np.frombuffer(raw[x], np.uint64).reshape(-1, bits // 8), axis=0)
+            x, y = np.searchsorted(used, a[chosen]), np.searchsorted(used, b[chosen])
+            step = max(1, (4 << 20) // bits)
+            for at in range(0, len(chosen), step):
+                differ[chosen[at : at + step]] = np.bitwise_count(folded[x[at : at + step]] ^ folded[y[at : at + step]]).sum(axis=1)
+        good = (n - differ) // 2 >= np.ceil(n * t / (1 + t) - 1e-9)
+        return pairs.select(["a", "b", "n", "m"]).filter(pa.array(good))
 
     return run
 
@@ -414,8 +447,8 @@ def _verify(t: float):
     return run
 
 
-def _blocks(pairs: DataFrame) -> DataFrame:
-    """(block, a, b): the pairs in blocks of bounded size; pairs of one cluster share few blocks.
+def _blocks(pairs: DataFrame, gram_bytes: float) -> DataFrame:
+    """(block, a, b, n, m): the pairs in blocks of bounded size; pairs of one cluster share few blocks.
 
     Each set takes the label of its least neighbour's least neighbour, which is one for most of a
     cluster, so a set is sent to about one block. Labels of more than ``GROUP_BYTES`` or
@@ -424,16 +457,23 @@ def _blocks(pairs: DataFrame) -> DataFrame:
     both = pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n")))
     near = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"), F.first("n").alias("n")))
     near = near.join(near.select(F.col("a").alias("least"), F.col("least").alias("label")), "least").select("a", "label", "n")
-    sizes = kept(near.groupBy("label").agg(F.sum("n").alias("grams"), F.count("*").alias("sets")).select("label", "grams", "sets", F.ceil(F.greatest(F.col("grams") * 8 / GROUP_BYTES, F.col("sets") / GROUP_SETS)).alias("parts")))
+    sizes = kept(near.groupBy("label").agg(F.sum("n").alias("grams"), F.count("*").alias("sets")).select("label", "grams", "sets", F.ceil(F.greatest(F.col("grams") * gram_bytes / GROUP_BYTES, F.col("sets") / GROUP_SETS)).alias("parts")))
     grams, sets = sizes.where("parts <= 1").agg(F.sum("grams"), F.sum("sets")).first()
-    groups = 1 + int(max((grams or 0) * 8 / GROUP_BYTES, (sets or 0) / GROUP_SETS))
+    groups = 1 + int(max((grams or 0) * gram_bytes / GROUP_BYTES, (sets or 0) / GROUP_SETS))
     large = sizes.where("parts > 1").select("label", "parts")
     if large.count() <= BROADCAST_ROWS:
         large = F.broadcast(large)
     part = F.when(F.col("parts").isNull(), F.xxhash64(F.pmod(F.xxhash64("label"), F.lit(groups)))).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("parts"))))
     group = kept(near.join(large, "label", "left").select("a", part.alias("part")))
-    placed = pairs.select("a", "b").join(group.toDF("a", "x"), "a").join(group.toDF("b", "y"), "b")
-    return placed.select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("block"), "a", "b")
+    placed = pairs.join(group.toDF("a", "x"), "a").join(group.toDF("b", "y"), "b")
+    return kept(placed.select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("block"), "a", "b", "n", "m"))
+
+
+def _met(texts: DataFrame, blocks: DataFrame, n: int, made, check, kind: str) -> DataFrame:
+    """What ``check`` says of each block's pairs, given what ``made`` makes of their sets."""
+    routes = blocks.select(F.col("block").alias("to"), F.explode(F.array("a", "b")).alias("set")).distinct()
+    sets = texts.mapInArrow(_set_rows(n, made), "set long, grams binary").join(routes, "set").select("to", "set", "grams")
+    return blocks.groupBy("block").cogroup(sets.groupBy("to")).applyInArrow(check, kind)
 
 
 def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -470,10 +510,8 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     long_lists = found.where("kind = 1")
     long_lists = long_lists.repartition(max(1, long_lists.count() // 16))
     pairs = kept(found.where("kind = 0").mapInArrow(_expanded(t), kind).unionByName(long_lists.mapInArrow(_expanded(t), kind)).distinct())
-    blocks = kept(_blocks(pairs))
-    routes = blocks.select(F.col("block").alias("to"), F.explode(F.array("a", "b")).alias("set")).distinct()
-    sets = texts.mapInArrow(_set_rows(n), "set long, grams binary").join(routes, "set").select("to", "set", "grams")
-    similar = blocks.groupBy("block").cogroup(sets.groupBy("to")).applyInArrow(_verify(t), "a long, b long, jaccard double")
+    pairs = kept(_met(texts, _blocks(pairs, 3 / 8), n, _parity, _bounded(t), kind))
+    similar = _met(texts, _blocks(pairs, 8), n, np.ndarray.tobytes, _verify(t), "a long, b long, jaccard double")
     return similar, members, firsts
 
 

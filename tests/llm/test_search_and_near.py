@@ -128,6 +128,20 @@ def test_near_pieces_of_long_lists_are_all_pairs(monkeypatch):
     assert whole[0] and not whole[1] and split[1] == whole[0] and not split[0]
 
 
+def test_near_parities_give_a_bound():
+    rng = np.random.default_rng(9)
+    sets = {k: np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64)) for k in range(60)}
+    for k in range(0, 60, 2):
+        sets[k + 1] = np.unique(np.r_[sets[k][rng.random(len(sets[k])) < 0.8], sets[k + 1][: rng.integers(0, 60)]])
+    sets = {k: v for k, v in sets.items() if len(v)}
+    pairs = [(a, b, len(sets[a]), len(sets[b])) for a, b in combinations(sets, 2) if min(len(sets[a]), len(sets[b])) >= 0.5 * max(len(sets[a]), len(sets[b]))]
+    table = pa.table([list(c) for c in zip(*pairs, strict=True)], ["a", "b", "n", "m"])
+    got = near._bounded(0.5)(table, pa.table([list(sets), pa.array([near._parity(v) for v in sets.values()], pa.binary())], ["set", "grams"]))
+    good = {(a, b) for a, b, _, _ in pairs if len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.5}
+    left = set(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
+    assert good and good <= left and len(left) < len(pairs) / 2
+
+
 def test_near_survey_sees_what_is_rare_in_each_slice(monkeypatch):
     """An n-gram once in each slice, never frequent in one, is still told from the sample."""
     monkeypatch.setattr(near, "_TASK_GRAMS", 50)
