@@ -28,11 +28,11 @@ def buckets_for(n_bytes: float) -> int:
     return max(4, -(-int(n_bytes / BUCKET_BYTES) // 4) * 4)
 
 
-def kept(df: DataFrame, *by: str) -> DataFrame:
-    """The rows as a table written once to the shared folder that ``spark.checkpoint.dir`` names, in folders by the columns given.
+def stored(df: DataFrame, *by: str, codec: str = "snappy") -> str:
+    """Writes the rows once to the shared folder that ``spark.checkpoint.dir`` names, in folders by the columns given; returns where.
 
-    This cuts the lineage and outlives lost executors. Where the setting is absent, a temporary
-    folder serves a local master; any other master must have it set.
+    Where the setting is absent, a temporary folder serves a local master; any other master must
+    have it set.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,5 +42,10 @@ def kept(df: DataFrame, *by: str) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="silvestra-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/silvestra-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).option("compression", codec).parquet(path)
+    return path
+
+
+def kept(df: DataFrame, *by: str, codec: str = "snappy") -> DataFrame:
+    """The rows as a table in the shared folder: this cuts the lineage and outlives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, *by, codec=codec))

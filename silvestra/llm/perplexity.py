@@ -1,20 +1,26 @@
 """Quality rules by n-gram perplexity: a modified Kneser-Ney bigram model counted in Spark.
 
-Words are lower-case runs of non-space bytes. All words and all bigrams of all texts are counted;
-tasks send their sums in packed, sorted and delta-coded arrays to buckets by key. A word is known if
-it occurs at least twice; the others are one class, whose probability is shared equally among its
-words. Bigrams that occur once are counted, but not in the model: their discounted mass goes to the
-lower order. Both floors are the same at every size, so the model grows with the corpus. (Shares of
-all tokens as further floors can be given; they are 0.)
-
-The bigrams never leave the shared folder: each bucket's keys and counts are a sorted row there, and
-a task that scores texts looks its own bigrams up bucket by bucket, for ``_SCORED`` tokens at a time.
-Only what is held by known word (hash, follower count, two weights: 20 bytes) is broadcast.
+Words are lower-case runs of non-space bytes, each named by 48 bits of its hash. All words and bigrams
+of all texts are counted; nothing is capped, sampled or pruned by size, and nothing that grows with
+the corpus is broadcast or sent to the driver. The model is never in one place:
+
+1. Texts become chunks of tokens: a sorted array of the chunk's words, and for each token the rank of
+   its word there. This table is written once; texts aren't read again.
+2. Each chunk sends its bigrams, sorted and delta-coded, to buckets by hash. A bigram's bucket is that
+   of its first word, or, where that is one of the at most ``OFTEN`` words that make up more than
+   1 / OFTEN of all tokens, that of both its words, so no bucket gets a hot word's followers alone.
+   A bucket counts each bigram over all chunks and answers each chunk in the order in which it asked.
+3. What buckets know of single words (followers, types that a word ends) meets by word in the same way,
+   and goes back to each chunk that has the word.
+4. The answers are written by chunk, and each chunk is scored with its own answers only.
+
+So work, exchange and answers grow in proportion to the corpus.
 
 P(w | v) = (c(vw) - D(c(vw))) / c(v) + g(v) Pc(w), with the discounts D1, D2, D3+ from the counts of
 counts, g(v) the mass that is left, and Pc the discounted share of bigram types that end in w,
-interpolated with the uniform distribution. A document's perplexity is exp of its mean -ln P, the
-first word following a start symbol.
+interpolated with the uniform distribution. A bigram that occurs once is counted, but as it is known
+from the judged text alone, all of its mass goes to the lower order. A document's perplexity is exp of
+its mean -ln P, the first word following a start symbol.
 
 Each language has a band of ln perplexity: from ``LOW`` times its median, which copied texts keep above
 and endless repetition doesn't, to ``HIGH`` scaled median deviations above the median. Both ends give
@@ -29,306 +35,316 @@ nothing is rejected. Extra columns of any name are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, kept, table, text_bytes
-from .tokens import Words, chunks
+from .common import buckets_for, kept, stored, table, text_bytes
+from .tokens import Words, chunks, mix
 
-WORD_SHARE, PAIR_SHARE = 0.0, 0.0
 LOW, HIGH, NOISE = 0.3, 1.8, 6.0
-_HELD, _SCORED = 1_500_000, 1_200_000
-_SUMS = "bucket int, n int, keys binary, counts binary"
+#: Tokens of a chunk; a longer text is a chunk of its own.
+CHUNK_TOKENS = 2_000_000
+OFTEN = 5000
+#: Chunks of which the answers share a folder.
+_FOLDER = 16
+_WORD = np.uint64((1 << 48) - 1)
+_START = np.uint64(0)
+_CODED = "chunk long, doc_ids array<long>, langs array<string>, sizes binary, words binary, ranks binary, tokens binary, often array<long>, often_counts array<long>, n long"
+_ROWS = "kind int, chunk long, bucket int, a binary, b binary"
 
 
 def packed(keys: np.ndarray) -> bytes:
     """Ascending keys as differences, byte by byte in planes, so that compression finds the zeros."""
-    steps = np.diff(keys.astype(np.uint64), prepend=np.uint64(0))
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return planes(np.diff(keys.astype(np.uint64), prepend=np.uint64(0)), 8)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unplaned(raw, 8), dtype=np.uint64)
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """Numbers of so many bytes, byte by byte."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unplaned(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys ascending, and the sum of the counts of each."""
-    if counts is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-    heads = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1] if len(keys) else np.zeros(0, np.int64)
-    sums = np.diff(np.r_[heads, len(keys)]) if counts is None else np.add.reduceat(counts, heads) if len(heads) else counts
-    return keys[heads], sums
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where the keys, sorted, change."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
 
-def _spread(keys: np.ndarray) -> np.ndarray:
-    """A number in 0 .. 2**31 for each key, alike for alike keys."""
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def _sums(keys_of, n_buckets: int):
-    """Each task's keys with their counts, packed by bucket."""
+_SCHEMA = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+_CODED_SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), *((x, pa.binary()) for x in ("sizes", "words", "ranks", "tokens")), ("often", pa.list_(pa.int64())), ("often_counts", pa.list_(pa.int64())), ("n", pa.int64())])
 
-    def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        bucket = _spread(keys) % n_buckets
-        order = np.argsort(bucket, kind="stable")
-        bucket, keys, counts = bucket[order], keys[order], counts[order]
-        heads = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1]
-        ends = np.r_[heads[1:], len(bucket)]
-        made = [(int(bucket[i]), j - i, packed(keys[i:j]), counts[i:j].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()) for i, j in zip(heads, ends, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "n", "keys", "counts"])
+
+def _coded(limit: int):
+    """Chunks of texts: their words ascending, the words by frequency, and the rank of each token's word."""
+
+    def out(number: int, held: list[tuple]) -> pa.RecordBatch:
+        tokens = np.concatenate([h for h, _, _, _ in held])
+        words, index = np.unique(tokens, return_inverse=True)
+        counts = np.bincount(index, minlength=len(words))
+        ranks = np.argsort(-counts, kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[ranks] = np.arange(len(words))
+        often = ranks[: np.count_nonzero(counts * OFTEN > len(tokens))]
+        sizes = np.concatenate([n for _, n, _, _ in held])
+        ids, langs = ([x for part in held for x in part[k].to_pylist()] for k in (2, 3))
+        chunk = (TaskContext.get().partitionId() << 32) + number
+        return _batch(_CODED_SCHEMA, [(chunk, ids, langs, planes(sizes, 4), packed(words), planes(ranks, 4), planes(place[index], 4), words[often].astype(np.int64).tolist(), counts[often].tolist(), len(tokens))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        keys, counts, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        held, size, number = [], 0, 0
         for batch in chunks(batches):
-            new = keys_of(batch)
-            held.append(new)
-            size += len(new)
-            if size >= _HELD:
-                new, n = _summed(np.concatenate(held))
-                keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, n]))
-                held, size = [], 0
-                if len(keys) > 2 * _HELD:
-                    yield out(keys, counts)
-                    keys, counts = keys[:0], counts[:0]
+            words = Words(batch.column("text"), lower=True)
+            held.append((np.maximum(words.hash & _WORD, np.uint64(1)), np.diff(words.bounds), batch.column("doc_id"), batch.column("lang")))
+            size += len(words.hash)
+            if size >= limit:
+                yield out(number, held)
+                held, size, number = [], 0, number + 1
         if held:
-            new, n = _summed(np.concatenate(held))
-            keys, counts = _summed(np.concatenate([keys, new]), np.concatenate([counts, n]))
-        if len(keys):
-            yield out(keys, counts)
+            yield out(number, held)
 
     return run
 
 
-def _bucket_sums(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([unpacked(x.as_py()) for x in group["keys"]])
-    counts = np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for x in group["counts"]])
-    return _summed(keys, counts.astype(np.int64))
-
+def _homes(words: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((mix(words) >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+class _Chunk:
+    """A chunk's words (the start symbol first), its bigrams ascending, and the buckets that it asks."""
+
+    def __init__(self, row: dict, often: np.ndarray, n_buckets: int) -> None:
+        self.words = np.r_[_START, unpacked(row["words"].as_py())]
+        ranks, tokens = unplaned(row["ranks"].as_py(), 4), unplaned(row["tokens"].as_py(), 4)
+        self.sizes = unplaned(row["sizes"].as_py(), 4).astype(np.int64)
+        w = (ranks + np.uint64(1))[tokens] if len(tokens) else np.zeros(0, np.uint64)
+        v = np.r_[np.zeros(min(1, len(w)), np.uint64), w[:-1]]
+        v[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
+        base = np.uint64(len(self.words))
+        keys = v * base + w
+        self.order = np.argsort(keys).astype(np.uint32)
+        keys = keys[self.order]
+        heads = _heads(keys)
+        self.counts, keys = np.diff(np.r_[heads, len(keys)]), keys[heads]
+        self.v, self.w = (keys // base).astype(np.int64), (keys % base).astype(np.int64)
+        hot = np.isin(self.words, often)
+        home = _homes(self.words, n_buckets)
+        split = _homes(self.words[self.v] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.w], n_buckets)
+        bucket = np.where(hot[self.v], split, home[self.v])
+        self.pairs = np.argsort(bucket, kind="stable")
+        self.names = np.argsort(home, kind="stable")
+        self.pair_bounds = np.searchsorted(bucket[self.pairs], np.arange(n_buckets + 1))
+        self.name_bounds = np.searchsorted(home[self.names], np.arange(n_buckets + 1))
+
+
+def _asked(often, n_buckets: int):
+    """Of each chunk and bucket: the bigrams that the bucket counts (kind 0) and the words that are at home there (kind 3)."""
 
-def _word_bucket(group: pa.Table) -> pa.Table:
-    """A bucket's words that occur more than once; the number of words, and of tokens, in all."""
-    keys, counts = _bucket_sums(group)
-    often = counts > 1
-    return pa.table([pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([packed(keys[often])], pa.binary()), pa.array([counts[often].tobytes()], pa.binary())], ["words", "tokens", "keys", "counts"])
-
-
-def _known(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                keys, counts = unpacked(batch.column("keys")[k].as_py()), np.frombuffer(batch.column("counts")[k].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= least].view(np.int64))], ["word"])
+                row = {name: batch.column(name)[k] for name in batch.schema.names}
+                made, rows, number = _Chunk(row, often.value, n_buckets), [], row["chunk"].as_py()
+                for b in range(n_buckets):
+                    at = made.pairs[made.pair_bounds[b] : made.pair_bounds[b + 1]]
+                    if len(at):
+                        v, w, counts = made.v[at], made.words[made.w[at]], made.counts[at]
+                        heads = _heads(v)
+                        firsts = np.concatenate([np.array([len(heads)], np.uint64).view(np.uint8), np.frombuffer(packed(made.words[v[heads]]), np.uint8), np.frombuffer(planes(np.diff(np.r_[heads, len(v)]), 4), np.uint8)]).tobytes()
+                        rows.append((0, number, b, firsts, planes(w, 6) + planes(counts, 4)))
+                    at = made.names[made.name_bounds[b] : made.name_bounds[b + 1]]
+                    if len(at):
+                        rows.append((3, number, b, packed(made.words[at]), b""))
+                yield _batch(_SCHEMA, rows)
 
     return run
 
 
-def _ids(words: Words, known: np.ndarray) -> np.ndarray:
-    """1 and up by place among the known words, 0 for others."""
-    if not len(known):
-        return np.zeros(len(words.hash), np.uint64)
-    at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
-    return np.where(known[at] == words.hash, at + 1, 0).astype(np.uint64)
-
+def _pair_bucket(n_buckets: int):
+    """Counts of a bucket's bigrams over all chunks: rows of kind
 
-def _pairs(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(v, w) ids of each token w and what it follows; len(known) + 1 is the start symbol."""
-    w = _ids(words, known)
-    v = np.r_[w[:0], w[:-1]] if not len(w) else np.r_[np.uint64(0), w[:-1]].astype(np.uint64)
-    starts = words.bounds[:-1][words.bounds[1:] > words.bounds[:-1]]
-    v[starts] = len(known) + 1
-    return v, w
+    0 for each chunk, the counts in the order asked; 1 by home bucket, of first words: tokens that
+    follow, those of bigrams that occur more than once, bigrams of 2, bigrams of more; 2 by home bucket,
+    of second words: the types they end; 4 counts of counts.
+    """
 
+    def run(group: pa.Table) -> pa.Table:
+        v, w, c, lengths = [], [], [], []
+        for a, b in zip(group["a"], group["b"], strict=True):
+            raw, more = a.as_buffer(), b.as_buffer()
+            n = int(np.frombuffer(raw, np.uint64, 1)[0])
+            v.append(np.repeat(unpacked(raw[8 : 8 + 8 * n]), unplaned(raw[8 + 8 * n :], 4).astype(np.int64)))
+            lengths.append(len(v[-1]))
+            w.append(unplaned(more[: 6 * lengths[-1]], 6))
+            c.append(unplaned(more[6 * lengths[-1] :], 4))
+        v, w, c = (np.concatenate(x) for x in (v, w, c))
+        order = np.lexsort((w, v))
+        v, w = v[order], w[order]
+        heads = _heads(v, w)
+        sums = np.add.reduceat(c[order].astype(np.int64), heads)
+        answer = np.empty(len(order), np.int64)
+        answer[order] = np.repeat(sums, np.diff(np.r_[heads, len(v)]))
+        ends, bucket = np.cumsum(lengths), group["bucket"][0].as_py()
+        rows = [(0, x.as_py(), bucket, planes(answer[e - n : e], 4), b"") for x, n, e in zip(group["chunk"], lengths, ends, strict=True)]
+        rows.append((4, 0, bucket, np.array([(sums == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes(), b""))
+        v, w = v[heads], w[heads]
+        at = _heads(v)
+        known = [np.add.reduceat(x.astype(np.int64), at) for x in (sums, np.where(sums > 1, sums, 0), sums == 2, sums > 2)]
+        second, types = np.unique(w, return_counts=True)
+        for kind, names, values in ((1, v[at], known), (2, second, [types])):
+            home = _homes(names, n_buckets)
+            order = np.argsort(home, kind="stable")
+            bounds = np.searchsorted(home[order], np.arange(n_buckets + 1))
+            for k in np.flatnonzero(np.diff(bounds)):
+                own = order[bounds[k] : bounds[k + 1]]
+                rows.append((kind, 0, int(k), packed(names[own]), planes(np.concatenate([x[own] for x in values]), 6)))
+        return pa.Table.from_batches([_batch(_SCHEMA, rows)])
 
-def _planes(x: np.ndarray) -> bytes:
-    return x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return run
 
 
-def _unplaned(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+def discounts(n: np.ndarray) -> np.ndarray:
+    """D1, D2, D3+ of counts of counts n1 to n4; where these are too few for that, 0.5, 1, 1.5 at most."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
+    d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k / 2 for k in (1, 2, 3)]
+    return np.array([x if 0 < x < k else k / 2 for k, x in zip((1, 2, 3), d, strict=True)])
 
 
-def _pair_bucket(base: int, least: float):
-    """Rows of kind 0: pairs to keep, by bucket; 1: counts of counts; 2 and up, by 65536 ids: see ``_part_sums``."""
+def _word_bucket(d: np.ndarray):
+    """Of the words at home in a bucket: rows of kind 1 for each chunk, with followers, types ended and the mass left; 5 the counts of types ended by 1, 2, 3, 4, 3 or more, their sum, and the words."""
 
     def run(group: pa.Table) -> pa.Table:
-        keys, counts = _bucket_sums(group)
-        keep = counts >= least
-        rows = [(0, group["bucket"][0].as_py(), keys[keep].tobytes(), counts[keep].tobytes()), (1, 0, b"", np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes())]
-        v, twice = keys // np.uint64(base), keep & (counts == 2)
-        more = keep & ~twice
-        for kind, ids, values in ((2, v, counts), (3, keys % np.uint64(base), np.ones(len(keys), np.int64)), (4, v[keep], counts[keep]), (5, v[twice], np.ones(twice.sum(), np.int64)), (6, v[more], np.ones(more.sum(), np.int64))):
-            ids, sums = _summed(ids, values)
-            part = (ids >> np.uint64(16)).astype(np.int64)
-            heads = np.searchsorted(part, np.arange(int(part[-1]) + 2)) if len(part) else np.zeros(1, np.int64)
-            for p in np.flatnonzero(np.diff(heads)):
-                at = slice(heads[p], heads[p + 1])
-                rows.append((kind, int(p), (ids[at] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), _planes(sums[at])))
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "a", "b"])
+        kinds, total = group["kind"].to_numpy(), {}
+        for kind, n in ((1, 4), (2, 1)):
+            at = np.flatnonzero(kinds == kind)
+            names = [unpacked(group["a"][int(k)].as_py()) for k in at]
+            values = [unplaned(group["b"][int(k)].as_py(), 6).reshape(n, -1) for k in at]
+            names, values = (np.concatenate(names), np.concatenate(values, axis=1)) if len(at) else (np.zeros(0, np.uint64), np.zeros((n, 0), np.uint64))
+            order = np.argsort(names, kind="stable")
+            heads = _heads(names[order])
+            total[kind] = names[order][heads], (np.add.reduceat(values[:, order].astype(np.int64), heads, axis=1) if len(heads) else values.astype(np.int64))
+
+        def of(kind: int, words: np.ndarray) -> np.ndarray:
+            names, values = total[kind]
+            if not len(names):
+                return np.zeros((len(values), len(words)), np.int64)
+            at = np.minimum(np.searchsorted(names, words), len(names) - 1)
+            return np.where(names[at] == words, values[:, at], 0)
+
+        bucket, rows = group["bucket"][0].as_py(), []
+        for k in np.flatnonzero(kinds == 3):
+            words = unpacked(group["a"][int(k)].as_py())
+            follow, twice_up, twice, more = of(1, words)
+            left = np.clip(1 - (twice_up - d[1] * twice - d[2] * more) / np.maximum(1, follow), 1e-9, 1).astype(np.float32)
+            rows.append((1, group["chunk"][int(k)].as_py(), bucket, planes(np.r_[follow, of(2, words)[0]], 6), planes(left.view(np.uint32), 4)))
+        ends = total[2][1][0]
+        rows.append((5, 0, bucket, np.array([*((ends == k).sum() for k in (1, 2, 3, 4)), (ends > 2).sum(), ends.sum(), len(ends)], np.int64).tobytes(), b""))
+        return pa.Table.from_batches([_batch(_SCHEMA, rows)])
 
     return run
 
 
-def _part_sums(group: pa.Table) -> pa.Table:
-    """By id of 65536: tokens that follow, types that end in it; of the kept pairs: tokens that follow, pairs of 2, pairs of more.
+def _summed(rows: DataFrame, n: int) -> np.ndarray:
+    """The sum of small arrays, one from each bucket."""
+    return sum((np.frombuffer(r["a"], np.int64) for r in rows.select("a").toLocalIterator()), np.zeros(n, np.int64))
 
-    ``types`` are how many ids end 1, 2, 3, 4 types, 3 or more, and the sum of all.
-    """
-    total = np.zeros((5, 1 << 16), np.int64)
-    for kind, a, b in zip(group["kind"].to_pylist(), group["a"], group["b"], strict=True):
-        total[kind - 2, np.frombuffer(a.as_py(), np.uint16)] += _unplaned(b.as_py())
-    ends = total[1]
-    types = [*((ends == k).sum() for k in (1, 2, 3, 4)), (ends > 2).sum(), ends.sum()]
-    return pa.table([group["part"].slice(0, 1), pa.array([_planes(total.ravel())], pa.binary()), pa.array([[int(x) for x in types]], pa.list_(pa.int64()))], ["part", "total", "types"])
 
+def _answers(path: str, folder: int, chunk: int) -> dict[tuple[int, int], tuple[bytes, bytes]]:
+    """(kind, bucket): what the buckets told this chunk."""
+    system, base = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    files = [f.path for f in system.get_file_info(fs.FileSelector(f"{base}/folder={folder}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
+    out = {}
+    for file in files:
+        with system.open_input_file(file) as source:
+            read = pq.ParquetFile(source)
+            at = read.schema_arrow.get_field_index("chunk")
+            stats = [read.metadata.row_group(g).column(at).statistics for g in range(read.num_row_groups)]
+            groups = [g for g, s in enumerate(stats) if s is None or not s.has_min_max or s.min <= chunk <= s.max]
+            for batch in read.iter_batches(batch_size=256, row_groups=groups, columns=["kind", "chunk", "bucket", "a", "b"], use_threads=False):
+                for k in np.flatnonzero(batch.column("chunk").to_numpy() == chunk):
+                    out[batch.column("kind")[int(k)].as_py(), batch.column("bucket")[int(k)].as_py()] = batch.column("a")[int(k)].as_py(), batch.column("b")[int(k)].as_py()
+    return out
 
-def _weights(d: np.ndarray, e: np.ndarray, all_ends: int, spare: float):
-    """By id: followers, the mass left to the lower order, and the lower order's share."""
 
+def _scores(path: str, often, n_buckets: int, folders: int, d: np.ndarray, e: np.ndarray, all_ends: int, spare: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw in zip(batch.column("part"), batch.column("total"), strict=True):
-                follow, ends, kept_follow, twice, more = _unplaned(raw.as_py()).reshape(5, -1)
-                left = np.clip(1 - (kept_follow - d[1] * twice - d[2] * more) / np.maximum(1, follow), 1e-9, 1)
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k] for name in batch.schema.names}
+                made, chunk = _Chunk(row, often.value, n_buckets), row["chunk"].as_py()
+                told = _answers(path, chunk_folder(chunk, folders), chunk)
+                c, follow, ends, left = np.zeros(len(made.v), np.int64), *(np.zeros(len(made.words), t) for t in (np.int64, np.int64, np.float32))
+                for b in range(n_buckets):
+                    at = made.pairs[made.pair_bounds[b] : made.pair_bounds[b + 1]]
+                    if len(at):
+                        c[at] = unplaned(told[0, b][0], 4)
+                    at = made.names[made.name_bounds[b] : made.name_bounds[b + 1]]
+                    if len(at):
+                        follow[at], ends[at] = unplaned(told[1, b][0], 6).reshape(2, -1)
+                        left[at] = unplaned(told[1, b][1], 4).astype(np.uint32).view(np.float32)
                 lower = np.where(ends > 0, ends - e[np.clip(ends, 1, 3) - 1], 0) / all_ends + spare
-                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (follow, left, lower))], ["part", "follow", "left", "ends"])
+                share = np.where(c > 1, c - d[np.clip(c, 1, 3) - 1], 0) / np.maximum(1, follow[made.v])
+                p = np.log(np.maximum(share + left[made.v] * lower[made.w], 1e-300))
+                log_p = np.empty(len(made.order))
+                log_p[made.order] = np.repeat(p, made.counts)
+                sums, bounds = np.r_[0.0, np.cumsum(log_p)], np.r_[0, np.cumsum(made.sizes)]
+                mean = np.where(made.sizes > 0, (sums[bounds[:-1]] - sums[bounds[1:]]) / np.maximum(made.sizes, 1), np.nan)
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, row["langs"].values, pa.array(made.sizes), pa.array(mean, mask=made.sizes == 0)], ["doc_id", "lang", "n_tokens", "log_ppl"])
 
     return run
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """D1, D2, D3+ of counts of counts n1 to n4; where these are too few for that, 0.5, 1, 1.5 at most."""
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
-    d = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k / 2 for k in (1, 2, 3)]
-    return np.array([x if 0 < x < k else k / 2 for k, x in zip((1, 2, 3), d, strict=True)])
+def chunk_folder(chunk: int, folders: int) -> int:
+    return ((chunk >> 32) * 31 + (chunk & 0xFFFFFFFF)) % folders
 
 
-@dataclass
-class Model:
-    """What is held by word, and where the pairs are: a row of sorted keys and counts for each bucket."""
-
-    known: np.ndarray
-    follow: np.ndarray
-    left: np.ndarray
-    ends: np.ndarray
-    rare_words: int
-    discounts: np.ndarray
-    n_buckets: int
-    files: list[str]
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """How often each of these ascending keys occurs, 0 where it isn't kept."""
-        out, bucket = np.zeros(len(keys), np.int64), _spread(keys) % self.n_buckets
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(self.n_buckets + 1))
-        for file in self.files:
-            system, path = fs.FileSystem.from_uri(file)
-            with system.open_input_file(path) as source:
-                for row in pq.ParquetFile(source).iter_batches(batch_size=1, columns=["part", "a", "b"], use_threads=False):
-                    k = row.column(0)[0].as_py()
-                    have, counts = (np.frombuffer(row.column(c)[0].as_buffer(), t) for c, t in ((1, np.uint64), (2, np.int64)))
-                    mine = order[bounds[k] : bounds[k + 1]]
-                    if len(have) and len(mine):
-                        at = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
-                        out[mine] = np.where(have[at] == keys[mine], counts[at], 0)
-        return out
-
-    def keys(self, words: Words) -> np.ndarray:
-        v, w = _pairs(words, self.known)
-        return v * np.uint64(len(self.known) + 2) + w
-
-    def log_p(self, keys: np.ndarray) -> np.ndarray:
-        """ln P of each token, by the key of its pair."""
-        if not len(keys):
-            return np.zeros(0)
-        order = np.argsort(keys).astype(np.uint32)
-        pairs = keys[order]
-        heads = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        pairs = pairs[heads]
-        c, base = self.counts(pairs), np.uint64(len(self.known) + 2)
-        v, w = (pairs // base).astype(np.int64), (pairs % base).astype(np.int64)
-        share = np.where(c > 0, c - self.discounts[np.clip(c, 1, 3) - 1], 0) / np.maximum(1, self.follow[v])
-        p = np.log(np.maximum(share + self.left[v] * self.ends[w].astype(np.float64), 1e-12))
-        p[w == 0] -= np.log(max(1, self.rare_words))
-        out = np.empty(len(keys))
-        out[order] = np.repeat(p, np.diff(np.r_[heads, len(keys)]))
-        return out
-
-
-def model_of(docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Model:
-    """Counts all words and all bigrams of all texts; the driver gets what is held by known word."""
+def scored(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """doc_id, lang, n_tokens, log_ppl of every row, by a model of all of them."""
     spark = docs.sparkSession
-    texts = docs.select("text").where("text is not null")
-    size = text_bytes(docs)
-    n_buckets = buckets_for(size / 4)
-    words = texts.mapInArrow(_sums(lambda batch: Words(batch.column("text"), lower=True).hash, n_buckets), _SUMS)
-    words = kept(words.groupBy("bucket").applyInArrow(_word_bucket, "words long, tokens long, keys binary, counts binary"))
-    n_words, tokens = words.agg(F.sum("words"), F.sum("tokens")).first()
-    n_words, tokens = n_words or 0, tokens or 0
-    known = np.sort(words.mapInArrow(_known(max(2, tokens * word_share)), "word long").toArrow()["word"].to_numpy().view(np.uint64))
-    base, shared = len(known) + 2, spark.sparkContext.broadcast(known)
-
-    def keys_of(batch: pa.RecordBatch) -> np.ndarray:
-        v, w = _pairs(Words(batch.column("text"), lower=True), shared.value)
-        return v * np.uint64(base) + w
-
-    n_buckets = buckets_for(size)
-    sums = texts.mapInArrow(_sums(keys_of, n_buckets), _SUMS)
-    sums = kept(sums.groupBy("bucket").applyInArrow(_pair_bucket(base, max(2, tokens * pair_share)), "kind int, part int, a binary, b binary"), "kind")
-    of_counts = sum((np.frombuffer(r["b"], np.int64) for r in sums.where("kind = 1").select("b").toLocalIterator()), np.zeros(4, np.int64))
-    parts = kept(sums.where("kind >= 2").groupBy("part").applyInArrow(_part_sums, "part int, total binary, types array<long>"))
-    types = sum((np.array(r["types"]) for r in parts.select("types").collect()), np.zeros(6, np.int64))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    n_buckets = buckets_for(text_bytes(docs))
+    coded = kept(rows.mapInArrow(_coded(chunk_tokens), _CODED), codec="zstd")
+    n_tokens, n_chunks = coded.agg(F.sum("n"), F.count("*")).first()
+    often = coded.select(F.explode(F.arrays_zip("often", "often_counts")).alias("x")).groupBy("x.often").agg(F.sum("x.often_counts").alias("n")).where(F.col("n") * OFTEN > (n_tokens or 0))
+    often = spark.sparkContext.broadcast(np.sort(np.array([_START, *(r["often"] for r in often.select("often").collect())], np.uint64)))  # OFTEN + 1 words at most
+    asked = coded.mapInArrow(_asked(often, n_buckets), _ROWS)
+    # Bigrams and words go to buckets in exchanges of their own; words wait in the shared folder.
+    asked = kept(asked.where("kind = 3"), codec="zstd"), asked.where("kind = 0")
+    counted = kept(asked[1].groupBy("bucket").applyInArrow(_pair_bucket(n_buckets), _ROWS), "kind", codec="zstd")
+    d = discounts(_summed(counted.where("kind = 4"), 4))
+    words = kept(counted.where("kind in (1, 2)").select("kind", "chunk", "bucket", "a", "b").unionByName(asked[0]).groupBy("bucket").applyInArrow(_word_bucket(d), _ROWS), "kind", codec="zstd")
+    types = _summed(words.where("kind = 5"), 7)
     e, all_ends = discounts(types[:4]), max(1, int(types[5]))
-    spare = (1 - (types[5] - e @ types[[0, 1, 4]]) / all_ends) / (base - 1)  # for all but the start symbol
-    d = discounts(of_counts)
-    follow, left, ends = (np.full(base, x, np.float32) for x in (0, 1, spare))
-    for row in parts.select("part", "total").mapInArrow(_weights(d, e, all_ends, spare), "part int, follow binary, left binary, ends binary").toLocalIterator():
-        at = slice(row["part"] << 16, min(base, (row["part"] + 1) << 16))
-        for to, name in ((follow, "follow"), (left, "left"), (ends, "ends")):
-            to[at] = np.frombuffer(row[name], np.float32)[: at.stop - at.start]
-    files = sorted(f for f in sums.inputFiles() if "/kind=0/" in f)
-    return Model(known, follow, left, ends, n_words - len(known), d, n_buckets, files)
-
-
-def _scored(model):
-    def out(held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        log_p, at = model.value.log_p(np.concatenate([keys for _, keys, _ in held])), 0
-        for batch, keys, bounds in held:
-            sums = np.r_[0.0, np.cumsum(log_p[at : at + len(keys)])]
-            at += len(keys)
-            n = np.diff(bounds)
-            mean = np.where(n > 0, (sums[bounds[:-1]] - sums[bounds[1:]]) / np.maximum(n, 1), np.nan)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), pa.array(mean, mask=n == 0)], ["doc_id", "lang", "n_tokens", "log_ppl"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in chunks(batches):
-            words = Words(batch.column("text"), lower=True)
-            held.append((batch.select(["doc_id", "lang"]), model.value.keys(words), words.bounds))
-            size += len(held[-1][1])
-            if size >= _SCORED:
-                yield from out(held)
-                held, size = [], 0
-        if held:
-            yield from out(held)
-
-    return run
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, n_tokens, log_ppl of every row, in one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(_scored(shared), "doc_id long, lang string, n_tokens long, log_ppl double")
+    spare = (1 - (types[5] - e @ types[[0, 1, 4]]) / all_ends) / max(1, int(types[6]))
+    folders = max(1, -(-n_chunks // _FOLDER))
+    folder = F.pmod(F.shiftright("chunk", 32) * 31 + F.col("chunk").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(folders)).cast("int")
+    answers = counted.where("kind = 0").unionByName(words.where("kind = 1")).withColumn("folder", folder)
+    path = stored(answers.repartition(folders, "folder").sortWithinPartitions("folder", "chunk"), "folder", codec="zstd")
+    return coded.drop("often", "often_counts", "n").mapInArrow(_scores(path, often, n_buckets, folders, d, e, all_ends, spare), "doc_id long, lang string, n_tokens long, log_ppl double")
 
 
 def bands(scores: DataFrame) -> DataFrame:
@@ -340,7 +356,7 @@ def bands(scores: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, low: float = LOW, high: float = HIGH, noise: float = NOISE) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, keep of every row."""
-    scores = kept(scored(docs, model_of(docs)))
+    scores = kept(scored(docs))
     limits = kept(bands(scores))  # a row a language
     slack = F.lit(noise) / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)))
     off = F.col("log_ppl") - F.col("mid")

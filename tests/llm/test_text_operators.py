@@ -282,50 +282,74 @@ def test_toxicity(docs_of, spark):
     assert toxic.learned_lexicon(docs, labels.limit(0)) == {}
 
 
-def kneser_ney(texts, word_share, pair_share):
+def kneser_ney(texts):
     """A model of the same definition by plain dictionaries: ln P of each token of a text."""
-    split = [[w for w in (t or "").lower().split()] for t in texts]
-    count = Counter(w for t in split for w in t)
-    tokens = sum(count.values())
-    known = {w for w, n in count.items() if n >= max(2, tokens * word_share)}
-    sign = lambda w: w if w in known else "<unk>"
-    pairs = Counter((a, b) for t in split for a, b in zip(["<s>", *map(sign, t)], map(sign, t), strict=False))
+    split = [(t or "").lower().split() for t in texts]
+    pairs = Counter((a, b) for t in split for a, b in zip(["<s>", *t], t, strict=False))
     follow, ends = Counter(), Counter()
     for (a, b), n in pairs.items():
         follow[a] += n
         ends[b] += 1
     d = perplexity.discounts(np.array([sum(n == k for n in pairs.values()) for k in (1, 2, 3, 4)]))
     e = perplexity.discounts(np.array([sum(n == k for n in ends.values()) for k in (1, 2, 3, 4)]))
-    share = {p: (n - d[min(n, 3) - 1]) / follow[p[0]] for p, n in pairs.items() if n >= max(2, tokens * pair_share)}
+    share = {p: (n - d[min(n, 3) - 1]) / follow[p[0]] for p, n in pairs.items() if n > 1}
     left = defaultdict(lambda: 1.0)
     for (a, _), s in share.items():
         left[a] -= s
-    lower = {b: max(0, n - e[min(n, 3) - 1]) / sum(ends.values()) for b, n in ends.items()}
-    spare = (1 - sum(lower.values())) / (len(known) + 1)
-    rare = max(1, len(count) - len(known))
+    lower = {b: (n - e[min(n, 3) - 1]) / sum(ends.values()) for b, n in ends.items()}
+    spare = (1 - sum(lower.values())) / len(lower)
 
     def log_p(text):
-        out, a = [], "<s>"
-        for w in map(sign, (text or "").lower().split()):
-            p = share.get((a, w), 0) + left[a] * (lower.get(w, 0) + spare)
-            out.append(math.log(p) - (math.log(rare) if w == "<unk>" else 0))
-            a = w
-        return out
+        t = (text or "").lower().split()
+        return [math.log(share.get((a, w), 0) + left[a] * (lower[w] + spare)) for a, w in zip(["<s>", *t], t, strict=False)]
 
     return log_p
 
 
-@pytest.mark.parametrize(("word_share", "pair_share"), [(1e-6, 1e-6), (0.01, 0.004)])
-def test_perplexity_against_dictionaries(docs_of, word_share, pair_share):
+@pytest.mark.parametrize(("chunk", "often", "n_buckets"), [(2_000_000, 5000, 4), (300, 20, 13)])
+def test_perplexity_against_dictionaries(docs_of, monkeypatch, chunk, often, n_buckets):
+    """With several chunks and buckets, words that are split over buckets, and a very long text."""
+    monkeypatch.setattr(perplexity, "OFTEN", often)
+    monkeypatch.setattr(perplexity, "buckets_for", lambda n_bytes: n_buckets)
     rng = random.Random(9)
-    texts = HARD[:6] + [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randint(1, 50))) for _ in range(150)]
-    docs = docs_of(texts)
-    log_p = kneser_ney(texts, word_share, pair_share)
-    for r in perplexity.scored(docs, perplexity.model_of(docs, word_share, pair_share)).collect():
+    texts = HARD + [" ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randint(1, 50))) for _ in range(150)]
+    texts += texts[-3:]
+    log_p = kneser_ney(texts)
+    got = perplexity.scored(docs_of(texts), chunk).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    for r in got:
         want = log_p(texts[r["doc_id"]])
         assert r["n_tokens"] == len(want) and (r["log_ppl"] is None if not want else abs(r["log_ppl"] + sum(want) / len(want)) < 1e-4)
 
 
+def brute_keeps(texts, langs):
+    """Verdicts by the same bands, from the model of dictionaries."""
+    log_p, ppl = kneser_ney(texts), {}
+    for k, t in enumerate(texts):
+        want = log_p(t)
+        ppl[k] = (-sum(want) / len(want), len(want)) if want else None
+    out = {}
+    for lang in set(langs):
+        own = [k for k in ppl if langs[k] == lang and ppl[k]]
+        middle = lambda x: sorted(x)[(len(x) - 1) // 2]
+        mid = middle([ppl[k][0] for k in own]) if own else 0
+        spread = middle([abs(ppl[k][0] - mid) for k in own]) * 1.4826 if own else 0
+        for k in ppl:
+            if langs[k] == lang:
+                slack = perplexity.NOISE / math.sqrt(ppl[k][1]) if ppl[k] else 0
+                out[k] = not ppl[k] or perplexity.LOW * mid - slack <= ppl[k][0] <= mid + perplexity.HIGH * spread + slack
+    return out
+
+
+def test_perplexity_bands_against_brute_force(docs_of):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{min(rng.randrange(80), rng.randrange(80))}" for _ in range(rng.choice([5, 60, 300]))) for _ in range(120)]
+    texts += [" ".join(f"q{k}.{rng.random()}" for k in range(n)) for n in (3, 40, 200)] + ["odd " * n for n in (3, 300)] + HARD
+    langs = [rng.choice(["en", "de", None]) for _ in texts]
+    got = {r["doc_id"]: r["keep"] for r in perplexity.judged(docs_of(texts, langs=langs)).collect()}
+    assert got == brute_keeps(texts, langs) and not all(got.values())
+
+
 def test_perplexity_rules(docs_of):
     rng = random.Random(10)
     texts = [" ".join(f"w{min(rng.randrange(80), rng.randrange(80))}" for _ in range(60)) for _ in range(200)] + ["odd " * 300, " ".join(f"q{k}" for k in range(200))] + HARD[:3]
@@ -335,14 +359,12 @@ def test_perplexity_rules(docs_of):
     assert perplexity.judged(docs_of(texts).limit(0)).count() == 0
 
 
-def test_perplexity_model_has_no_cap(docs_of, monkeypatch):
-    docs = docs_of(["a " * 100_000] * 45 + ["rare pair"] * 2)
-    model = perplexity.model_of(docs)
-    assert len(model.known) == 3
-    assert (model.counts(np.sort(model.keys(Words(pa.array(["rare pair"]), lower=True)))) == 2).all()
-    one = perplexity.scored(docs, model).orderBy("doc_id").collect()
-    monkeypatch.setattr(perplexity, "buckets_for", lambda n_bytes: 13)
-    assert perplexity.scored(docs, perplexity.model_of(docs)).orderBy("doc_id").collect() == one
+def test_perplexity_has_no_cap(docs_of):
+    """A bigram of two occurrences has its own probability, however many tokens there are."""
+    texts = ["a " * 100_000] * 45 + ["rare pair", "rare pair", "rare other", "some pair"]
+    got = {r["doc_id"]: r["log_ppl"] for r in perplexity.scored(docs_of(texts)).collect()}
+    log_p = kneser_ney(texts)
+    assert all(abs(got[k] + sum(log_p(texts[k])) / 2) < 1e-4 for k in range(45, 49)) and got[45] < got[47]
 
 
 def test_packed_keys():
