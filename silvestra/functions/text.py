@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import lru_cache
 
 MAX_TOKENS = 32
 _SPECIAL = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i"}
@@ -43,19 +44,27 @@ def plain(word: str) -> str | None:
     return out if out.isascii() else None
 
 
-def words_of(text: str, least_bytes: int = 0) -> list[str]:
-    """Folded words in order, each followed by its ASCII spelling where that differs."""
-    out: list[str] = []
-    for word in _WORDS.findall(text):
-        for form in (folded(word), plain(word)):
-            if form and form not in out and len(form.encode()) >= least_bytes:
-                out.append(form)
-    return out
+@lru_cache(maxsize=1 << 16)
+def forms_of(word: str) -> tuple[str, ...]:
+    """A word folded, and its ASCII spelling if it has one."""
+    return tuple(dict.fromkeys(x for x in (folded(word), plain(word)) if x))
+
+
+def words_of(text: str, least_bytes: int = 0, most: int | None = None) -> list[str]:
+    """Folded words in order, each followed by its ASCII spelling where that differs; ``most`` of them."""
+    out: dict[str, None] = {}
+    for word in _WORDS.finditer(text):
+        for form in forms_of(word[0]):
+            if form not in out and len(form.encode()) >= least_bytes:
+                out[form] = None
+                if most is not None and len(out) >= most:
+                    return list(out)
+    return list(out)
 
 
 def tokens_of(text: str | None) -> list[str]:
     """What a node stores for search: words of three bytes at least, ``MAX_TOKENS`` of them."""
-    return words_of(text or "", 3)[:MAX_TOKENS]
+    return words_of(text or "", 3, MAX_TOKENS)
 
 
 def search_words(text: str | None, search: str | None) -> bool:
@@ -77,9 +86,14 @@ def search_tokens(tokens: list[str] | None, search: list[str] | None) -> bool:
 
 def match_words(text: str | None, search: str | None) -> bool:
     """Whether every word sought starts some word of the text; for text beyond ASCII."""
-    sought = [folded(w) for w in _WORDS.findall(search or "")]
-    have = words_of(text or "")
-    return bool(sought) and all(any(h.startswith(s) for h in have) for s in sought)
+    sought = {folded(w) for w in _WORDS.findall(search or "")}
+    if not sought:
+        return False
+    for word in set(_WORDS.findall(text or "")):
+        sought -= {s for s in sought if any(h.startswith(s) for h in forms_of(word))}
+        if not sought:
+            return True
+    return False
 
 
 def guid_of(*parts: str | bytes) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,35 +36,51 @@ def _by_parent(rows: list[dict]) -> dict[int | None, list[dict]]:
 def subtrees(nodes: DataFrame, roots: DataFrame, siblings: bool = False) -> DataFrame:
     """All nodes at or below each root, with the root's id as ``root_id``; with its later siblings on demand.
 
-    A node's ancestors are listed in the node, so this is an equi-join, not a range join.
+    A node's ancestors are listed in the node, so this is an equi-join, not a range join. Only the
+    ancestors at depths that roots have are looked at, and only nodes at least as deep.
     """
+    depths = sorted(r["depth"] for r in roots.select("depth").distinct().collect())  # MAX_DEPTH at most
     tops = roots.select("silo_id", F.col("node_id").alias("root_id"), F.col("parent_id").alias("__up")).distinct()
     if siblings:
-        heads = nodes.select("silo_id", F.col("node_id").alias("__head"), F.col("parent_id").alias("__parent"))
+        heads = nodes.where(F.col("depth").isin(depths)).select("silo_id", F.col("node_id").alias("__head"), F.col("parent_id").alias("__parent"))
         later = heads.alias("h").join(tops.alias("t"), (F.col("h.silo_id") == F.col("t.silo_id")) & F.col("__parent").eqNullSafe(F.col("__up")) & (F.col("__head") >= F.col("root_id")))
         tops = later.select("t.silo_id", "root_id", "__head")
     else:
         tops = tops.withColumn("__head", F.col("root_id")).drop("__up")
-    lines = nodes.withColumn("__line", F.explode(F.concat("anc", F.array("node_id"))))
+    at = lambda d: F.when(F.col("depth") == d, F.col("node_id")).otherwise(F.get("anc", F.lit(d)))
+    line = at(depths[0]) if len(depths) == 1 else F.explode(F.array_compact(F.array(*[at(d) for d in depths])) if depths else F.array().cast("array<long>"))
+    lines = nodes.where(F.col("depth") >= (depths[0] if depths else 0)).withColumn("__line", line)
     tops = tops.withColumnRenamed("silo_id", "__silo")
     return lines.join(tops, (F.col("silo_id") == F.col("__silo")) & (F.col("__line") == F.col("__head"))).select(*COLUMNS, "root_id", "__head")
 
 
+def _by_root(rows: DataFrame, made: Callable[[list[dict]], str], name: str) -> DataFrame:
+    """silo_id, node_id and what is made of each root's nodes, which come as a sorted stream: many small subtrees share a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        out: list[tuple] = []
+        for (silo, root), group in groupby(rows, key=lambda r: (r["silo_id"], r["root_id"])):
+            out.append((silo, root, made(list(group))))
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["silo_id", "node_id", name])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["silo_id", "node_id", name])
+
+    return rows.repartition("silo_id", "root_id").sortWithinPartitions("silo_id", "root_id", "node_id").mapInArrow(run, f"silo_id string, node_id long, {name} string")
+
+
 def exported(nodes: DataFrame, roots: DataFrame, header: bool = False, multiline: bool = False, indent: bool = False, siblings: bool = False, children_only: bool = False, collapse: bool = False) -> DataFrame:
     """silo_id, node_id, xml of each root. ``children_only`` leaves the root's own tags out."""
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        root, kids = rows[0]["root_id"], _by_parent(rows)
-        tops = sorted({r["__head"] for r in rows})
-        if children_only:
-            chosen = kids.get(root, [])
-        else:
-            chosen = [r for r in sorted(rows, key=lambda r: r["node_id"]) if r["node_id"] in set(tops)]
-        xml = (HEADER if header else "") + "".join(_element(r, kids, multiline, indent, collapse, 0) for r in chosen)
-        return pa.table([group["silo_id"].slice(0, 1), group["root_id"].slice(0, 1), pa.array([xml])], ["silo_id", "node_id", "xml"])
+    def made(rows: list[dict]) -> str:
+        root, kids, tops = rows[0]["root_id"], _by_parent(rows), {r["__head"] for r in rows}
+        chosen = kids.get(root, []) if children_only else [r for r in rows if r["node_id"] in tops]
+        return (HEADER if header else "") + "".join(_element(r, kids, multiline, indent, collapse, 0) for r in chosen)
 
-    return subtrees(nodes, roots, siblings and not children_only).groupBy("silo_id", "root_id").applyInArrow(run, "silo_id string, node_id long, xml string")
+    wanted = subtrees(nodes, roots, siblings and not children_only).select("silo_id", "node_id", "parent_id", "element", "text", "tail", "attrs", "root_id", "__head")
+    return _by_root(wanted, made, "xml")
 
 
 def documents(nodes: DataFrame, header: bool = False, multiline: bool = False, indent: bool = False, collapse: bool = False) -> DataFrame:
@@ -85,8 +102,7 @@ def folded(nodes: DataFrame, roots: DataFrame, enter: Callable[[dict, list], boo
     both add strings to the list they are given, which are joined. One that returns True ends the fold.
     """
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
+    def made(rows: list[dict]) -> str:
         kids, out, heads = _by_parent(rows), [], {r["__head"] for r in rows}
 
         def visit(row: dict) -> bool:
@@ -95,10 +111,10 @@ def folded(nodes: DataFrame, roots: DataFrame, enter: Callable[[dict, list], boo
                 return True
             return bool(leave and leave(seen, out))
 
-        any(visit(r) for r in sorted(rows, key=lambda r: r["node_id"]) if r["node_id"] in heads)
-        return pa.table([group["silo_id"].slice(0, 1), group["root_id"].slice(0, 1), pa.array(["".join(out)])], ["silo_id", "node_id", "result"])
+        any(visit(r) for r in rows if r["node_id"] in heads)
+        return "".join(out)
 
-    return subtrees(nodes, roots, True).groupBy("silo_id", "root_id").applyInArrow(run, "silo_id string, node_id long, result string")
+    return _by_root(subtrees(nodes, roots, True), made, "result")
 
 
 def lines_of(xml: DataFrame) -> Iterator[str]:

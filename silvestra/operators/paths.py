@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.compile import Compiler
 from ..plans.syntax import Path, Registry, Step, prepared, union
-from ..schema import COLUMNS, TreeError
+from ..schema import COLUMNS, TreeError, in_path
 
 _KEY = ["silo_id", "node_id"]
 
@@ -88,13 +88,13 @@ class Planner:
         """Where nodes at the end of these steps are."""
         names = [s.name for s in steps]
         if None not in names:
-            return F.col("path") == "/".join(names)
+            return F.col("path") == "/".join(map(in_path, names))
         found = F.col("depth") == len(names) - 1
         if names[-1] is not None:
             found = found & (F.col("element") == names[-1])
         for k, name in enumerate(names[:-1]):
             if name is not None:
-                found = found & (F.get(F.split("path", "/"), F.lit(k)) == name)
+                found = found & (F.get(F.split("path", "/"), F.lit(k)) == in_path(name))
         return found
 
     def down(self, rows: DataFrame, step: Step) -> DataFrame:

@@ -1,7 +1,7 @@
 """Predicates to Catalyst expressions over the node table.
 
 Every comparison is two-valued: it never yields SQL null, so that filters may be reordered freely. A
-text compared with a number that it doesn't hold makes the comparison false and is noted in ``faults``,
+text compared with a number that it doesn't hold, as ``number()`` of such a text, makes the comparison false and is noted in ``faults``,
 which a query can check on the rows that it reaches.
 """
 
@@ -123,11 +123,11 @@ class Compiler:
         if name == "last":
             return "bool", F.col("next_id").isNull()
         if name in ("and", "or"):
-            a, b = (self.number(x) != 0 for x in args)
+            a, b = (F.coalesce(self.number(x) != 0, F.lit(False)) for x in args)
             return "bool", a & b if name == "and" else a | b
         if name == "not":
             kind, a = self.typed(args[0])
-            return "bool", a.isNull() if kind == "text" else a.cast("long") == 0
+            return "bool", a.isNull() if kind == "text" else F.coalesce(a.cast("long") == 0, F.lit(False))
         if name in COMPARISONS:
             return "bool", self.comparison(name, *map(self.typed, args))
         if name == "in":
@@ -142,7 +142,7 @@ class Compiler:
         if name == "string":
             return "text", self.number(args[0]).cast("string")
         if name == "number":
-            return "int", F.coalesce(self.as_number(self.text(args[0])), F.lit(0).cast("long"))
+            return "int", self.as_number(self.text(args[0]))
         if name == "string-length":
             return "int", F.coalesce(F.octet_length(self.text(args[0])), F.lit(0)).cast("long")
         if name == "search":
@@ -160,7 +160,7 @@ class Compiler:
         if swapped:
             a, b = b, a
         made = {"eq": a == b, "ne": a != b, "lt": a < b, "gt": a > b, "le": a <= b, "ge": a >= b}[name]
-        return made if ka != "text" and kb != "text" else F.coalesce(made, F.lit(False))
+        return F.coalesce(made, F.lit(False))
 
     def search(self, a: Expression, b: Expression) -> Column:
         """Word search: by tokens where the node has them, else by the text."""

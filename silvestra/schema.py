@@ -34,6 +34,11 @@ NODES = T.StructType(
 COLUMNS = [f.name for f in NODES.fields]
 
 
+def in_path(name: str) -> str:
+    """An element's name as it stands in ``path``, so that a slash in a name (of a tree made by hand) isn't a step."""
+    return name.replace("%", "%25").replace("/", "%2F")
+
+
 class TreeError(Exception):
     """What goes wrong with documents and queries; ``code`` says which kind."""
 

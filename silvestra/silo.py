@@ -6,7 +6,8 @@ import json
 import time
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import export, navigate
@@ -28,6 +29,7 @@ class Silo:
         self.options = options or Options()
         self.profile: list[tuple[str, float]] | None = None
         self.index: DataFrame | None = None
+        self.valid, self._data = True, {}
         self._parsed = lru_cache(maxsize=512)(lambda xpath: Query(xpath, self.options))
 
     # where silos come from
@@ -41,7 +43,7 @@ class Silo:
         """A saved silo, whose manifest must be of this version."""
         try:
             manifest = json.loads(spark.read.text(f"{folder}/manifest").first()["value"])
-        except Exception as e:
+        except (AnalysisException, TypeError, ValueError) as e:  # no folder, an empty or other manifest
             raise TreeError("not_found", f"{folder} holds no silo") from e
         if manifest.get("format") != "silvestra-nodes-1":
             raise TreeError("invalid", f"{folder} is of another format")
@@ -66,10 +68,15 @@ class Silo:
             pass
         return cls(builder.compiled(rules), guid).save(folder)
 
+    def invalidate(self) -> Silo:
+        """Marks the silo as outdated, whatever its folder holds."""
+        self.valid = False
+        return self
+
     def is_valid(self) -> bool:
-        """Whether the folder still holds what was loaded."""
-        if self.path is None:
-            return True
+        """Whether it wasn't invalidated and the folder still holds what was loaded."""
+        if self.path is None or not self.valid:
+            return self.valid
         try:
             return Silo.load(self.nodes.sparkSession, self.path).guid == self.guid
         except TreeError:
@@ -132,19 +139,21 @@ class Silo:
         return (answer.check() if check and answer.faults else answer).rows
 
     def _timed(self, what: str, call):
+        """With ``profile`` set, the query is run as a whole, its rows thrown away, and its time noted."""
         began = time.perf_counter()
         out = call()
         if self.profile is not None:
+            out.write.format("noop").mode("overwrite").save()
             self.profile.append((what, time.perf_counter() - began))
         return out
 
     def _indexed(self, prepared: Query, binds: tuple) -> None:
         if not self.options.strict_index:
             return
-        wanted = indexed_literals(prepared)
+        wanted = indexed_literals(prepared) + [b for b in prepared.bound(binds) if isinstance(b, str)]
         known = self.index.where(F.col("value").isin(wanted)).count() if self.index is not None and wanted else 0
         if known < len(set(wanted)):
-            raise TreeError("invalid_argument", "an indexed literal isn't in the index")
+            raise TreeError("invalid_argument", "an indexed literal or bound text isn't in the index")
 
     def build_index(self, xpath: str, attr: str | None = None) -> Silo:
         """Indexes the texts of the nodes, or with ``attr`` all names and values of their attributes."""
@@ -158,6 +167,18 @@ class Silo:
         return self
 
     # other
+    def set_data(self, key: str, rows: DataFrame, value: Column) -> Silo:
+        """Gives nodes a value under a name, for the session; a node's later value replaces the earlier one."""
+        new = rows.select("silo_id", "node_id", value.alias("value"))
+        old = self._data.get(key)
+        self._data[key] = new if old is None else new.unionByName(old.join(new, ["silo_id", "node_id"], "left_anti"))
+        return self
+
+    def data(self, key: str, rows: DataFrame) -> DataFrame:
+        """The rows with what ``set_data`` gave them as ``data``, null where that is nothing."""
+        held = self._data.get(key)
+        return rows.withColumn("data", F.lit(None).cast("string")) if held is None else rows.join(held.withColumnRenamed("value", "data"), ["silo_id", "node_id"], "left")
+
     def size(self) -> int:
         return self.nodes.count()
 

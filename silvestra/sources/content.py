@@ -64,7 +64,7 @@ def as_xml(name: str | None, raw: bytes, adapters: tuple[Adapter, ...] = ()) ->
     """Applies adapters until XML is left; the name loses an extension each time. Blank input is an empty document."""
     if not raw.strip():
         return ""
-    for _ in range(16):
+    while True:
         kind = content_type(name, raw)
         if kind == XML or (kind == UNKNOWN and raw.lstrip()[:1] == b"<" and not any(UNKNOWN in a.kinds for a in adapters)):
             return decoded(raw)
@@ -79,11 +79,13 @@ def as_xml(name: str | None, raw: bytes, adapters: tuple[Adapter, ...] = ()) ->
             if type(e).__name__ == "ZstdError":
                 raise TreeError("invalid", f"{name}: {e}") from e
             raise
-        raw = made.encode() if isinstance(made, str) else made
+        before, raw = raw, made.encode() if isinstance(made, str) else made
+        made = raw
         if adapter.final:
             return decoded(raw)
+        if made == before:
+            raise TreeError("invalid", f"{name}: an adapter for {kind} changes nothing")
         name = name.rpartition(".")[0] if name and "." in name else name
-    raise TreeError("invalid", f"{name} is wrapped too often")
 
 
 class _Html(HTMLParser):

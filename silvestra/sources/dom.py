@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 from ..functions.text import tokens_of, xml_escaped
-from ..schema import TreeError
+from ..schema import TreeError, in_path
 
 MAX_ATTRS, MAX_DEPTH = 63, 100
 _BLANKS = " \t\n\r\f\v"
@@ -196,7 +196,7 @@ def rows_of(roots: list[Node], silo_id: str, first_id: int = 1) -> list[tuple]:
             named[n.element] = named.get(n.element, 0) + 1
             if before is not None:
                 before[3] = me
-            own = f"{path}/{n.element}" if path else n.element
+            own = f"{path}/{in_path(n.element)}" if path else in_path(n.element)
             text, tail = (t if t is not None and t.strip(_BLANKS) else None for t in (n.text, n.tail))
             tokens = [t for t in n.tokens if t][:32]
             row = [silo_id, me, parent, None, me, depth, k, named[n.element], n.element, text, tail, [{"name": a, "value": v} for a, v in n.attrs.items()], tokens or None, bool(tokens), own, anc]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import ATTRS, COLUMNS, NODES
+from ..schema import ATTRS, COLUMNS, NODES, in_path
 from ..store import written
 
 BUCKET_ROWS = 1_000_000
@@ -68,13 +68,16 @@ def ranked(rows: DataFrame, keys: int, first: str | None) -> DataFrame:
 
     Siblings share ``first``, a column with the parent's id; where it is None all rows are siblings.
     """
-    order = _order(rows, keys)
+    order, numeric = _order(rows, keys), dict(rows.dtypes)["k0"] in ("int", "bigint", "smallint", "double", "float")
     if first is not None:
         by = W.partitionBy(first).orderBy(*order)
         return rows.withColumn("rank", F.row_number().over(by).cast("long")).withColumn("before", F.sum("size").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).withColumn("is_last", F.lead(F.lit(1)).over(by).isNull())
-    numeric = dict(rows.dtypes)["k0"] in ("int", "bigint", "smallint", "double", "float")
-    buckets = -(-rows.count() // BUCKET_ROWS) if numeric else 1
-    bounds = sorted(set(rows.approxQuantile("k0", [k / buckets for k in range(1, buckets)], 0.1 / buckets))) if buckets > 1 else []
+    buckets = -(-rows.count() // BUCKET_ROWS)
+    bounds = rows.agg(F.percentile_approx("k0", [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0] if buckets > 1 and numeric else []
+    if buckets > 1 and not numeric:  # a sample of the keys, in order; any bounds are right
+        bounds = [r["k0"] for r in rows.select("k0").where(F.pmod(F.xxhash64("k0"), F.lit(BUCKET_ROWS // 100 + 1)) == 0).distinct().orderBy("k0").collect()]
+        bounds = bounds[:: max(1, len(bounds) // buckets)][1:]
+    bounds = sorted(set(bounds))
     place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("k0"))) if bounds else F.lit(0)
     rows = rows.withColumn("bucket", place)
     by = W.partitionBy("bucket").orderBy(*order)
@@ -98,7 +101,7 @@ def _nodes(rows: DataFrame, level: Level, path: str, depth: int, before: int, si
     for k, name in enumerate(level.leaves):
         me = F.col("node_id") + 1 + k
         more = F.lit(True) if k + 1 < n else F.col("size") > 1 + n
-        fixed |= dict(depth=F.lit(depth + 1), element=F.lit(name), path=F.lit(f"{path}/{name}"))
+        fixed |= dict(depth=F.lit(depth + 1), element=F.lit(name), path=F.lit(f"{path}/{in_path(name)}"))
         leaf = rows.select(
             *[c.alias(x) for x, c in fixed.items()], me.alias("node_id"), F.col("node_id").alias("parent_id"), F.when(more, me + 1).alias("next_id"), me.alias("last_desc"),
             F.lit(k + 1).cast("long").alias("sib_pos"), F.lit(1).cast("long").alias("name_pos"), F.when(F.trim(f"l{k}") != "", F.col(f"l{k}")).alias("text"), F.lit(None).cast(ATTRS).alias("attrs"), F.concat("anc", F.array("node_id")).alias("anc"),
@@ -109,7 +112,7 @@ def _nodes(rows: DataFrame, level: Level, path: str, depth: int, before: int, si
 
 def tree(root: str, top: Level, silo: str = "silo") -> DataFrame:
     """Node rows of one silo with one root over the rows of ``top`` and what lies below them."""
-    path, depth, chain = f"{root}/{top.element}", 1, [top]
+    path, depth, chain = f"{in_path(root)}/{in_path(top.element)}", 1, [top]
     while chain[-1].below is not None:
         chain.append(chain[-1].below)
     prepared: list[DataFrame] = []
@@ -124,7 +127,7 @@ def tree(root: str, top: Level, silo: str = "silo") -> DataFrame:
     size = prepared[0].agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s"))
     head = size.select(
         F.lit(silo).alias("silo_id"), F.lit(1).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.lit(None).cast("long").alias("next_id"), (F.col("s") + 1).cast("long").alias("last_desc"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("sib_pos"), F.lit(1).cast("long").alias("name_pos"),
-        F.lit(root).alias("element"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("tail"), F.lit(None).cast(ATTRS).alias("attrs"), F.lit(None).cast("array<string>").alias("tokens"), F.lit(False).alias("is_tokenized"), F.lit(root).alias("path"), F.array().cast("array<bigint>").alias("anc"),
+        F.lit(root).alias("element"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("tail"), F.lit(None).cast(ATTRS).alias("attrs"), F.lit(None).cast("array<string>").alias("tokens"), F.lit(False).alias("is_tokenized"), F.lit(in_path(root)).alias("path"), F.array().cast("array<bigint>").alias("anc"),
     )
     out = [head.select(*COLUMNS), _nodes(rows, top, path, depth, 0, silo)]
     for k, (level, lower) in enumerate(zip(chain, chain[1:], strict=False), 1):
@@ -134,7 +137,7 @@ def tree(root: str, top: Level, silo: str = "silo") -> DataFrame:
         rows = ranked(prepared[k].join(ups, on).drop(*[f"u{j}" for j in range(keys)]), len(lower.key), "parent_id")
         rows = rows.withColumn("node_id", F.col("parent_id") + 1 + leaves + F.col("before"))
         rows = rows if lower.below is None else written(rows)
-        path, depth = f"{path}/{lower.element}", depth + 1
+        path, depth = f"{path}/{in_path(lower.element)}", depth + 1
         out.append(_nodes(rows, lower, path, depth, leaves, silo))
     made = reduce(DataFrame.unionByName, out)
     return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NODES.fields])

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; a temporary one is set for a local master only."""
@@ -19,8 +21,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table written once, which cuts the lineage and outlives lost executors."""
+def stored(df: DataFrame, *by: str, codec: str = "snappy") -> str:
+    """Writes the rows once to the shared folder, in folders by the columns given; returns where."""
     path = f"{shared_folder(df.sparkSession)}/silvestra-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    df.write.partitionBy(*by).option("compression", codec).parquet(path)
+    return path
+
+
+def written(df: DataFrame, *by: str, codec: str = "snappy") -> DataFrame:
+    """The rows as a table written once, which cuts the lineage and outlives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, *by, codec=codec))
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes all tables that this process has written so, for when no result that reads them is needed; says how many."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
