@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import stored, written as kept  # noqa: F401
+
 #: Uncompressed bytes that one bucket of a packed exchange should hold.
 BUCKET_BYTES = 24 << 20
 #: Rows of a side that may be broadcast, when counted at 16 to 32 bytes a row.
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of an Arrow batch between the JVM and Python; texts have kilobytes each.
+ARROW_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data. Unless the session was started with a size of Arrow batches, it gets a small one, for less memory in a task."""
+    if not spark.sparkContext.getConf().contains("spark.sql.execution.arrow.maxRecordsPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,26 +32,3 @@ def text_bytes(docs: DataFrame) -> int:
 def buckets_for(n_bytes: float) -> int:
     """How many buckets hold so many bytes: one each BUCKET_BYTES, a multiple of 4."""
     return max(4, -(-int(n_bytes / BUCKET_BYTES) // 4) * 4)
-
-
-def stored(df: DataFrame, *by: str, codec: str = "snappy") -> str:
-    """Writes the rows once to the shared folder that ``spark.checkpoint.dir`` names, in folders by the columns given; returns where.
-
-    Where the setting is absent, a temporary folder serves a local master; any other master must
-    have it set.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="silvestra-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/silvestra-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).option("compression", codec).parquet(path)
-    return path
-
-
-def kept(df: DataFrame, *by: str, codec: str = "snappy") -> DataFrame:
-    """The rows as a table in the shared folder: this cuts the lineage and outlives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(stored(df, *by, codec=codec))

@@ -53,8 +53,8 @@ FREQUENT_ROWS, TASK_COUNT, SAMPLED = 1_000_000, 4, 64
 _TASK_GRAMS = 2_000_000
 #: Sets of one signature from which their pairs are the work of several tasks; pairs held by a task.
 LONG_LIST, _HELD_PAIRS = 2048, 500_000
-#: N-grams, at 8 bytes each, and sets of a group; two groups meet in a task.
-GROUP_BYTES, GROUP_SETS = 8 << 20, 2000
+#: Bytes of the sets of a group, and the pairs that they are in; two groups meet in a task.
+GROUP_BYTES, GROUP_PAIRS = 8 << 20, 500_000
 _LEVEL_BITS = 6
 
 
@@ -452,27 +452,29 @@ def _blocks(pairs: DataFrame, gram_bytes: float) -> DataFrame:
 
     Each set takes the label of its least neighbour's least neighbour, which is one for most of a
     cluster, so a set is sent to about one block. Labels of more than ``GROUP_BYTES`` or
-    ``GROUP_SETS`` are split into groups of sets; the others share groups. A block is a pair of groups.
+    ``GROUP_PAIRS`` are split into groups of sets; the others share groups. A block is a pair of groups.
     """
     both = pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n")))
-    near = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"), F.first("n").alias("n")))
-    near = near.join(near.select(F.col("a").alias("least"), F.col("least").alias("label")), "least").select("a", "label", "n")
-    sizes = kept(near.groupBy("label").agg(F.sum("n").alias("grams"), F.count("*").alias("sets")).select("label", "grams", "sets", F.ceil(F.greatest(F.col("grams") * gram_bytes / GROUP_BYTES, F.col("sets") / GROUP_SETS)).alias("parts")))
-    grams, sets = sizes.where("parts <= 1").agg(F.sum("grams"), F.sum("sets")).first()
-    groups = 1 + int(max((grams or 0) * gram_bytes / GROUP_BYTES, (sets or 0) / GROUP_SETS))
-    large = sizes.where("parts > 1").select("label", "parts")
-    if large.count() <= BROADCAST_ROWS:
-        large = F.broadcast(large)
+    near = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"), F.first("n").alias("n"), F.count("*").alias("pairs")))
+    near = near.join(_small(near.select(F.col("a").alias("least"), F.col("least").alias("label"))), "least").select("a", "label", "n", "pairs")
+    sizes = kept(near.groupBy("label").agg((F.sum("n") * gram_bytes / GROUP_BYTES).alias("x"), (F.sum("pairs") / GROUP_PAIRS).alias("y")).withColumn("parts", F.ceil(F.greatest("x", "y"))))
+    x, y = sizes.where("parts <= 1").agg(F.sum("x"), F.sum("y")).first()
+    groups = 1 + int(max(x or 0, y or 0))
     part = F.when(F.col("parts").isNull(), F.xxhash64(F.pmod(F.xxhash64("label"), F.lit(groups)))).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("parts"))))
-    group = kept(near.join(large, "label", "left").select("a", part.alias("part")))
-    placed = pairs.join(group.toDF("a", "x"), "a").join(group.toDF("b", "y"), "b")
+    group = kept(near.join(_small(sizes.where("parts > 1").select("label", "parts")), "label", "left").select("a", part.alias("part")))
+    placed = pairs.join(_small(group.toDF("a", "x")), "a").join(_small(group.toDF("b", "y")), "b")
     return kept(placed.select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("block"), "a", "b", "n", "m"))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """A side of a join: broadcast where its rows, of 16 to 32 bytes, are counted to be few, exchanged beyond."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _met(texts: DataFrame, blocks: DataFrame, n: int, made, check, kind: str) -> DataFrame:
     """What ``check`` says of each block's pairs, given what ``made`` makes of their sets."""
     routes = blocks.select(F.col("block").alias("to"), F.explode(F.array("a", "b")).alias("set")).distinct()
-    sets = texts.mapInArrow(_set_rows(n, made), "set long, grams binary").join(routes, "set").select("to", "set", "grams")
+    sets = texts.mapInArrow(_set_rows(n, made), "set long, grams binary").join(_small(kept(routes)), "set").select("to", "set", "grams")
     return blocks.groupBy("block").cogroup(sets.groupBy("to")).applyInArrow(check, kind)
 
 
@@ -502,8 +504,7 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     shared = sieved.groupBy("bucket").applyInArrow(_shared(buckets_for(size / 6)), "part int, rows binary")
     going = shared.groupBy("part").applyInArrow(_partnered(t), "set long").unionByName(survey.where("kind = 2").select(F.col("a").alias("set"))).distinct()
     chosen = kept(firsts.join(going, "set").select(F.col("first").alias("__id")).distinct())
-    few = chosen.count() <= BROADCAST_ROWS
-    texts = kept(texts.join(F.broadcast(chosen) if few else chosen, F.col("doc_id") == F.col("__id"), "left_semi"))
+    texts = kept(texts.join(_small(chosen), F.col("doc_id") == F.col("__id"), "left_semi"))
     size = text_bytes(texts)
     packed = texts.mapInArrow(_signatures(n, t, paired, buckets_for(size * (1 - t) / 6 * 13), frequent), "bucket int, sets binary, sizes binary, counts binary, sigs binary")
     found, kind = kept(packed.groupBy("bucket").applyInArrow(_candidates(t), "kind int, a binary, b binary, n binary, m binary"), "kind"), "a long, b long, n int, m int"
@@ -525,20 +526,27 @@ def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, paired: int
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of the edges (a, b) is connected with.
 
-    Labels spread along edges and jump to their label's label, so the rounds grow with the logarithm
-    of a group's diameter at best and with the diameter at worst; near copies have small ones.
+    Each round takes every node to its least neighbour, if that is less, follows those steps to their
+    end, and goes on with the edges between what is left, of which there is at most half a round.
     """
-    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        spread = both.join(labels.toDF("b", "near"), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        new = labels.join(spread, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
-        far = labels.toDF("next", "far")
-        new = kept(new.join(far, "next", "left").select("node", F.coalesce(F.least("next", "far"), "next").alias("label"), "old"))
-        done = new.where("label <> old").isEmpty()
-        labels = new.select("node", "label")
-        if done:
-            return labels
+    edges, done = kept(edges.select("a", "b").where("a <> b").distinct()), None
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")).select("node", F.least("node", "to").alias("label")))
+        while True:
+            far = _small(step.where("node <> label").toDF("at", "far"))
+            new = kept(step.join(far, F.col("label") == F.col("at"), "left").select("node", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")))
+            step = new.select("node", "label")
+            if new.where("moved").isEmpty():
+                break
+        if done is None:
+            done = step
+        else:
+            done = done.join(_small(step.toDF("at", "next")), F.col("label") == F.col("at"), "left").select("node", F.coalesce("next", "label").alias("label"))
+        done = kept(done)
+        edges = edges.join(_small(step.toDF("a", "x")), "a").join(_small(step.toDF("b", "y")), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        edges = kept(edges)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")) if done is None else done
 
 
 def grouped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, paired: int = PAIRED) -> DataFrame:
@@ -551,17 +559,19 @@ def grouped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, paired: i
     similar, members, firsts = _similar_sets(docs, n, threshold, paired)
     similar = kept(similar)
     both = similar.select("a", "b").unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(firsts.select(F.col("set").alias("b"), "docs"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("docs").alias("near"))
-    several = kept(members.join(members.groupBy("doc_id").count().where("count > 1").select("doc_id"), "doc_id").select("set", "doc_id"))  # documents of several sets
-    name = firsts.select("set", "first")
-    edges = similar.select("a", "b").join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    label = components(edges.unionByName(several.join(name, "set").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
-    info = kept(firsts.join(near, "set", "left").join(label.withColumnRenamed("node", "first"), "first", "left").select("set", "docs", F.coalesce("label", "first").alias("class_id"), (F.col("docs") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+    copied = firsts.where("docs > 1").select(F.col("set").alias("b"), (F.col("docs") - 1).alias("more"))
+    near = both.join(_small(copied), "b", "left").groupBy(F.col("a").alias("set")).agg(F.sum(1 + F.coalesce("more", F.lit(0))).alias("near"))
+    several = kept(members.join(members.groupBy("doc_id").agg(F.count("*").alias("sets"), F.min("set").alias("b")).where("sets > 1").select("doc_id", "b"), "doc_id").select("set", "doc_id", "b"))  # documents of several sets
+    label = components(similar.select("a", "b").unionByName(several.select(F.col("set").alias("a"), "b")))
+    linked = kept(firsts.join(near, "set", "left").join(label.withColumnRenamed("node", "set"), "set", "left").select("set", "docs", "first", F.coalesce("label", "set").alias("label"), (F.col("docs") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+    # Classes of several sets only; a set by itself is named by its least document.
+    names = kept(linked.groupBy("label").agg(F.min("first").alias("class_id"), F.count("*").alias("sets")).where("sets > 1").select("label", "class_id"))
+    info = kept(linked.join(_small(names), "label", "left").select("set", "docs", F.coalesce("class_id", "first").alias("class_id"), "n_links"))
     # Sets of more than 1 / 10,000 of all memberships are 10,000 at most; these meet their documents without an exchange.
     least = max(1000, members.count() // 10_000)
     often, rest = F.broadcast(info.where(F.col("docs") > least)), info.where(F.col("docs") <= least)
     told = members.join(often, "set").unionByName(members.join(F.broadcast(info.where(F.col("docs") > least).select("set")), "set", "left_anti").join(rest, "set")).select("doc_id", "class_id", "n_links")
-    own = both.join(several.toDF("a", "doc_id"), "a").join(several.toDF("b", "doc_id"), ["b", "doc_id"]).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(-1).cast("long").alias("n_links"))
+    own = both.join(_small(several.select(F.col("set").alias("a"), "doc_id")), "a").join(_small(several.select(F.col("set").alias("b"), "doc_id")), ["b", "doc_id"]).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(-1).cast("long").alias("n_links"))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return every.unionByName(told).unionByName(own).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
 
@@ -574,8 +584,7 @@ def deduplicated(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     """
     gone = kept(grouped(docs, n, threshold).where("doc_id <> class_id").select("doc_id"))
     rows, gone = docs.select(F.struct("*").alias("row")), gone.toDF("id")
-    few = gone.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(gone) if few else gone, F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
+    return rows.join(_small(gone), F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 12, 13, 32]] = True
@@ -130,6 +130,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def binary(parts: list[np.ndarray]) -> pa.Array:

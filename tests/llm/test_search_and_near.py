@@ -99,14 +99,26 @@ def near_rows(seed):
 @pytest.mark.parametrize(("paired", "long_list", "group"), [(4096, 2048, 2000), (3, 4, 5)])
 def test_near_groups_are_exact(docs_of, monkeypatch, paired, long_list, group):
     monkeypatch.setattr(near, "LONG_LIST", long_list)  # sizes from which work is split
-    monkeypatch.setattr(near, "GROUP_SETS", group)
-    monkeypatch.setattr(near, "BROADCAST_ROWS", 1_000_000 if group > 5 else 0)
+    monkeypatch.setattr(near, "GROUP_PAIRS", group)
+    monkeypatch.setattr(near, "_small", near._small if group > 5 else lambda rows: rows)  # nothing is broadcast
     rows = near_rows(paired)
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.grouped(docs_of(rows), paired=paired).collect()}
     assert got == brute_groups(rows)
     assert {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in near.links(docs_of(rows), paired=paired).collect()} == brute_links(rows)
 
 
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(k, k + 1) for k in range(0, 40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(150)] + [(5, 5), (400, 399)]
+    label = {x: x for e in edges for x in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["node"]: r["label"] for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
+    assert near.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_groups_of_nothing(docs_of):
     assert near.grouped(docs_of([(1, "a")]).limit(0)).count() == 0
     assert [tuple(r) for r in near.grouped(docs_of([(1, None), (1, ""), (None, "a")])).collect()] == [(1, 1, 0)]
