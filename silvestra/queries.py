@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import build_queries
 from .operators import export, navigate
 from .plans.compile import attribute
 from .silo import Silo
@@ -130,12 +131,11 @@ def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each region exported with its nations."""
+    """Each region exported with its nations and all their customers."""
     s = silo(spark, sf_dir, "W")
-    small = s.nodes.where("depth in (1, 2)")
-    tops = small.where("element = 'region'")
-    made = export.exported(small, tops)
-    names = small.where("element = 'nation'").groupBy(F.col("parent_id").alias("p")).agg(F.count("*").alias("nations"))
+    tops = s.query("regions/region")
+    made = export.exported(s.nodes, tops)
+    names = s.query("regions/region/nation").groupBy(F.col("parent_id").alias("p")).agg(F.count("*").alias("nations"))
     return made.join(tops.select("node_id", _attr("name", "region")), "node_id").join(names, F.col("node_id") == F.col("p")).select("region", "nations", F.length("xml").cast("long").alias("xml_chars"))
 
 
@@ -211,8 +211,8 @@ _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "q39_next_sibling": (_siblings, "SELECT CAST(l_orderkey AS VARCHAR) k, CAST(l_linenumber AS VARCHAR) ln, CAST(nl AS VARCHAR) next_line FROM (SELECT *, lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) nl FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) WHERE nl IS NOT NULL"),
     "q40_attributes": (lambda s, d: navigate.attributes(silo(s, d, "W").query("regions/region")).select("position", "name", "value"), "SELECT CAST(0 AS INT) AS position, 'key' AS name, CAST(r_regionkey AS VARCHAR) AS value FROM region UNION ALL SELECT 1, 'name', r_name FROM region"),
     "q41_numbers": (lambda s, d: silo(s, d, "P").query("parts/part").select(navigate.attr_as_uint("size").cast("long").alias("size"), _attr("key")), "SELECT CAST(p_size AS BIGINT) AS size, CAST(p_partkey AS VARCHAR) k FROM part"),
-    "q42_subtree_export": (_subtrees, "SELECT r_name AS region, count(*) AS nations, CAST(length('<region key=\"\" name=\"\"></region>') + max(length(CAST(r_regionkey AS VARCHAR)) + length(r_name)) + sum(length('<nation key=\"\" name=\"\"></nation>') + length(CAST(n_nationkey AS VARCHAR)) + length(n_name)) AS BIGINT) AS xml_chars FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"),
+    "q42_subtree_export": (_subtrees, "WITH c AS (SELECT c_nationkey n, sum(length('<customer key=\"\" segment=\"\" name=\"\"><acctbal></acctbal></customer>') + length(CAST(c_custkey AS VARCHAR)) + length(c_mktsegment) + length(c_name) + length(CAST(CAST(floor(c_acctbal) AS INT) AS VARCHAR))) x FROM customer GROUP BY 1) SELECT r_name AS region, count(*) AS nations, CAST(length('<region key=\"\" name=\"\"></region>') + max(length(CAST(r_regionkey AS VARCHAR)) + length(r_name)) + sum(coalesce(x, 0) + length('<nation key=\"\" name=\"\"></nation>') + length(CAST(n_nationkey AS VARCHAR)) + length(n_name)) AS BIGINT) AS xml_chars FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN c ON n = n_nationkey GROUP BY r_name"),
 }
 
-QUERIES = {name: query for name, (query, _) in _ALL.items()}
-ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items()}
+QUERIES = {name: query for name, (query, _) in (_ALL | build_queries.ALL).items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in (_ALL | build_queries.ALL).items()}
