@@ -322,6 +322,29 @@ def test_perplexity_against_dictionaries(docs_of, monkeypatch, chunk, often, n_b
         assert r["n_tokens"] == len(want) and (r["log_ppl"] is None if not want else abs(r["log_ppl"] + sum(want) / len(want)) < 1e-4)
 
 
+def test_toxicity_disguised():
+    m = toxic.Matcher({"clown": 1.0, "loser": 0.5, "moron": 1.0, "worthless": 1.0, "imbécil": 1.0})
+    for text, n in (("c1own", 1), ("1oser and worth1ess", 2), ("c|own!", 1), ("m0r0n", 1), ("m o r o n", 1), ("m.o.r.o.n", 1), ("mo\u200bron", 1), ("mo\u0301ron", 1), ("IMBÉCIL imbecil", 2), ("ｍｏｒｏｎ", 1), ("a b c d e", 0), ("clowns", 0), ("class clown, c1ass c1own", 0), ("", 0)):
+        assert len(m.hits(text)) == n, text
+
+
+def test_toxicity_of_many_exceptions_is_fast():
+    import time
+
+    began = time.perf_counter()
+    assert toxic.Matcher({"trash": 1.0}).hits("trash can " * 100_000 + "trash") == [1.0]
+    assert time.perf_counter() - began < 5
+
+
+def test_toxicity_null_lang_and_all_labels(docs_of, spark):
+    """Labels of a null language teach as well, however many there are; exact copies count once."""
+    labels = spark.createDataFrame([(k, 1, int(k < 20)) for k in range(60)], "doc_id long, quality int, toxic int")
+    docs = docs_of([f"grubby{k} zorkel thing" if k < 20 else f"nice{k} thing" for k in range(60)], langs=[None] * 60)
+    assert "zorkel" in toxic.learned_lexicon(docs, labels)
+    same = docs_of(["zorkel same text" if k < 20 else f"nice{k} thing" for k in range(60)])
+    assert "zorkel" not in toxic.learned_lexicon(same, labels)
+
+
 def brute_keeps(texts, langs):
     """Verdicts by the same bands, from the model of dictionaries."""
     log_p, ppl = kneser_ney(texts), {}
