@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,10 +35,20 @@ def written(df: DataFrame, *by: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stored(df, *by, codec=codec))
 
 
+def deleted(spark: SparkSession, path: str) -> bool:
+    """Deletes what was written there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cleared(spark: SparkSession) -> int:
     """Deletes all tables that this process has written so, for when no result that reads them is needed; says how many."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(path.getFileSystem(conf).delete(path, True))
-    return n
+    return sum(deleted(spark, path) for path in list(_WRITTEN))
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
