@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, buckets_for, kept, table, text_bytes
-from .tokens import Words, chunks, mix
+from .tokens import Words, chunks, mix, planes, unplaned
 
 #: Copies with a tenth of their words edited have a Jaccard similarity of 0.5 to 0.6 in 3-grams; texts of their own have less than 0.25.
 N, THRESHOLD = 3, 0.5
@@ -54,7 +54,7 @@ _TASK_GRAMS = 2_000_000
 #: Sets of one signature from which their pairs are the work of several tasks; pairs held by a task.
 LONG_LIST, _HELD_PAIRS = 2048, 500_000
 #: Bytes of the sets of a group, and the pairs that they are in; two groups meet in a task.
-GROUP_BYTES, GROUP_PAIRS = 8 << 20, 500_000
+GROUP_BYTES, GROUP_PAIRS = 8 << 20, 1_000_000
 _LEVEL_BITS = 6
 
 
@@ -421,13 +421,24 @@ def _bounded(t: float):
     return run
 
 
+def _steps(grams: np.ndarray) -> bytes:
+    """48 bits of each n-gram's hash, ascending, as differences: 5 bytes each when compressed."""
+    return planes(np.diff(np.unique(grams >> np.uint64(16)), prepend=np.uint64(0)), 6)
+
+
 def _verify(t: float):
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         order = np.lexsort((pairs["b"].to_numpy(), pairs["a"].to_numpy()))
         a, b = pairs["a"].to_numpy()[order], pairs["b"].to_numpy()[order]
         sets = sets.combine_chunks()
         grams, column = {k: v for v, k in enumerate(sets["set"].to_pylist())}, sets["grams"]
-        of = lambda k: np.frombuffer(column[grams[int(k)]].as_buffer(), np.uint64)
+        held: dict[int, np.ndarray] = {}
+
+        def of(k: int) -> np.ndarray:
+            if int(k) not in held:
+                held[int(k)] = np.cumsum(unplaned(column[grams[int(k)]].as_py(), 6), dtype=np.uint64)
+            return held[int(k)]
+
         score = np.zeros(len(a))
         edges = np.flatnonzero(np.diff(a)) + 1
         for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(a)], strict=True):
@@ -485,7 +496,7 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     size = text_bytes(docs)
-    survey = kept(texts.mapInArrow(_survey(n, t), "kind int, a long, b long"), "kind")
+    survey = kept(texts.mapInArrow(_survey(n, t), "kind int, a long, b long"), "kind", codec="zstd")
     members = kept(survey.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id")).distinct())
     firsts = kept(members.groupBy("set").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")))
     counts = survey.where("kind in (0, 3)").groupBy("a").agg(F.sum(F.when(F.col("kind") == 0, F.col("b")).otherwise(0)).alias("n"), F.count_if(F.col("kind") == 3).alias("some"))
@@ -504,7 +515,7 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     shared = sieved.groupBy("bucket").applyInArrow(_shared(buckets_for(size / 6)), "part int, rows binary")
     going = shared.groupBy("part").applyInArrow(_partnered(t), "set long").unionByName(survey.where("kind = 2").select(F.col("a").alias("set"))).distinct()
     chosen = kept(firsts.join(going, "set").select(F.col("first").alias("__id")).distinct())
-    texts = kept(texts.join(_small(chosen), F.col("doc_id") == F.col("__id"), "left_semi"))
+    texts = kept(texts.join(_small(chosen), F.col("doc_id") == F.col("__id"), "left_semi"), codec="zstd")
     size = text_bytes(texts)
     packed = texts.mapInArrow(_signatures(n, t, paired, buckets_for(size * (1 - t) / 6 * 13), frequent), "bucket int, sets binary, sizes binary, counts binary, sigs binary")
     found, kind = kept(packed.groupBy("bucket").applyInArrow(_candidates(t), "kind int, a binary, b binary, n binary, m binary"), "kind"), "a long, b long, n int, m int"
@@ -512,7 +523,7 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     long_lists = long_lists.repartition(max(1, long_lists.count() // 16))
     pairs = kept(found.where("kind = 0").mapInArrow(_expanded(t), kind).unionByName(long_lists.mapInArrow(_expanded(t), kind)).distinct())
     pairs = kept(_met(texts, _blocks(pairs, 3 / 8), n, _parity, _bounded(t), kind))
-    similar = _met(texts, _blocks(pairs, 8), n, np.ndarray.tobytes, _verify(t), "a long, b long, jaccard double")
+    similar = _met(texts, _blocks(pairs, 8), n, _steps, _verify(t), "a long, b long, jaccard double")
     return similar, members, firsts
 
 
