@@ -6,15 +6,14 @@ the corpus is broadcast or sent to the driver. The model is never in one place:
 
 1. Texts become chunks of tokens: a sorted array of the chunk's words, and for each token the rank of
    its word there. This table is written once; texts aren't read again.
-2. Each chunk sends its bigrams, sorted and delta-coded, to buckets by hash. A bigram's bucket is that
-   of its first word, or, where that is one of the at most ``OFTEN`` words that make up more than
-   1 / OFTEN of all tokens, that of both its words, so no bucket gets a hot word's followers alone.
-   A bucket counts each bigram over all chunks and answers each chunk in the order in which it asked.
-3. What buckets know of single words (followers, types that a word ends) meets by word in the same way,
-   and goes back to each chunk that has the word.
-4. The answers are written by chunk, and each chunk is scored with its own answers only.
+2. Each chunk sends the hashes of its bigrams, sorted and delta-coded, with their counts to buckets by
+   hash. A bucket is a sorted hash array of all bigrams that fall there: it counts each over all chunks
+   and answers each chunk in the order in which it asked. One of the chunks that have a bigram owns it.
+3. Each chunk adds up, by word, what it owns: tokens that follow, bigrams by count, types that the word
+   ends. These sums meet by word in buckets, which answer each chunk that has the word in the same way.
+4. Answers are written by chunk, and each chunk is scored with its own answers only.
 
-So work, exchange and answers grow in proportion to the corpus.
+A hot word or bigram is one entry of a chunk, so nothing gathers where it is counted. Work, exchange and answers grow in proportion to the corpus.
 
 P(w | v) = (c(vw) - D(c(vw))) / c(v) + g(v) Pc(w), with the discounts D1, D2, D3+ from the counts of
 counts, g(v) the mass that is left, and Pc the discounted share of bigram types that end in w,
@@ -41,21 +40,23 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import deleted, released
 from .common import buckets_for, kept, stored, table, text_bytes
-from .tokens import Words, chunks, mix
+from .tokens import Words, chunks, mix, planes, unplaned
 
 LOW, HIGH, NOISE = 0.3, 1.8, 6.0
 #: Tokens of a chunk; a longer text is a chunk of its own.
 CHUNK_TOKENS = 2_000_000
-OFTEN = 5000
 #: Chunks of which the answers share a folder.
 _FOLDER = 16
 _WORD = np.uint64((1 << 48) - 1)
 _START = np.uint64(0)
-_CODED = "chunk long, doc_ids array<long>, langs array<string>, sizes binary, words binary, ranks binary, tokens binary, often array<long>, often_counts array<long>, n long"
+#: Bits of a bigram's hash within its bucket; buckets hold some million bigrams at any size.
+_BITS = np.uint64(40)
+_CODED = "chunk long, doc_ids array<long>, langs array<string>, sizes binary, words binary, ranks binary, tokens binary"
 _ROWS = "kind int, chunk long, bucket int, a binary, b binary"
 
 
@@ -68,17 +69,6 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(unplaned(raw, 8), dtype=np.uint64)
 
 
-def planes(x: np.ndarray, width: int) -> bytes:
-    """Numbers of so many bytes, byte by byte."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unplaned(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
-    return out.view("<u8").ravel()
-
-
 def _heads(*keys: np.ndarray) -> np.ndarray:
     """Where the keys, sorted, change."""
     if not len(keys[0]):
@@ -96,7 +86,7 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 _SCHEMA = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-_CODED_SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), *((x, pa.binary()) for x in ("sizes", "words", "ranks", "tokens")), ("often", pa.list_(pa.int64())), ("often_counts", pa.list_(pa.int64())), ("n", pa.int64())])
+_CODED_SCHEMA = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), *((x, pa.binary()) for x in ("sizes", "words", "ranks", "tokens"))])
 
 
 def _coded(limit: int):
@@ -109,11 +99,10 @@ def _coded(limit: int):
         ranks = np.argsort(-counts, kind="stable")
         place = np.empty(len(words), np.int64)
         place[ranks] = np.arange(len(words))
-        often = ranks[: np.count_nonzero(counts * OFTEN > len(tokens))]
         sizes = np.concatenate([n for _, n, _, _ in held])
         ids, langs = ([x for part in held for x in part[k].to_pylist()] for k in (2, 3))
         chunk = (TaskContext.get().partitionId() << 32) + number
-        return _batch(_CODED_SCHEMA, [(chunk, ids, langs, planes(sizes, 4), packed(words), planes(ranks, 4), planes(place[index], 4), words[often].astype(np.int64).tolist(), counts[often].tolist(), len(tokens))])
+        return _batch(_CODED_SCHEMA, [(chunk, ids, langs, planes(sizes, 4), packed(words), planes(ranks, 4), planes(place[index], 4))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, 0
@@ -130,101 +119,62 @@ def _coded(limit: int):
     return run
 
 
-def _homes(words: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((mix(words) >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)
-
-
 class _Chunk:
-    """A chunk's words (the start symbol first), its bigrams ascending, and the buckets that it asks."""
+    """A chunk's words (the start symbol first), its bigrams by bucket and hash, and the bounds of buckets in both."""
 
-    def __init__(self, row: dict, often: np.ndarray, n_buckets: int) -> None:
+    def __init__(self, row: dict, n_buckets: int) -> None:
         self.words = np.r_[_START, unpacked(row["words"].as_py())]
         ranks, tokens = unplaned(row["ranks"].as_py(), 4), unplaned(row["tokens"].as_py(), 4)
         self.sizes = unplaned(row["sizes"].as_py(), 4).astype(np.int64)
-        w = (ranks + np.uint64(1))[tokens] if len(tokens) else np.zeros(0, np.uint64)
-        v = np.r_[np.zeros(min(1, len(w)), np.uint64), w[:-1]]
+        w = (ranks + np.uint64(1)).astype(np.uint32)[tokens] if len(tokens) else np.zeros(0, np.uint32)
+        v = np.r_[np.zeros(min(1, len(w)), np.uint32), w[:-1]]
         v[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = 0
-        base = np.uint64(len(self.words))
-        keys = v * base + w
+        self.follow = np.bincount(v, minlength=len(self.words))
+        keys = mix(self.words[v] * np.uint64(0x9E3779B97F4A7C15) + self.words[w])
+        keys = ((keys >> _BITS) % np.uint64(n_buckets) << _BITS) | (keys & ((np.uint64(1) << _BITS) - np.uint64(1)))
         self.order = np.argsort(keys).astype(np.uint32)
         keys = keys[self.order]
         heads = _heads(keys)
-        self.counts, keys = np.diff(np.r_[heads, len(keys)]), keys[heads]
-        self.v, self.w = (keys // base).astype(np.int64), (keys % base).astype(np.int64)
-        hot = np.isin(self.words, often)
-        home = _homes(self.words, n_buckets)
-        split = _homes(self.words[self.v] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.w], n_buckets)
-        bucket = np.where(hot[self.v], split, home[self.v])
-        self.pairs = np.argsort(bucket, kind="stable")
+        self.counts, self.keys = np.diff(np.r_[heads, len(keys)]), keys[heads]
+        self.v, self.w = v[self.order[heads]], w[self.order[heads]]
+        self.bounds = np.searchsorted(self.keys >> _BITS, np.arange(n_buckets + 1).astype(np.uint64))
+        home = ((mix(self.words) >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)
         self.names = np.argsort(home, kind="stable")
-        self.pair_bounds = np.searchsorted(bucket[self.pairs], np.arange(n_buckets + 1))
         self.name_bounds = np.searchsorted(home[self.names], np.arange(n_buckets + 1))
 
 
-def _asked(often, n_buckets: int):
-    """Of each chunk and bucket: the bigrams that the bucket counts (kind 0) and the words that are at home there (kind 3)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {name: batch.column(name)[k] for name in batch.schema.names}
-                made, rows, number = _Chunk(row, often.value, n_buckets), [], row["chunk"].as_py()
-                for b in range(n_buckets):
-                    at = made.pairs[made.pair_bounds[b] : made.pair_bounds[b + 1]]
-                    if len(at):
-                        v, w, counts = made.v[at], made.words[made.w[at]], made.counts[at]
-                        heads = _heads(v)
-                        firsts = np.concatenate([np.array([len(heads)], np.uint64).view(np.uint8), np.frombuffer(packed(made.words[v[heads]]), np.uint8), np.frombuffer(planes(np.diff(np.r_[heads, len(v)]), 4), np.uint8)]).tobytes()
-                        rows.append((0, number, b, firsts, planes(w, 6) + planes(counts, 4)))
-                    at = made.names[made.name_bounds[b] : made.name_bounds[b + 1]]
-                    if len(at):
-                        rows.append((3, number, b, packed(made.words[at]), b""))
-                yield _batch(_SCHEMA, rows)
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch.column(name)[k] for name in batch.schema.names}
 
-    return run
 
+def _asked(n_buckets: int):
+    """Of each chunk and bucket, the chunk's bigrams there and their counts."""
 
-def _pair_bucket(n_buckets: int):
-    """Counts of a bucket's bigrams over all chunks: rows of kind
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            made, number = _Chunk(row, n_buckets), row["chunk"].as_py()
+            at = [slice(made.bounds[b], made.bounds[b + 1]) for b in range(n_buckets)]
+            yield _batch(_SCHEMA, [(0, number, b, packed(made.keys[x] & ((np.uint64(1) << _BITS) - np.uint64(1))), planes(made.counts[x], 4)) for b, x in enumerate(at) if x.stop > x.start])
 
-    0 for each chunk, the counts in the order asked; 1 by home bucket, of first words: tokens that
-    follow, those of bigrams that occur more than once, bigrams of 2, bigrams of more; 2 by home bucket,
-    of second words: the types they end; 4 counts of counts.
-    """
+    return run
 
-    def run(group: pa.Table) -> pa.Table:
-        v, w, c, lengths = [], [], [], []
-        for a, b in zip(group["a"], group["b"], strict=True):
-            raw, more = a.as_buffer(), b.as_buffer()
-            n = int(np.frombuffer(raw, np.uint64, 1)[0])
-            v.append(np.repeat(unpacked(raw[8 : 8 + 8 * n]), unplaned(raw[8 + 8 * n :], 4).astype(np.int64)))
-            lengths.append(len(v[-1]))
-            w.append(unplaned(more[: 6 * lengths[-1]], 6))
-            c.append(unplaned(more[6 * lengths[-1] :], 4))
-        v, w, c = (np.concatenate(x) for x in (v, w, c))
-        order = np.lexsort((w, v))
-        v, w = v[order], w[order]
-        heads = _heads(v, w)
-        sums = np.add.reduceat(c[order].astype(np.int64), heads)
-        answer = np.empty(len(order), np.int64)
-        answer[order] = np.repeat(sums, np.diff(np.r_[heads, len(v)]))
-        ends, bucket = np.cumsum(lengths), group["bucket"][0].as_py()
-        rows = [(0, x.as_py(), bucket, planes(answer[e - n : e], 4), b"") for x, n, e in zip(group["chunk"], lengths, ends, strict=True)]
-        rows.append((4, 0, bucket, np.array([(sums == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes(), b""))
-        v, w = v[heads], w[heads]
-        at = _heads(v)
-        known = [np.add.reduceat(x.astype(np.int64), at) for x in (sums, np.where(sums > 1, sums, 0), sums == 2, sums > 2)]
-        second, types = np.unique(w, return_counts=True)
-        for kind, names, values in ((1, v[at], known), (2, second, [types])):
-            home = _homes(names, n_buckets)
-            order = np.argsort(home, kind="stable")
-            bounds = np.searchsorted(home[order], np.arange(n_buckets + 1))
-            for k in np.flatnonzero(np.diff(bounds)):
-                own = order[bounds[k] : bounds[k + 1]]
-                rows.append((kind, 0, int(k), packed(names[own]), planes(np.concatenate([x[own] for x in values]), 6)))
-        return pa.Table.from_batches([_batch(_SCHEMA, rows)])
 
-    return run
+def _pair_bucket(group: pa.Table) -> pa.Table:
+    """Counts of a bucket's bigrams over all chunks: of kind 0 for each chunk, twice the counts in the order asked, and 1 where it owns the bigram; 4 the counts of counts."""
+    keys, c = [unpacked(a.as_py()) for a in group["a"]], np.concatenate([unplaned(b.as_py(), 4).astype(np.int64) for b in group["b"]])
+    ends, keys = np.cumsum([len(x) for x in keys]), np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    heads = _heads(keys[order])
+    sums = np.add.reduceat(c[order], heads)
+    answer = np.empty(len(order), np.int64)
+    answer[order] = np.repeat(sums * 2, np.diff(np.r_[heads, len(order)]))
+    answer[order[heads]] += 1
+    bucket = group["bucket"][0].as_py()
+    rows = [(0, x.as_py(), bucket, planes(answer[lo:hi], 6), b"") for x, lo, hi in zip(group["chunk"], np.r_[0, ends[:-1]], ends, strict=True)]
+    rows.append((4, 0, bucket, np.array([(sums == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes(), b""))
+    return pa.Table.from_batches([_batch(_SCHEMA, rows)])
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -234,48 +184,70 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([x if 0 < x < k else k / 2 for k, x in zip((1, 2, 3), d, strict=True)])
 
 
+def _counts(made: _Chunk, chunk: int, path: str, folders: int) -> np.ndarray:
+    """Of each bigram of the chunk, what its bucket answered."""
+    told, out = _answers(path, chunk_folder(chunk, folders), chunk), np.zeros(len(made.keys), np.int64)
+    for b in range(len(made.bounds) - 1):
+        at = slice(made.bounds[b], made.bounds[b + 1])
+        if at.stop > at.start:
+            out[at] = unplaned(told[b][0], 6)
+    return out
+
+
+def _shares(path: str, n_buckets: int, folders: int):
+    """Of each chunk and bucket: the words at home there, and by word the tokens that follow, of owned bigrams those that occur more than once (tokens, bigrams of 2, bigrams of more), and types that it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows_of(batches):
+            made, number = _Chunk(row, n_buckets), row["chunk"].as_py()
+            c = _counts(made, number, path, folders)
+            own, c = (c & 1).astype(bool), c >> 1
+            n, v = len(made.words), made.v[own]
+            by = lambda x: np.bincount(v, np.where(x, 1, 0), n).astype(np.int64)
+            sums = [made.follow, np.bincount(v, np.where(c[own] > 1, c[own], 0), n).astype(np.int64), by(c[own] == 2), by(c[own] > 2), np.bincount(made.w[own], minlength=n)]
+            rows = []
+            for b in range(n_buckets):
+                at = made.names[made.name_bounds[b] : made.name_bounds[b + 1]]
+                if len(at):
+                    rows.append((3, number, b, packed(made.words[at]), planes(np.concatenate([x[at] for x in sums]), 6)))
+            yield _batch(_SCHEMA, rows)
+
+    return run
+
+
 def _word_bucket(d: np.ndarray):
     """Of the words at home in a bucket: rows of kind 1 for each chunk, with followers, types ended and the mass left; 5 the counts of types ended by 1, 2, 3, 4, 3 or more, their sum, and the words."""
 
     def run(group: pa.Table) -> pa.Table:
-        kinds, total = group["kind"].to_numpy(), {}
-        for kind, n in ((1, 4), (2, 1)):
-            at = np.flatnonzero(kinds == kind)
-            names = [unpacked(group["a"][int(k)].as_py()) for k in at]
-            values = [unplaned(group["b"][int(k)].as_py(), 6).reshape(n, -1) for k in at]
-            names, values = (np.concatenate(names), np.concatenate(values, axis=1)) if len(at) else (np.zeros(0, np.uint64), np.zeros((n, 0), np.uint64))
-            order = np.argsort(names, kind="stable")
-            heads = _heads(names[order])
-            total[kind] = names[order][heads], (np.add.reduceat(values[:, order].astype(np.int64), heads, axis=1) if len(heads) else values.astype(np.int64))
-
-        def of(kind: int, words: np.ndarray) -> np.ndarray:
-            names, values = total[kind]
-            if not len(names):
-                return np.zeros((len(values), len(words)), np.int64)
-            at = np.minimum(np.searchsorted(names, words), len(names) - 1)
-            return np.where(names[at] == words, values[:, at], 0)
-
+        names = [unpacked(a.as_py()) for a in group["a"]]
+        values = np.concatenate([unplaned(b.as_py(), 6).reshape(5, -1) for b in group["b"]], axis=1).astype(np.int64)
+        ends, names = np.cumsum([len(x) for x in names]), np.concatenate(names)
+        order = np.argsort(names, kind="stable")
+        heads = _heads(names[order])
+        sums = np.add.reduceat(values[:, order], heads, axis=1)
+        follow, kept_follow, twice, more, types = sums
+        left = np.clip(1 - (kept_follow - d[1] * twice - d[2] * more) / np.maximum(1, follow), 1e-9, 1).astype(np.float32)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(order)]))
         bucket, rows = group["bucket"][0].as_py(), []
-        for k in np.flatnonzero(kinds == 3):
-            words = unpacked(group["a"][int(k)].as_py())
-            follow, twice_up, twice, more = of(1, words)
-            left = np.clip(1 - (twice_up - d[1] * twice - d[2] * more) / np.maximum(1, follow), 1e-9, 1).astype(np.float32)
-            rows.append((1, group["chunk"][int(k)].as_py(), bucket, planes(np.r_[follow, of(2, words)[0]], 6), planes(left.view(np.uint32), 4)))
-        ends = total[2][1][0]
-        rows.append((5, 0, bucket, np.array([*((ends == k).sum() for k in (1, 2, 3, 4)), (ends > 2).sum(), ends.sum(), len(ends)], np.int64).tobytes(), b""))
+        for x, lo, hi in zip(group["chunk"], np.r_[0, ends[:-1]], ends, strict=True):
+            at = place[lo:hi]
+            rows.append((1, x.as_py(), bucket, planes(np.r_[follow[at], types[at]], 6), planes(left[at].view(np.uint32), 4)))
+        rows.append((5, 0, bucket, np.array([*((types == k).sum() for k in (1, 2, 3, 4)), (types > 2).sum(), types.sum(), np.count_nonzero(types)], np.int64).tobytes(), b""))
         return pa.Table.from_batches([_batch(_SCHEMA, rows)])
 
     return run
 
 
-def _summed(rows: DataFrame, n: int) -> np.ndarray:
+def _summed(spark: SparkSession, path: str, kind: int, n: int) -> np.ndarray:
     """The sum of small arrays, one from each bucket."""
-    return sum((np.frombuffer(r["a"], np.int64) for r in rows.select("a").toLocalIterator()), np.zeros(n, np.int64))
+    rows = spark.read.schema(_ROWS).parquet(path).where(F.col("kind") == kind).select("a")
+    return sum((np.frombuffer(r["a"], np.int64) for r in rows.toLocalIterator()), np.zeros(n, np.int64))
 
 
-def _answers(path: str, folder: int, chunk: int) -> dict[tuple[int, int], tuple[bytes, bytes]]:
-    """(kind, bucket): what the buckets told this chunk."""
-    system, base = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+def _answers(path: str, folder: int, chunk: int) -> dict[int, tuple[bytes, bytes]]:
+    """What each bucket told this chunk."""
+    system, base = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if "://" in path or path.startswith("file:") else f"file://{path}")
     files = [f.path for f in system.get_file_info(fs.FileSelector(f"{base}/folder={folder}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
     out = {}
     for file in files:
@@ -284,36 +256,32 @@ def _answers(path: str, folder: int, chunk: int) -> dict[tuple[int, int], tuple[
             at = read.schema_arrow.get_field_index("chunk")
             stats = [read.metadata.row_group(g).column(at).statistics for g in range(read.num_row_groups)]
             groups = [g for g, s in enumerate(stats) if s is None or not s.has_min_max or s.min <= chunk <= s.max]
-            for batch in read.iter_batches(batch_size=256, row_groups=groups, columns=["kind", "chunk", "bucket", "a", "b"], use_threads=False):
+            for batch in read.iter_batches(batch_size=64, row_groups=groups, columns=["chunk", "bucket", "a", "b"], use_threads=False):
                 for k in np.flatnonzero(batch.column("chunk").to_numpy() == chunk):
-                    out[batch.column("kind")[int(k)].as_py(), batch.column("bucket")[int(k)].as_py()] = batch.column("a")[int(k)].as_py(), batch.column("b")[int(k)].as_py()
+                    out[batch.column("bucket")[int(k)].as_py()] = batch.column("a")[int(k)].as_py(), batch.column("b")[int(k)].as_py()
     return out
 
 
-def _scores(path: str, often, n_buckets: int, folders: int, d: np.ndarray, e: np.ndarray, all_ends: int, spare: float):
+def _scores(pairs: str, words: str, n_buckets: int, folders: int, d: np.ndarray, e: np.ndarray, all_ends: int, spare: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {name: batch.column(name)[k] for name in batch.schema.names}
-                made, chunk = _Chunk(row, often.value, n_buckets), row["chunk"].as_py()
-                told = _answers(path, chunk_folder(chunk, folders), chunk)
-                c, follow, ends, left = np.zeros(len(made.v), np.int64), *(np.zeros(len(made.words), t) for t in (np.int64, np.int64, np.float32))
-                for b in range(n_buckets):
-                    at = made.pairs[made.pair_bounds[b] : made.pair_bounds[b + 1]]
-                    if len(at):
-                        c[at] = unplaned(told[0, b][0], 4)
-                    at = made.names[made.name_bounds[b] : made.name_bounds[b + 1]]
-                    if len(at):
-                        follow[at], ends[at] = unplaned(told[1, b][0], 6).reshape(2, -1)
-                        left[at] = unplaned(told[1, b][1], 4).astype(np.uint32).view(np.float32)
-                lower = np.where(ends > 0, ends - e[np.clip(ends, 1, 3) - 1], 0) / all_ends + spare
-                share = np.where(c > 1, c - d[np.clip(c, 1, 3) - 1], 0) / np.maximum(1, follow[made.v])
-                p = np.log(np.maximum(share + left[made.v] * lower[made.w], 1e-300))
-                log_p = np.empty(len(made.order))
-                log_p[made.order] = np.repeat(p, made.counts)
-                sums, bounds = np.r_[0.0, np.cumsum(log_p)], np.r_[0, np.cumsum(made.sizes)]
-                mean = np.where(made.sizes > 0, (sums[bounds[:-1]] - sums[bounds[1:]]) / np.maximum(made.sizes, 1), np.nan)
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, row["langs"].values, pa.array(made.sizes), pa.array(mean, mask=made.sizes == 0)], ["doc_id", "lang", "n_tokens", "log_ppl"])
+        for row in _rows_of(batches):
+            made, chunk = _Chunk(row, n_buckets), row["chunk"].as_py()
+            c = _counts(made, chunk, pairs, folders) >> 1
+            told = _answers(words, chunk_folder(chunk, folders), chunk)
+            follow, ends, left = (np.zeros(len(made.words), t) for t in (np.int64, np.int64, np.float32))
+            for b in range(n_buckets):
+                at = made.names[made.name_bounds[b] : made.name_bounds[b + 1]]
+                if len(at):
+                    follow[at], ends[at] = unplaned(told[b][0], 6).reshape(2, -1)
+                    left[at] = unplaned(told[b][1], 4).astype(np.uint32).view(np.float32)
+            lower = np.where(ends > 0, ends - e[np.clip(ends, 1, 3) - 1], 0) / all_ends + spare
+            share = np.where(c > 1, c - d[np.clip(c, 1, 3) - 1], 0) / np.maximum(1, follow[made.v])
+            p = np.log(np.maximum(share + left[made.v] * lower[made.w], 1e-300))
+            log_p = np.empty(len(made.order))
+            log_p[made.order] = np.repeat(p, made.counts)
+            sums, bounds = np.r_[0.0, np.cumsum(log_p)], np.r_[0, np.cumsum(made.sizes)]
+            mean = np.where(made.sizes > 0, (sums[bounds[:-1]] - sums[bounds[1:]]) / np.maximum(made.sizes, 1), np.nan)
+            yield pa.RecordBatch.from_arrays([row["doc_ids"].values, row["langs"].values, pa.array(made.sizes), pa.array(mean, mask=made.sizes == 0)], ["doc_id", "lang", "n_tokens", "log_ppl"])
 
     return run
 
@@ -328,23 +296,31 @@ def scored(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     n_buckets = buckets_for(text_bytes(docs))
     coded = kept(rows.mapInArrow(_coded(chunk_tokens), _CODED), codec="zstd")
-    n_tokens, n_chunks = coded.agg(F.sum("n"), F.count("*")).first()
-    often = coded.select(F.explode(F.arrays_zip("often", "often_counts")).alias("x")).groupBy("x.often").agg(F.sum("x.often_counts").alias("n")).where(F.col("n") * OFTEN > (n_tokens or 0))
-    often = spark.sparkContext.broadcast(np.sort(np.array([_START, *(r["often"] for r in often.select("often").collect())], np.uint64)))  # OFTEN + 1 words at most
-    asked = coded.mapInArrow(_asked(often, n_buckets), _ROWS)
-    # Bigrams and words go to buckets in exchanges of their own; words wait in the shared folder.
-    asked = kept(asked.where("kind = 3"), codec="zstd"), asked.where("kind = 0")
-    counted = kept(asked[1].groupBy("bucket").applyInArrow(_pair_bucket(n_buckets), _ROWS), "kind", codec="zstd")
-    d = discounts(_summed(counted.where("kind = 4"), 4))
-    words = kept(counted.where("kind in (1, 2)").select("kind", "chunk", "bucket", "a", "b").unionByName(asked[0]).groupBy("bucket").applyInArrow(_word_bucket(d), _ROWS), "kind", codec="zstd")
-    types = _summed(words.where("kind = 5"), 7)
+    folders = max(1, -(-coded.count() // _FOLDER))
+    folder = F.pmod(F.shiftright("chunk", 32) * 31 + F.col("chunk").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(folders)).cast("int")
+
+    def by_bucket(asked: DataFrame, answer) -> str:
+        path = stored(asked.groupBy("bucket").applyInArrow(answer, _ROWS), "kind", codec="zstd")
+        released(spark)
+        return path
+
+    def by_chunk(path: str, kind: int) -> str:
+        """The answers in folders of some chunks each; what they were written to first goes."""
+        answers = spark.read.schema(_ROWS).parquet(path).where(F.col("kind") == kind).select("chunk", "bucket", "a", "b").withColumn("folder", folder)
+        out = stored(answers.repartition(folders, "folder").sortWithinPartitions("folder", "chunk"), "folder", codec="zstd")
+        deleted(spark, path)
+        released(spark)
+        return out
+
+    counted = by_bucket(coded.mapInArrow(_asked(n_buckets), _ROWS), _pair_bucket)
+    d = discounts(_summed(spark, counted, 4, 4))
+    pairs = by_chunk(counted, 0)
+    told = by_bucket(coded.mapInArrow(_shares(pairs, n_buckets, folders), _ROWS), _word_bucket(d))
+    types = _summed(spark, told, 5, 7)
+    words = by_chunk(told, 1)
     e, all_ends = discounts(types[:4]), max(1, int(types[5]))
     spare = (1 - (types[5] - e @ types[[0, 1, 4]]) / all_ends) / max(1, int(types[6]))
-    folders = max(1, -(-n_chunks // _FOLDER))
-    folder = F.pmod(F.shiftright("chunk", 32) * 31 + F.col("chunk").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(folders)).cast("int")
-    answers = counted.where("kind = 0").unionByName(words.where("kind = 1")).withColumn("folder", folder)
-    path = stored(answers.repartition(folders, "folder").sortWithinPartitions("folder", "chunk"), "folder", codec="zstd")
-    return coded.drop("often", "often_counts", "n").mapInArrow(_scores(path, often, n_buckets, folders, d, e, all_ends, spare), "doc_id long, lang string, n_tokens long, log_ppl double")
+    return coded.mapInArrow(_scores(pairs, words, n_buckets, folders, d, e, all_ends, spare), "doc_id long, lang string, n_tokens long, log_ppl double")
 
 
 def bands(scores: DataFrame) -> DataFrame:
