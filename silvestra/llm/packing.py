@@ -6,8 +6,9 @@ penalties for documents cut in two. With S the running number of tokens and f th
 lies before a cut, f(j) = penalty(j) + length - S(j) + min(f(i) + S(i)) over cuts i of at most
 ``length`` tokens before j; a monotone queue keeps that minimum, so the time is linear.
 
-Work is split by ranges of doc_id into shards of about ``SHARD_TOKENS``, each packed on its own; only
-lengths of sentences are exchanged, never texts.
+Work is split into shards of ``SHARD_TOKENS`` in the order of documents, by exact running numbers of
+tokens, whatever the ids are; each is packed on its own. Only lengths of sentences are exchanged, never
+texts.
 
 Defined results: tokens are runs of non-space bytes; a sentence ends with a token that ends in
 ``. ! ?`` or before a line break. A sentence longer than a window is cut after each ``length`` tokens
@@ -129,19 +130,24 @@ def _pack(length: int, sentence: int, hard: int):
     return run
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of an ordered partition with the number of its tokens up to each."""
+    total = 0
+    for batch in batches:
+        upto = total + np.cumsum(batch.column("n_tokens").to_numpy())
+        total = int(upto[-1]) if len(upto) else total
+        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(upto), *(batch.column(c) for c in ("doc_id", "tie", "lengths"))], ["part", "upto", "doc_id", "tie", "lengths"])
+
+
 def packed(docs: DataFrame, length: int = LENGTH, sentence: int = SENTENCE, hard: int = HARD, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Windows: shard, number within it, and for each the spans (doc_ids, starts, stops in tokens)."""
     rows = kept(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInArrow(_sentences, "doc_id long, tie long, n_tokens long, lengths binary"))
-    low, high, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.sum("n_tokens")).first()
-    low, high, total = low or 0, high or 0, total or 0
-    ranges = 8 * (total // shard_tokens + 1)
-    step = (high - low) // ranges + 1
-    place = F.coalesce(F.expr(f"cast((cast(doc_id as decimal(20,0)) - {low}) / {step} as long)"), F.lit(-1)) if high - low >= 1 << 62 else F.coalesce(F.expr(f"(doc_id - {low}L) div {step}L"), F.lit(-1))
-    rows = rows.withColumn("place", place.cast("long"))
-    sums = rows.groupBy(F.col("place").alias("at")).agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(W.orderBy("at")) - F.col("n")
-    shards = sums.select("at", F.expr("n").alias("n"), before.alias("before")).select("at", F.floor(F.col("before") / shard_tokens).cast("long").alias("shard"))
-    return rows.join(shards, rows["place"] == shards["at"]).select("shard", "doc_id", "tie", "lengths").groupBy("shard").applyInArrow(_pack(length, sentence, hard), RESULT)
+    ordered = rows.withColumn("number", F.monotonically_increasing_id()).orderBy(F.asc_nulls_first("doc_id"), "tie", "number").withColumn("part", F.spark_partition_id())
+    ordered = kept(ordered.mapInArrow(_running, "part int, upto long, doc_id long, tie long, lengths binary"))
+    sums = ordered.groupBy(F.col("part").alias("of")).agg(F.max("upto").alias("n"))  # one row a partition
+    before = sums.select("of", (F.sum("n").over(W.orderBy("of")) - F.col("n")).alias("before"))
+    sharded = ordered.join(F.broadcast(before), F.col("part") == F.col("of")).withColumn("shard", F.floor((F.col("before") + F.col("upto") - 1) / shard_tokens).cast("long"))
+    return sharded.select("shard", "doc_id", "tie", "lengths").groupBy("shard").applyInArrow(_pack(length, sentence, hard), RESULT)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
