@@ -1,7 +1,8 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length token window, counted in Spark.
 
 Tokens are runs of non-space bytes, letters' case kept. Every window of ``width`` tokens of every
-text is hashed; hashes travel packed, in buckets by hash, together with the document and position.
+text is hashed, twice, to 80 bits in all; hashes travel packed, in buckets, together with the document
+and position. (Among 10**13 windows some 40 pairs of different ones have equal hashes by chance.)
 A bucket holds all occurrences of its hashes, so the count there is the whole corpus's count.
 Occurrences of a repeated window other than its first (lowest doc_id, then position) are to be
 removed; windows that overlap or touch merge into maximal intervals.
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, buckets_for, kept, text_bytes
-from .tokens import Words, chunks
+from .tokens import Words, chunks, planes, unplaned
 
 WIDTH = 50
-_PACKED = "bucket int, docs binary, counts binary, hashes binary, places binary"
+_PACKED = "bucket int, docs binary, counts binary, hashes binary, more binary, places binary"
+_SALT = 0x51ED270B
 _RUNS = "doc_id long, first boolean, places binary"
 
 
@@ -36,43 +38,61 @@ def _pack(n_buckets: int, width: int):
             hashes, at = words.windows(width)
             if not len(hashes):
                 continue
+            more = words.windows(width, _SALT)[0] >> np.uint64(48)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             owner = words.text_of[at]
             place = (at - words.bounds[owner]).astype(np.uint32)
             bucket = ((hashes >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, hashes, owner, place = bucket[order], hashes[order], owner[order], place[order]
+            bucket, hashes, more, owner, place = bucket[order], hashes[order], more[order], owner[order], place[order]
             edges = np.flatnonzero(np.diff(bucket)) + 1
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(bucket)], strict=True):
                 own = owner[lo:hi]
                 heads = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
-                for k, v in enumerate((int(bucket[lo]), ids[own[heads]].tobytes(), np.diff(np.r_[heads, hi - lo]).astype(np.uint32).tobytes(), hashes[lo:hi].tobytes(), place[lo:hi].tobytes())):
+                for k, v in enumerate((int(bucket[lo]), ids[own[heads]].tobytes(), np.diff(np.r_[heads, hi - lo]).astype(np.uint32).tobytes(), hashes[lo:hi].tobytes(), planes(more[lo:hi], 2), _gaps(place[lo:hi], heads))):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "docs", "counts", "hashes", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "docs", "counts", "hashes", "more", "places"])
 
     return run
 
 
+def _gaps(place: np.ndarray, heads: np.ndarray) -> bytes:
+    """Ascending positions of each document as steps from one to the next; most have one byte."""
+    steps = np.diff(place.astype(np.int64), prepend=0)
+    steps[heads] = place[heads]
+    return planes(steps, 4)
+
+
+def _places(group: pa.Table) -> np.ndarray:
+    out = []
+    for counts, raw in zip(group["counts"], group["places"], strict=True):
+        counts, steps = np.frombuffer(counts.as_py(), np.uint32).astype(np.int64), unplaned(raw.as_py(), 4).astype(np.int64)
+        total, ends = np.cumsum(steps), np.cumsum(counts)
+        out.append(total - np.repeat(np.r_[0, total[ends[:-1] - 1]], counts))
+    return np.concatenate(out).astype(np.uint32)
+
+
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind)
 
 
 def _repeated(group: pa.Table) -> pa.Table:
     """Of one bucket: each document's positions of repeated windows, split by whether they come first."""
-    hashes, place = _joined(group["hashes"], np.uint64), _joined(group["places"], np.uint32)
+    hashes, place = _joined(group["hashes"], np.uint64), _places(group)
+    more = np.concatenate([unplaned(x.as_py(), 2) for x in group["more"]]).astype(np.uint16)
     order = np.argsort(hashes)
     ranked = hashes[order]
     same = ranked[1:] == ranked[:-1]
     order = order[np.r_[False, same] | np.r_[same, False]]
     doc = np.repeat(_joined(group["docs"], np.int64), _joined(group["counts"], np.uint32))[order]
-    hashes, place = hashes[order], place[order]
-    order = np.lexsort((place, doc, hashes))
-    hashes, doc, place = hashes[order], doc[order], place[order]
+    hashes, more, place = hashes[order], more[order], place[order]
+    order = np.lexsort((place, doc, more, hashes))
+    hashes, more, doc, place = hashes[order], more[order], doc[order], place[order]
     if len(hashes):  # the same place of the same document, from a repeated row, counts once
-        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]
-        hashes, doc, place = hashes[new], doc[new], place[new]
-    same = hashes[1:] == hashes[:-1]
+        new = np.r_[True, (hashes[1:] != hashes[:-1]) | (more[1:] != more[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])]
+        hashes, more, doc, place = hashes[new], more[new], doc[new], place[new]
+    same = (hashes[1:] == hashes[:-1]) & (more[1:] == more[:-1])
     first, later = np.r_[same, False] & ~np.r_[False, same], np.r_[False, same]
     out: list[list] = [[], [], []]
     for flag, chosen in ((True, first), (False, later)):
@@ -141,25 +161,26 @@ def removed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     only where their count, which is taken, is small, and shuffled beyond that.
     """
     names = docs.columns
-    cuts = kept(repeated_intervals(docs, width).where("not first").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__cuts")))
-    few = cuts.select(F.sum(F.size("__cuts") + 2)).first()[0] or 0
-    cuts = cuts.withColumnRenamed("doc_id", "__cut_id")
-    joined = docs.join(F.broadcast(cuts) if few <= BROADCAST_ROWS else cuts, docs["doc_id"] == F.col("__cut_id"), "left").drop("__cut_id")
+    at = names.index("text")
+    cuts = kept(repeated_intervals(docs, width).where("not first").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts")))
+    few = cuts.select(F.sum(F.size("cuts") + 2)).first()[0] or 0
+    cuts = cuts.withColumnRenamed("doc_id", "cut_id")
+    rows = docs.select(F.struct("*").alias("row"))  # columns of any names
+    joined = rows.join(F.broadcast(cuts) if few <= BROADCAST_ROWS else cuts, F.col("row.doc_id") == F.col("cut_id"), "left").select("row", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, cuts = batch.column("text"), batch.column("__cuts")
+            columns, cuts = batch.column("row").flatten(), batch.column("cuts")
             some = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
             keep = np.ones(batch.num_rows, bool)
             if len(some):
-                new = texts.to_pylist()
+                new = columns[at].to_pylist()
                 for k in some:
                     if new[k] is not None:
                         c = cuts[int(k)].as_py()
                         new[k] = _cut(new[k], [x["start"] for x in c], [x["stop"] for x in c])
                         keep[k] = bool(new[k].strip())
-                texts = pa.array(new, batch.schema.field("text").type)
-            columns = [texts if n == "text" else batch.column(n) for n in names]
+                columns[at] = pa.array(new, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
     out = joined.mapInArrow(run, docs.schema)

@@ -89,14 +89,14 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.bounds))
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every run of so many tokens within a text, and the index of its first token."""
+    def windows(self, width: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every run of so many tokens within a text, and the index of its first token; a salt gives another hash."""
         n = len(self.hash)
         if n < width:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         power, inverse = powers(_STEP, n + 1)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * power[:n], out=total[1:])
+        np.cumsum((mix(self.hash + np.uint64(salt)) if salt else self.hash) * power[:n], out=total[1:])
         at = np.arange(n - width + 1)
         owner = self.text_of
         at = at[owner[at] == owner[at + width - 1]]

@@ -219,10 +219,18 @@ def test_repeats_are_exact(docs_of):
     assert repeats.repeated_intervals(docs_of(rows).limit(0), 8).count() == 0
 
 
-def test_repeats_removed(docs_of):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_repeats_removed(docs_of, monkeypatch, few):
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", few)
     rng = random.Random(6)
     a, b, c = (" ".join(words(rng, 12, 9999)) for _ in range(3))
     rows = [(1, f"{a}\n{b}"), (2, f"{c} {b} tail"), (3, a), (4, None), (None, b), (5, "short")]
-    out = {r["doc_id"]: r for r in repeats.removed(docs_of(rows), 8).collect()}
+    docs = docs_of(rows)
+    for name in ("__cuts", "cut_id", "cuts", "a.b"):
+        docs = docs.withColumn(name, F.lit("own"))
+    made = repeats.removed(docs, 8)
+    assert made.columns == docs.columns
+    out = {r["doc_id"]: r for r in made.collect()}
+    assert all(r["cuts"] == r["a.b"] == "own" for r in out.values())
     assert out[1]["text"] == rows[0][1] and out[2]["text"].split() == f"{c} tail".split() and out[2]["n_chars"] == len(out[2]["text"])
     assert 3 not in out and out[4]["text"] is None and out[None]["text"] == b and out[5]["text"] == "short" and out[2]["key"] == "y"

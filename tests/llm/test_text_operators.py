@@ -120,9 +120,29 @@ def test_packing_in_shards(docs_of):
     rows = [(k * 3, "a b c. " * (k % 9)) for k in range(300)]
     got = packing.packed(docs_of(rows), 16, shard_tokens=200).collect()
     assert len({r["shard"] for r in got}) > 5
+    for shard in {r["shard"] for r in got}:  # each shard is packed as well as it can be
+        own = [r for r in got if r["shard"] == shard]
+        spans = sorted((d, a, b) for r in own for d, a, b in zip(r["doc_ids"], r["starts"], r["stops"], strict=True))
+        counts = Counter()
+        for d, a, b in spans:
+            counts[d] += b - a
+        pieces = [(3, packing.SENTENCE) if k + 1 < n // 3 else (3, 0) for _, n in sorted(counts.items()) for k in range(n // 3)]
+        cut = sum(packing.SENTENCE for r in own if r["stops"][-1] < counts[r["doc_ids"][-1]])
+        assert sum(r["padding"] for r in own) + cut == best_cost_fast([p[0] for p in pieces], [p[1] for p in pieces], 16)
     assert sum(r["n_tokens"] for r in got) == sum(3 * (k % 9) for k in range(300))
 
 
+def test_packing_of_skewed_ids(docs_of):
+    """One far id, a third of all rows with one id, and null ids: shards stay small."""
+    text = "a b c d e. " * 4
+    rows = [(k, text) for k in range(100)] + [(7, text)] * 100 + [(None, text)] * 50 + [(1 << 60, text), (-(1 << 60), text)]
+    got = packing.packed(docs_of(rows), 64, shard_tokens=400).collect()
+    tokens = Counter()
+    for r in got:
+        tokens[r["shard"]] += r["n_tokens"]
+    assert sum(tokens.values()) == 20 * len(rows) and max(tokens.values()) <= 420 and len(tokens) == -(-20 * len(rows) // 400)
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
