@@ -45,17 +45,18 @@ from pyspark.sql import functions as F
 
 from ..store import deleted, released
 from .common import buckets_for, kept, stored, table, text_bytes
-from .tokens import Words, chunks, mix, planes, unplaned
+from .tokens import Words, chunks, mix, planes, squeezed, unplaned, unsqueezed
 
 LOW, HIGH, NOISE = 0.3, 1.8, 6.0
 #: Tokens of a chunk; a longer text is a chunk of its own.
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 2_200_000
 #: Chunks of which the answers share a folder.
 _FOLDER = 16
 _WORD = np.uint64((1 << 48) - 1)
 _START = np.uint64(0)
-#: Bits of a bigram's hash within its bucket; buckets hold some million bigrams at any size.
-_BITS = np.uint64(40)
+#: Bits of a bigram's hash within its bucket. Buckets hold some 2.5 million bigrams at any size, of which one in
+#: 27,000 shares its hash with another.
+_BITS = np.uint64(36)
 _CODED = "chunk long, doc_ids array<long>, langs array<string>, sizes binary, words binary, ranks binary, tokens binary"
 _ROWS = "kind int, chunk long, bucket int, a binary, b binary"
 
@@ -156,14 +157,14 @@ def _asked(n_buckets: int):
         for row in _rows_of(batches):
             made, number = _Chunk(row, n_buckets), row["chunk"].as_py()
             at = [slice(made.bounds[b], made.bounds[b + 1]) for b in range(n_buckets)]
-            yield _batch(_SCHEMA, [(0, number, b, packed(made.keys[x] & ((np.uint64(1) << _BITS) - np.uint64(1))), planes(made.counts[x], 4)) for b, x in enumerate(at) if x.stop > x.start])
+            yield _batch(_SCHEMA, [(0, number, b, squeezed(packed(made.keys[x] & ((np.uint64(1) << _BITS) - np.uint64(1)))), squeezed(planes(made.counts[x], 4))) for b, x in enumerate(at) if x.stop > x.start])
 
     return run
 
 
 def _pair_bucket(group: pa.Table) -> pa.Table:
     """Counts of a bucket's bigrams over all chunks: of kind 0 for each chunk, twice the counts in the order asked, and 1 where it owns the bigram; 4 the counts of counts."""
-    keys, c = [unpacked(a.as_py()) for a in group["a"]], np.concatenate([unplaned(b.as_py(), 4).astype(np.int64) for b in group["b"]])
+    keys, c = [unpacked(unsqueezed(a.as_py())) for a in group["a"]], np.concatenate([unplaned(unsqueezed(b.as_py()), 4).astype(np.int64) for b in group["b"]])
     ends, keys = np.cumsum([len(x) for x in keys]), np.concatenate(keys)
     order = np.argsort(keys, kind="stable")
     heads = _heads(keys[order])
@@ -172,7 +173,7 @@ def _pair_bucket(group: pa.Table) -> pa.Table:
     answer[order] = np.repeat(sums * 2, np.diff(np.r_[heads, len(order)]))
     answer[order[heads]] += 1
     bucket = group["bucket"][0].as_py()
-    rows = [(0, x.as_py(), bucket, planes(answer[lo:hi], 6), b"") for x, lo, hi in zip(group["chunk"], np.r_[0, ends[:-1]], ends, strict=True)]
+    rows = [(0, x.as_py(), bucket, squeezed(planes(answer[lo:hi], 6)), b"") for x, lo, hi in zip(group["chunk"], np.r_[0, ends[:-1]], ends, strict=True)]
     rows.append((4, 0, bucket, np.array([(sums == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes(), b""))
     return pa.Table.from_batches([_batch(_SCHEMA, rows)])
 
@@ -190,7 +191,7 @@ def _counts(made: _Chunk, chunk: int, path: str, folders: int) -> np.ndarray:
     for b in range(len(made.bounds) - 1):
         at = slice(made.bounds[b], made.bounds[b + 1])
         if at.stop > at.start:
-            out[at] = unplaned(told[b][0], 6)
+            out[at] = unplaned(unsqueezed(told[b][0]), 6)
     return out
 
 
@@ -209,7 +210,7 @@ def _shares(path: str, n_buckets: int, folders: int):
             for b in range(n_buckets):
                 at = made.names[made.name_bounds[b] : made.name_bounds[b + 1]]
                 if len(at):
-                    rows.append((3, number, b, packed(made.words[at]), planes(np.concatenate([x[at] for x in sums]), 6)))
+                    rows.append((3, number, b, squeezed(packed(made.words[at])), squeezed(planes(np.concatenate([x[at] for x in sums]), 6))))
             yield _batch(_SCHEMA, rows)
 
     return run
@@ -219,8 +220,8 @@ def _word_bucket(d: np.ndarray):
     """Of the words at home in a bucket: rows of kind 1 for each chunk, with followers, types ended and the mass left; 5 the counts of types ended by 1, 2, 3, 4, 3 or more, their sum, and the words."""
 
     def run(group: pa.Table) -> pa.Table:
-        names = [unpacked(a.as_py()) for a in group["a"]]
-        values = np.concatenate([unplaned(b.as_py(), 6).reshape(5, -1) for b in group["b"]], axis=1).astype(np.int64)
+        names = [unpacked(unsqueezed(a.as_py())) for a in group["a"]]
+        values = np.concatenate([unplaned(unsqueezed(b.as_py()), 6).reshape(5, -1) for b in group["b"]], axis=1).astype(np.int64)
         ends, names = np.cumsum([len(x) for x in names]), np.concatenate(names)
         order = np.argsort(names, kind="stable")
         heads = _heads(names[order])
@@ -232,7 +233,7 @@ def _word_bucket(d: np.ndarray):
         bucket, rows = group["bucket"][0].as_py(), []
         for x, lo, hi in zip(group["chunk"], np.r_[0, ends[:-1]], ends, strict=True):
             at = place[lo:hi]
-            rows.append((1, x.as_py(), bucket, planes(np.r_[follow[at], types[at]], 6), planes(left[at].view(np.uint32), 4)))
+            rows.append((1, x.as_py(), bucket, squeezed(planes(np.r_[follow[at], types[at]], 6)), squeezed(planes(left[at].view(np.uint32), 4))))
         rows.append((5, 0, bucket, np.array([*((types == k).sum() for k in (1, 2, 3, 4)), (types > 2).sum(), types.sum(), np.count_nonzero(types)], np.int64).tobytes(), b""))
         return pa.Table.from_batches([_batch(_SCHEMA, rows)])
 
@@ -272,8 +273,8 @@ def _scores(pairs: str, words: str, n_buckets: int, folders: int, d: np.ndarray,
             for b in range(n_buckets):
                 at = made.names[made.name_bounds[b] : made.name_bounds[b + 1]]
                 if len(at):
-                    follow[at], ends[at] = unplaned(told[b][0], 6).reshape(2, -1)
-                    left[at] = unplaned(told[b][1], 4).astype(np.uint32).view(np.float32)
+                    follow[at], ends[at] = unplaned(unsqueezed(told[b][0]), 6).reshape(2, -1)
+                    left[at] = unplaned(unsqueezed(told[b][1]), 4).astype(np.uint32).view(np.float32)
             lower = np.where(ends > 0, ends - e[np.clip(ends, 1, 3) - 1], 0) / all_ends + spare
             share = np.where(c > 1, c - d[np.clip(c, 1, 3) - 1], 0) / np.maximum(1, follow[made.v])
             p = np.log(np.maximum(share + left[made.v] * lower[made.w], 1e-300))

@@ -142,3 +142,12 @@ def unplaned(raw: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(raw) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
     return out.view("<u8").ravel()
+
+
+def squeezed(raw: bytes) -> bytes:
+    """Compressed, as planes of numbers have few different bytes."""
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def unsqueezed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", 1).decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
