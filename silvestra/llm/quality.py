@@ -10,7 +10,7 @@ features alone reach the driver; scoring takes all documents in one pass without
 are read whole.
 
 Defined results: an empty or null text has no words, and its statistics are 0; null lang or source is
-a value of its own; a doc_id with several labels takes the greatest; without labels of both kinds
+a value of its own; a doc_id with several labels takes the greatest, and one with several texts teaches the least; without labels of both kinds
 each score is the share of good labels, or 1 without any, and all is kept. Rows that repeat are each
 scored. Extra columns of any name are ignored.
 """
@@ -161,6 +161,7 @@ def machine_for(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.max("quality") > 0).alias("good"))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string"), F.col("source").cast("string")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).drop("__id")
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "good")).alias("x")).select("doc_id", "x.*")  # one row a label, however often rows repeat
     got = texts.mapInArrow(_examples, "doc_id long, good boolean, index binary, value binary").toArrow().sort_by([("doc_id", "ascending"), ("index", "ascending")])
     examples = [(np.frombuffer(i.as_py(), np.uint32).astype(np.int64), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(got["index"], got["value"], strict=True)]
     return trained(examples, np.array(got["good"].to_pylist(), bool))

@@ -1,6 +1,7 @@
 """The pipeline, stage by stage and as a whole, on a small corpus with planted cases."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 from silvestra.llm import queries
@@ -45,6 +46,25 @@ def test_stages(spark, tmp_path):
     assert sum(r["n_tokens"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == tokens
 
 
+def test_stages_of_hard_rows(spark, tmp_path):
+    """Nulls in all columns, very long and repeated rows, columns of names that stages use themselves."""
+    rng = random.Random(12)
+    long = " ".join(f"v{rng.randrange(50_000)}" for _ in range(60_000))
+    rows = [(1, long, "en", "a", 9), (2, long, "de", "b", 9), (1, long, "en", "a", 9), (3, None, None, None, None), (None, "some words here", "en", None, 1), (4, "", "en", "a", 0), (5, "x " * 5000, "en", "a", 1), (5, "x " * 5000, "en", "a", 1), (6, "other text of its own", None, "c", 3)]
+    docs = spark.createDataFrame([(*r, *["own"] * 8) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, id string, row string, cuts string, cut_id string, __gone string, class_id string, key string, h string")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if k < 4:
+            assert out.columns == docs.columns, name
+            out.write.parquet(f"{tmp_path}/hard{k}")
+            docs = spark.read.parquet(f"{tmp_path}/hard{k}")
+            assert {r["cuts"] for r in docs.collect()} == {"own"}
+        if k == 1:
+            assert Counter(r["doc_id"] for r in docs.collect()) == Counter([1, 1, 3, None, 4, 5, 5, 6])
+    assert sum(r["n_tokens"] for r in out.collect()) == sum(len((r["text"] or "").split()) for r in docs.collect()) > 0
+
+
 def test_stages_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
