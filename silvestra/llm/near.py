@@ -39,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, buckets_for, kept, table, text_bytes
+from ..store import deleted, released
+from .common import BROADCAST_ROWS, buckets_for, kept, stored, table, text_bytes
 from .tokens import Words, chunks, mix, planes, unplaned
 
 #: Copies with a tenth of their words edited have a Jaccard similarity of 0.5 to 0.6 in 3-grams; texts of their own have less than 0.25.
@@ -54,7 +55,7 @@ _TASK_GRAMS = 2_000_000
 #: Sets of one signature from which their pairs are the work of several tasks; pairs held by a task.
 LONG_LIST, _HELD_PAIRS = 2048, 500_000
 #: Bytes of the sets of a group, and the pairs that they are in; two groups meet in a task.
-GROUP_BYTES, GROUP_PAIRS = 8 << 20, 1_000_000
+GROUP_BYTES, GROUP_PAIRS = 16 << 20, 1_000_000
 _LEVEL_BITS = 6
 
 
@@ -496,7 +497,8 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     size = text_bytes(docs)
-    survey = kept(texts.mapInArrow(_survey(n, t), "kind int, a long, b long"), "kind", codec="zstd")
+    surveyed = stored(texts.mapInArrow(_survey(n, t), "kind int, a long, b long"), codec="zstd")
+    survey = spark.read.schema("kind int, a long, b long").parquet(surveyed)
     members = kept(survey.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id")).distinct())
     firsts = kept(members.groupBy("set").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")))
     counts = survey.where("kind in (0, 3)").groupBy("a").agg(F.sum(F.when(F.col("kind") == 0, F.col("b")).otherwise(0)).alias("n"), F.count_if(F.col("kind") == 3).alias("some"))
@@ -515,14 +517,23 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     shared = sieved.groupBy("bucket").applyInArrow(_shared(buckets_for(size / 6)), "part int, rows binary")
     going = shared.groupBy("part").applyInArrow(_partnered(t), "set long").unionByName(survey.where("kind = 2").select(F.col("a").alias("set"))).distinct()
     chosen = kept(firsts.join(going, "set").select(F.col("first").alias("__id")).distinct())
+    deleted(spark, surveyed)
+    del sieved, shared, going, survey, counts
+    released(spark)  # what the sieve exchanged
     texts = kept(texts.join(_small(chosen), F.col("doc_id") == F.col("__id"), "left_semi"), codec="zstd")
     size = text_bytes(texts)
     packed = texts.mapInArrow(_signatures(n, t, paired, buckets_for(size * (1 - t) / 6 * 13), frequent), "bucket int, sets binary, sizes binary, counts binary, sigs binary")
-    found, kind = kept(packed.groupBy("bucket").applyInArrow(_candidates(t), "kind int, a binary, b binary, n binary, m binary"), "kind"), "a long, b long, n int, m int"
+    rows, kind = "kind int, a binary, b binary, n binary, m binary", "a long, b long, n int, m int"
+    listed = stored(packed.groupBy("bucket").applyInArrow(_candidates(t), rows))
+    found = spark.read.schema(rows).parquet(listed)
     long_lists = found.where("kind = 1")
     long_lists = long_lists.repartition(max(1, long_lists.count() // 16))
     pairs = kept(found.where("kind = 0").mapInArrow(_expanded(t), kind).unionByName(long_lists.mapInArrow(_expanded(t), kind)).distinct())
+    deleted(spark, listed)
+    del packed, found, long_lists
+    released(spark)  # signatures
     pairs = kept(_met(texts, _blocks(pairs, 3 / 8), n, _parity, _bounded(t), kind))
+    released(spark)  # parities
     similar = _met(texts, _blocks(pairs, 8), n, _steps, _verify(t), "a long, b long, jaccard double")
     return similar, members, firsts
 
