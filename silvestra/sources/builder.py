@@ -8,11 +8,14 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import guid_of
 from ..schema import COLUMNS, NODES, TreeError
+from ..store import written
 from .content import Adapter, as_xml
 from .dom import Node, rows_of
 from .xml import clean_locales, one_language, parsed, system_locales
@@ -212,11 +215,60 @@ class Builder:
             parts += stamps.get(k, []) + [f.guid for f in s.fixups] + ([f"prefix={s.prefix}"] if s.prefix else []) + ([s.info.export()] if s.info else [])
         return guid_of(*parts, *(f.guid for f in self.fixups), *(f"locale={x}" for x in self.locales), *(n.export() for n in self.nodes))
 
+    def _in_parallel(self, rules: Rules) -> DataFrame:
+        """The silo's node rows where no document depends on another: each is parsed on its own, with ids that the sizes of those before it shift."""
+        sources, by_hand, silo = self.sources, self.nodes, self.silo_id
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["rank"] == len(sources):
+                        roots = by_hand
+                    elif row["content"] is None:
+                        continue
+                    else:
+                        source = sources[row["rank"]]
+                        own = Rules(**{k: v or getattr(source.rules, k) for k, v in rules.__dict__.items()})
+                        try:
+                            roots = _read(row["name"], row["content"], own, tuple(source.adapters), tuple(source.fixups)).children
+                        except TreeError:
+                            if not own.ignore_invalid:
+                                raise
+                            continue
+                        for c in roots:
+                            if source.info is not None and not c.ignore:
+                                c.add(_copied(source.info))
+                    made = batch_of(rows_of(roots, silo))
+                    yield pa.RecordBatch.from_arrays([pa.array([row["rank"]] * len(made), pa.int32()), pa.array([row["name"] or ""] * len(made), pa.string()), *made.columns], ["rank", "name", *COLUMNS])
+
+        rows = self.contents().unionByName(self.spark.createDataFrame([(len(sources), None, None, None)], "rank int, name string, stamp string, content binary"))
+        schema = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("name", T.StringType()), *NODES.fields])
+        made = written(rows.mapInArrow(run, schema))
+        roots = made.where("parent_id is null").groupBy("rank", "name", "element").agg(F.count("*").alias("n"), F.max("last_desc").alias("size"))
+        order = W.orderBy("rank", "name")  # one row a document
+        docs = roots.groupBy("rank", "name").agg(F.sum("n").alias("roots"), F.max("size").alias("size"))
+        docs = docs.select("rank", "name", (F.sum("size").over(order) - F.col("size")).alias("ids"), (F.sum("roots").over(order) - F.col("roots")).alias("sibs"), F.lead(F.lit(1)).over(order).isNotNull().alias("more"), "size")
+        names = roots.select(F.col("rank").alias("r"), F.col("name").alias("f"), F.col("element").alias("e"), (F.sum("n").over(W.partitionBy("element").orderBy("rank", "name")) - F.col("n")).alias("named"))
+        placed = made.join(docs, ["rank", "name"]).join(names, (F.col("rank") == F.col("r")) & (F.col("name") == F.col("f")) & (F.col("element") == F.col("e")) & F.col("parent_id").isNull(), "left")
+        root, ids = F.col("parent_id").isNull(), F.col("ids")
+        new = {
+            "node_id": F.col("node_id") + ids, "parent_id": F.col("parent_id") + ids, "last_desc": F.col("last_desc") + ids, "anc": F.transform("anc", lambda a: a + F.col("ids")),
+            "next_id": F.when(root & F.col("next_id").isNull() & F.col("more"), ids + F.col("size") + 1).otherwise(F.col("next_id") + ids),
+            "sib_pos": F.col("sib_pos") + F.when(root, F.col("sibs")).otherwise(0), "name_pos": F.col("name_pos") + F.when(root, F.coalesce("named", F.lit(0))).otherwise(0),
+        }
+        return placed.select(*[new.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in NODES.fields])
+
     def compiled(self, rules: Rules | None = None) -> DataFrame:
-        """The silo's node rows."""
+        """The silo's node rows.
+
+        Files are parsed in parallel, but in one task where fixups or language rules look at all of them
+        together, or sources have prefixes, under which they may meet.
+        """
         rules = rules or Rules()
         rules = Rules(**{**rules.__dict__, "locales": tuple(rules.locales or self.locales)})
         sources, fixups, nodes, silo = self.sources, self.fixups, self.nodes, self.silo_id
+        if any(s.files for s in sources) and not (fixups or rules.single_lang or any(s.prefix for s in sources)):
+            return written(self._in_parallel(rules))
 
         def run(group: pa.Table) -> pa.Table:
             root, prefixed = Node(), {}
