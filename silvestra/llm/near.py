@@ -21,6 +21,10 @@ least ``threshold`` are found exactly:
 5. Candidates meet in blocks of bounded size, first with the parities of their n-grams in some bits,
    which give an upper bound of the similarity; those that pass meet whole sets and are verified exactly.
 
+Pairs are never rows of a table: a block's are steps of codes in its own list of sets, which takes far
+less than a byte a pair in a cluster, and of those verified only each set's number of links and a spanning
+forest of the block go on. A set's name leads with its least n-gram, so that near copies lie together.
+
 Equal sets are one node throughout, so groups of exact copies cost nothing and are never paired up.
 The result is a row for each document: its class and its number of links.
 
@@ -41,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..store import deleted, released
 from .common import BROADCAST_ROWS, buckets_for, kept, stored, table, text_bytes
-from .tokens import Words, chunks, mix, planes, unplaned
+from .tokens import Words, chunks, mix, planes, squeezed, unplaned, unsqueezed
 
 #: Copies with a tenth of their words edited have a Jaccard similarity of 0.5 to 0.6 in 3-grams; texts of their own have less than 0.25.
 N, THRESHOLD = 3, 0.5
@@ -57,6 +61,12 @@ LONG_LIST, _HELD_PAIRS = 2048, 500_000
 #: Bytes of the sets of a group, and the pairs that they are in; two groups meet in a task.
 GROUP_BYTES, GROUP_PAIRS = 16 << 20, 1_000_000
 _LEVEL_BITS = 6
+#: Bytes of text of a group when parities meet, and the pairs that its sets may have within a label of names.
+PARITY_TEXT, LABEL_PAIRS = 192 << 20, 4_000_000
+#: Codes of pairs held in a task before those that repeat go.
+_HELD_CODES = 8_000_000
+_PACKED = "block long, names binary, sizes binary, codes binary"
+_PACKED_SCHEMA = pa.schema([("block", pa.int64()), ("names", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +87,13 @@ def _distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _keys(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts that have a set, and a hash of each whole set."""
+    """The texts that have a set, and the set's name: 16 bits of its least n-gram, then 48 of a hash of all of it."""
     heads = np.r_[0, np.flatnonzero(np.diff(owner)) + 1] if len(owner) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(mix(hashes + np.uint64(0x9E37)), heads) if len(heads) else np.zeros(0, np.uint64)
-    return owner[heads], mix(sums)
+    if not len(heads):
+        return owner[heads], np.zeros(0, np.uint64)
+    mixed = mix(hashes + np.uint64(0x9E37))
+    least = mix(np.minimum.reduceat(mixed, heads)) >> np.uint64(48)
+    return owner[heads], least << np.uint64(48) | mix(np.add.reduceat(mixed, heads)) >> np.uint64(16)
 
 
 class _Once:
@@ -373,6 +386,171 @@ def _expanded(t: float):
     return run
 
 
+def _unique(codes: np.ndarray) -> np.ndarray:
+    codes = np.sort(codes)
+    return codes[np.r_[True, codes[1:] != codes[:-1]]] if len(codes) else codes
+
+
+def _coded(codes: np.ndarray) -> bytes:
+    """Ascending codes of pairs, as differences."""
+    return squeezed(planes(np.diff(codes, prepend=0), 6))
+
+
+def _places(names: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.cumsum(unplaned(unsqueezed(raw), 6).astype(np.int64))
+    i = codes // max(1, len(names))
+    return i, codes - i * len(names)
+
+
+def _packed_pairs(block: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    """Pairs of sets by block: a block's sets, ascending, their sizes and the codes of its pairs, each once."""
+    order = np.argsort(block, kind="stable")
+    block, a, b, n, m = (x[order] for x in (block, a, b, n, m))
+    heads = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)] if len(block) else np.zeros(1, np.int64)
+    rows = []
+    for lo, hi in zip(heads[:-1], heads[1:], strict=True):
+        names, at, place = np.unique(np.r_[a[lo:hi], b[lo:hi]], return_index=True, return_inverse=True)
+        codes = _unique(place[: hi - lo].astype(np.int64) * len(names) + place[hi - lo :])
+        rows.append((int(block[lo]), names.tobytes(), np.r_[n[lo:hi], m[lo:hi]][at].astype(np.uint32).tobytes(), _coded(codes)))
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PACKED_SCHEMA.types, strict=True)], schema=_PACKED_SCHEMA)
+
+
+def _unpacked(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(names, sizes, places of a, places of b) of each row."""
+    for names, sizes, codes in zip(rows["names"], rows["sizes"], rows["codes"], strict=True):
+        names = np.frombuffer(names.as_py(), np.uint64)
+        yield names, np.frombuffer(sizes.as_py(), np.uint32), *_places(names, codes.as_py())
+
+
+def _tiled(t: float, bounds: np.ndarray):
+    """The pairs of rows of ``_candidates``, packed by the ranges of names that they lie in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pairs in _expanded(t)(batches):
+            a, b = (pairs.column(c).to_numpy().view(np.uint64) for c in "ab")
+            x, y = (np.searchsorted(bounds, k, "right") for k in (a, b))
+            yield _packed_pairs(np.minimum(x, y) * (len(bounds) + 1) + np.maximum(x, y), a, b, *(pairs.column(c).to_numpy() for c in "nm"))
+
+    return run
+
+
+def _listed(t: float, bounds: np.ndarray):
+    """Of one bucket: its pairs packed by block, and with no block the pieces of long lists (a, b, n, m)."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        found = _candidates(t)(bucket)
+        kind = found["kind"].to_numpy()
+        short, long = (found.filter(pa.array(kind == k)) for k in (0, 1))
+        out = pa.Table.from_batches(list(_tiled(t, bounds)(iter(short.to_batches()))), _PACKED_SCHEMA)
+        pieces = pa.table([pa.nulls(len(long), pa.int64()), *(long[c] for c in "abnm")], [*_PACKED_SCHEMA.names, "m"])
+        return pa.concat_tables([out.append_column("m", pa.nulls(len(out), pa.binary())), pieces])
+
+    return run
+
+
+def _merged(group: pa.Table) -> pa.Table:
+    """The pairs of a block, each once, as one row."""
+    every, at = np.unique(_joined(group["names"], np.uint64), return_index=True)
+    sizes, held, count = _joined(group["sizes"], np.uint32)[at], [], 0
+    for names, _, i, j in _unpacked(group):
+        place = np.searchsorted(every, names)
+        held.append(place[i] * len(every) + place[j])
+        count += len(i)
+        if count >= _HELD_CODES:
+            held = [_unique(np.concatenate(held))]
+            count = 0
+    codes = _unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+    return pa.table([[group["block"][0].as_py()], [every.tobytes()], [sizes.tobytes()], [_coded(codes)]], schema=_PACKED_SCHEMA)
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(to, set): the sets of each block."""
+    for batch in batches:
+        for block, names in zip(batch.column("block").to_pylist(), batch.column("names"), strict=True):
+            names = np.frombuffer(names.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), block)), pa.array(names)], ["to", "set"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, block, least, n, pairs) of each set of a block: the least set that it is paired with or itself, its size and its pairs."""
+    for batch in batches:
+        for block, (names, sizes, i, j) in zip(batch.column("block").to_pylist(), _unpacked(pa.Table.from_batches([batch])), strict=True):
+            names, least = names.view(np.int64), names.view(np.int64).copy()
+            np.minimum.at(least, i, names[j])
+            np.minimum.at(least, j, names[i])
+            pairs = np.bincount(i, minlength=len(names)) + np.bincount(j, minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, np.full(len(names), block), least, sizes.astype(np.int64), pairs)], ["a", "block", "least", "n", "pairs"])
+
+
+def _regrouped(rows: pa.Table, groups: pa.Table) -> pa.Table:
+    """A block's pairs, packed by the groups of their sets."""
+    name, part = groups["set"].to_numpy(), groups["part"].to_numpy()
+    order = np.argsort(name)
+    name, part, out = name[order], part[order], []
+    for names, sizes, i, j in _unpacked(rows):
+        own = part[np.searchsorted(name, names.view(np.int64))]
+        x, y = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+        to = mix(mix(x.view(np.uint64)) + y.view(np.uint64)).view(np.int64)
+        out.append(_packed_pairs(to, names[i], names[j], sizes[i], sizes[j]))
+    return pa.Table.from_batches(out, _PACKED_SCHEMA)
+
+
+def _passed(t: float):
+    """What the parities leave of a block's pairs."""
+
+    def run(rows: pa.Table, sets: pa.Table) -> pa.Table:
+        sets = sets.combine_chunks()
+        name = sets["set"].to_numpy()
+        order, raw = np.argsort(name), [x.as_buffer() for x in sets["grams"]]
+        name, out = name[order], []
+        for names, sizes, i, j in _unpacked(rows):
+            at = order[np.searchsorted(name, names.view(np.int64))]
+            good = _may(t, at[i], at[j], sizes[i].astype(np.int64) + sizes[j], raw)
+            i, j = i[good], j[good]
+            out.append(_packed_pairs(np.full(len(i), rows["block"][0].as_py()), names[i], names[j], sizes[i], sizes[j]))
+        return pa.Table.from_batches(out, _PACKED_SCHEMA)
+
+    return run
+
+
+def _linked(t: float):
+    """Of a block's pairs of at least the threshold: rows of kind 0 (a, 0, n) hold the documents that sets are linked with there; 1 (a, b, 0) a spanning forest; 2 (a, b, 0) the links of two sets that both share documents with other sets, which have negative numbers of documents."""
+
+    def run(rows: pa.Table, sets: pa.Table) -> pa.Table:
+        found = _verified(t)(rows, sets)
+        a, b = found["a"].to_numpy(), found["b"].to_numpy()
+        name, at = np.unique(sets["set"].to_numpy(), return_index=True)
+        docs = sets["docs"].to_numpy()[at]
+        i, j, label = np.searchsorted(name, a), np.searchsorted(name, b), np.arange(len(name))
+        near = np.bincount(i, np.abs(docs)[j], len(name)) + np.bincount(j, np.abs(docs)[i], len(name))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, i, label[j])
+            np.minimum.at(new, j, label[i])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        some, tree, both = near > 0, label < np.arange(len(name)), (docs[i] < 0) & (docs[j] < 0)
+        columns = (np.r_[name[some], name[tree], a[both]], np.r_[np.zeros(some.sum(), np.int64), name[label[tree]], b[both]], np.r_[near[some].astype(np.int64), np.zeros(tree.sum() + both.sum(), np.int64)])
+        kind = np.repeat(np.arange(3, dtype=np.int32), [some.sum(), tree.sum(), both.sum()])
+        return pa.table([pa.array(x) for x in (kind, *columns)], ["kind", "a", "b", "n"])
+
+    return run
+
+
+def _verified(t: float):
+    """(a, b, jaccard) of a block's pairs of at least the threshold."""
+
+    def run(rows: pa.Table, sets: pa.Table) -> pa.Table:
+        pairs = [(names[i].view(np.int64), names[j].view(np.int64)) for names, _, i, j in _unpacked(rows)]
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        return _verify(t)(pa.table([pa.array(a), pa.array(b)], ["a", "b"]), sets)
+
+    return run
+
+
 def _set_rows(n: int, made):
     """(set, grams) of each text, of equal sets one a task; ``made`` gives the bytes of a set's n-grams."""
 
@@ -396,27 +574,30 @@ def _parity(grams: np.ndarray) -> bytes:
     return np.packbits((np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
+def _may(t: float, a: np.ndarray, b: np.ndarray, n: np.ndarray, raw: list) -> np.ndarray:
+    """Which pairs of rows, of n n-grams together, may be similar: sets that differ in h parities differ in h n-grams at least."""
+    size = np.array([len(x) for x in raw])
+    least, differ = np.minimum(size[a], size[b]), np.zeros(len(a), np.int64)
+    for bits in np.unique(least):
+        chosen = np.flatnonzero(least == bits)
+        used = np.unique(np.r_[a[chosen], b[chosen]])
+        folded = np.empty((len(used), bits // 8), np.uint64)
+        for k, x in enumerate(used):  # parities of fewer bits are sums of those of more; packbits sets the first bit highest, so folding halves is right
+            folded[k] = np.bitwise_xor.reduce(np.frombuffer(raw[x], np.uint64).reshape(-1, bits // 8), axis=0)
+        x, y = np.searchsorted(used, a[chosen]), np.searchsorted(used, b[chosen])
+        step = max(1, (4 << 20) // bits)
+        for at in range(0, len(chosen), step):
+            differ[chosen[at : at + step]] = np.bitwise_count(folded[x[at : at + step]] ^ folded[y[at : at + step]]).sum(axis=1)
+    return (n - differ) // 2 >= np.ceil(n * t / (1 + t) - 1e-9)
+
+
 def _bounded(t: float):
-    """The pairs that may be similar: sets that differ in h parities differ in h n-grams at least."""
+    """The pairs that may be similar."""
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         row = {k: v for v, k in enumerate(sets["set"].to_pylist())}
-        raw = [x.as_buffer() for x in sets.combine_chunks()["grams"]]
-        size = np.array([len(x) for x in raw])
         a, b = (np.array([row[k] for k in pairs[c].to_pylist()], np.int64) for c in "ab")
-        n = pairs["n"].to_numpy().astype(np.int64) + pairs["m"].to_numpy()
-        least, differ = np.minimum(size[a], size[b]), np.zeros(len(a), np.int64)
-        for bits in np.unique(least):
-            chosen = np.flatnonzero(least == bits)
-            used = np.unique(np.r_[a[chosen], b[chosen]])
-            folded = np.empty((len(used), bits // 8), np.uint64)
-            for k, x in enumerate(used):  # parities of fewer bits are sums of those of more; packbits sets the first bit highest, so folding halves is right
-                folded[k] = np.bitwise_xor.reduce(np.frombuffer(raw[x], np.uint64).reshape(-1, bits // 8), axis=0)
-            x, y = np.searchsorted(used, a[chosen]), np.searchsorted(used, b[chosen])
-            step = max(1, (4 << 20) // bits)
-            for at in range(0, len(chosen), step):
-                differ[chosen[at : at + step]] = np.bitwise_count(folded[x[at : at + step]] ^ folded[y[at : at + step]]).sum(axis=1)
-        good = (n - differ) // 2 >= np.ceil(n * t / (1 + t) - 1e-9)
+        good = _may(t, a, b, pairs["n"].to_numpy().astype(np.int64) + pairs["m"].to_numpy(), [x.as_buffer() for x in sets.combine_chunks()["grams"]])
         return pairs.select(["a", "b", "n", "m"]).filter(pa.array(good))
 
     return run
@@ -459,23 +640,44 @@ def _verify(t: float):
     return run
 
 
+def _ranges(spark, texts: DataFrame, sets: DataFrame) -> np.ndarray:
+    """Where groups of names begin, all but the first: of bounded text and, as sets of one label are most often near copies, pairs.
+
+    A row a label, of which there are 65,536, reaches the driver.
+    """
+    rows = texts.select("doc_id", F.octet_length("text").alias("size")).join(_small(sets.select("__id", "set")), F.col("doc_id") == F.col("__id"))
+    rows = rows.groupBy(F.shiftrightunsigned("set", 48).alias("label")).agg(F.sum("size").alias("size"), F.count("*").alias("sets")).toArrow()
+    order = np.argsort(rows["label"].to_numpy())
+    label, size, count = (rows[c].to_numpy()[order].astype(np.int64) for c in ("label", "size", "sets"))
+    limit, out, full = max(1, min(PARITY_TEXT, int(size.sum()) // 4)), [], 0.0
+    for x, y, c in zip(label.tolist(), size.tolist(), count.tolist(), strict=True):
+        parts = max(1, -(-c // int(LABEL_PAIRS**0.5)), -(-y // limit))
+        share = max(y / limit, c * c / parts / LABEL_PAIRS) if parts == 1 else 1.0
+        if full + share > 1 and full:
+            out.append(x << 48)
+            full = 0.0
+        full += share
+        out += [(x << 48) + (k << 48) // parts for k in range(1, parts)]
+    return np.unique(np.array(out, np.uint64))
+
+
 def _blocks(pairs: DataFrame, gram_bytes: float) -> DataFrame:
-    """(block, a, b, n, m): the pairs in blocks of bounded size; pairs of one cluster share few blocks.
+    """The packed pairs in blocks of bounded size; pairs of one cluster share few blocks.
 
     Each set takes the label of its least neighbour's least neighbour, which is one for most of a
     cluster, so a set is sent to about one block. Labels of more than ``GROUP_BYTES`` or
     ``GROUP_PAIRS`` are split into groups of sets; the others share groups. A block is a pair of groups.
     """
-    both = pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("m").alias("n")))
-    near = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"), F.first("n").alias("n"), F.count("*").alias("pairs")))
+    there = kept(pairs.mapInArrow(_neighbours, "a long, block long, least long, n long, pairs long"))
+    near = kept(there.groupBy("a").agg(F.min("least").alias("least"), F.first("n").alias("n"), F.sum("pairs").alias("pairs")))
     near = near.join(_small(near.select(F.col("a").alias("least"), F.col("least").alias("label"))), "least").select("a", "label", "n", "pairs")
     sizes = kept(near.groupBy("label").agg((F.sum("n") * gram_bytes / GROUP_BYTES).alias("x"), (F.sum("pairs") / GROUP_PAIRS).alias("y")).withColumn("parts", F.ceil(F.greatest("x", "y"))))
     x, y = sizes.where("parts <= 1").agg(F.sum("x"), F.sum("y")).first()
     groups = 1 + int(max(x or 0, y or 0))
     part = F.when(F.col("parts").isNull(), F.xxhash64(F.pmod(F.xxhash64("label"), F.lit(groups)))).otherwise(F.xxhash64("label", F.pmod(F.xxhash64("a"), F.col("parts"))))
     group = kept(near.join(_small(sizes.where("parts > 1").select("label", "parts")), "label", "left").select("a", part.alias("part")))
-    placed = pairs.join(_small(group.toDF("a", "x")), "a").join(_small(group.toDF("b", "y")), "b")
-    return kept(placed.select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("block"), "a", "b", "n", "m"))
+    told = there.select("block", "a").join(_small(group), "a").select("block", F.col("a").alias("set"), "part")
+    return kept(pairs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_regrouped, _PACKED))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -483,15 +685,17 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _met(texts: DataFrame, blocks: DataFrame, n: int, made, check, kind: str) -> DataFrame:
-    """What ``check`` says of each block's pairs, given what ``made`` makes of their sets."""
-    routes = blocks.select(F.col("block").alias("to"), F.explode(F.array("a", "b")).alias("set")).distinct()
-    sets = texts.mapInArrow(_set_rows(n, made), "set long, grams binary").join(_small(kept(routes)), "set").select("to", "set", "grams")
+def _met(texts: DataFrame, blocks: DataFrame, n: int, made, check, kind: str, docs: DataFrame | None = None) -> DataFrame:
+    """What ``check`` says of each block's pairs, given what ``made`` makes of their sets, and by ``docs`` (set, docs) how many documents each has."""
+    routes = blocks.mapInArrow(_names, "to long, set long").distinct()
+    routes = kept(routes if docs is None else routes.join(_small(docs), "set"))
+    # Equal sets are made once by each task, so they may come several times.
+    sets = texts.mapInArrow(_set_rows(n, made), "set long, grams binary").join(_small(routes), "set").select("to", "set", "grams", *([] if docs is None else ["docs"]))
     return blocks.groupBy("block").cogroup(sets.groupBy("to")).applyInArrow(check, kind)
 
 
-def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(a, b, jaccard) of different sets; (set, doc_id) of all documents; (set, first, docs): each set's least doc_id and their number."""
+def _similar_sets(docs: DataFrame, n: int, t: float, paired: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(a, b, jaccard) of different sets, or unless ``whole`` the rows of ``_linked``; (set, doc_id) of all documents; (set, first, docs): each set's least doc_id and their number; (set, doc_id, b) of documents of several sets, of which b is one."""
     if not 0.4 <= t <= 1:
         raise ValueError("the threshold must be 0.4 to 1")
     spark = docs.sparkSession
@@ -516,31 +720,37 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int) -> tuple[DataF
     sieved = texts.mapInArrow(_sieved(n, buckets_for(size)), "bucket int, sets binary, sizes binary, counts binary, grams binary")
     shared = sieved.groupBy("bucket").applyInArrow(_shared(buckets_for(size / 6)), "part int, rows binary")
     going = shared.groupBy("part").applyInArrow(_partnered(t), "set long").unionByName(survey.where("kind = 2").select(F.col("a").alias("set"))).distinct()
-    chosen = kept(firsts.join(going, "set").select(F.col("first").alias("__id")).distinct())
+    chosen = kept(firsts.join(going, "set").groupBy(F.col("first").alias("__id")).agg(F.min("set").alias("set")))
     deleted(spark, surveyed)
     del sieved, shared, going, survey, counts
     released(spark)  # what the sieve exchanged
-    texts = kept(texts.join(_small(chosen), F.col("doc_id") == F.col("__id"), "left_semi"), codec="zstd")
-    size = text_bytes(texts)
+    texts = kept(texts.join(_small(chosen.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi"), codec="zstd")
+    size, bounds = text_bytes(texts), _ranges(spark, texts, chosen)
     packed = texts.mapInArrow(_signatures(n, t, paired, buckets_for(size * (1 - t) / 6 * 13), frequent), "bucket int, sets binary, sizes binary, counts binary, sigs binary")
-    rows, kind = "kind int, a binary, b binary, n binary, m binary", "a long, b long, n int, m int"
-    listed = stored(packed.groupBy("bucket").applyInArrow(_candidates(t), rows))
-    found = spark.read.schema(rows).parquet(listed)
-    long_lists = found.where("kind = 1")
+    listed = stored(packed.groupBy("bucket").applyInArrow(_listed(t, bounds), f"{_PACKED}, m binary"))
+    del packed
+    released(spark)  # signatures
+    found = spark.read.schema(f"{_PACKED}, m binary").parquet(listed)
+    long_lists = found.where("block is null").select(F.lit(1).alias("kind"), F.col("names").alias("a"), F.col("sizes").alias("b"), F.col("codes").alias("n"), "m")
     long_lists = long_lists.repartition(max(1, long_lists.count() // 16))
-    pairs = kept(found.where("kind = 0").mapInArrow(_expanded(t), kind).unionByName(long_lists.mapInArrow(_expanded(t), kind)).distinct())
+    rows = found.where("block is not null").drop("m").unionByName(long_lists.mapInArrow(_tiled(t, bounds), _PACKED))
+    pairs = kept(rows.groupBy("block").applyInArrow(_merged, _PACKED))
     deleted(spark, listed)
-    del packed, found, long_lists
-    released(spark)  # signatures
-    pairs = kept(_met(texts, _blocks(pairs, 3 / 8), n, _parity, _bounded(t), kind))
+    del found, long_lists, rows
+    released(spark)  # lists of pairs
+    pairs = kept(_met(texts, pairs, n, _parity, _passed(t), _PACKED))
     released(spark)  # parities
-    similar = _met(texts, _blocks(pairs, 8), n, _steps, _verify(t), "a long, b long, jaccard double")
-    return similar, members, firsts
+    blocks = _blocks(pairs, 8)
+    several = kept(members.join(members.groupBy("doc_id").agg(F.count("*").alias("sets"), F.min("set").alias("b")).where("sets > 1").select("doc_id", "b"), "doc_id").select("set", "doc_id", "b"))  # documents of several sets
+    if whole:
+        return _met(texts, blocks, n, _steps, _verified(t), "a long, b long, jaccard double"), members, firsts, several
+    docs = firsts.join(_small(several.select("set", F.lit(-1).alias("sign")).distinct()), "set", "left").select("set", (F.col("docs") * F.coalesce("sign", F.lit(1))).alias("docs"))
+    return _met(texts, blocks, n, _steps, _linked(t), "kind int, a long, b long, n long", docs), members, firsts, several
 
 
 def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, paired: int = PAIRED) -> DataFrame:
     """doc_id_a < doc_id_b and their jaccard, of every pair of different sets; each set is named by its least doc_id."""
-    similar, _, firsts = _similar_sets(docs, n, threshold, paired)
+    similar, _, firsts, _ = _similar_sets(docs, n, threshold, paired, True)
     named = similar.join(firsts.select(F.col("set").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("set").alias("b"), F.col("first").alias("y")), "b").where("x <> y")
     return named.groupBy(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
@@ -578,13 +788,12 @@ def grouped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, paired: i
     joins two texts of different documents: equal sets or sets of at least the threshold; links are
     counted by sets and their numbers of documents, so copies are never paired with one another.
     """
-    similar, members, firsts = _similar_sets(docs, n, threshold, paired)
+    similar, members, firsts, several = _similar_sets(docs, n, threshold, paired, False)
     similar = kept(similar)
-    both = similar.select("a", "b").unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copied = firsts.where("docs > 1").select(F.col("set").alias("b"), (F.col("docs") - 1).alias("more"))
-    near = both.join(_small(copied), "b", "left").groupBy(F.col("a").alias("set")).agg(F.sum(1 + F.coalesce("more", F.lit(0))).alias("near"))
-    several = kept(members.join(members.groupBy("doc_id").agg(F.count("*").alias("sets"), F.min("set").alias("b")).where("sets > 1").select("doc_id", "b"), "doc_id").select("set", "doc_id", "b"))  # documents of several sets
-    label = components(similar.select("a", "b").unionByName(several.select(F.col("set").alias("a"), "b")))
+    near = similar.where("kind = 0").groupBy(F.col("a").alias("set")).agg(F.sum("n").alias("near"))
+    label = components(similar.where("kind = 1").select("a", "b").unionByName(several.select(F.col("set").alias("a"), "b")))
+    both = similar.where("kind = 2").select("a", "b")
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
     linked = kept(firsts.join(near, "set", "left").join(label.withColumnRenamed("node", "set"), "set", "left").select("set", "docs", "first", F.coalesce("label", "set").alias("label"), (F.col("docs") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
     # Classes of several sets only; a set by itself is named by its least document.
     names = kept(linked.groupBy("label").agg(F.min("first").alias("class_id"), F.count("*").alias("sets")).where("sets > 1").select("label", "class_id"))

@@ -154,6 +154,36 @@ def test_near_parities_give_a_bound():
     assert good and good <= left and len(left) < len(pairs) / 2
 
 
+def test_near_pairs_of_a_cluster_take_less_than_a_byte():
+    rng = np.random.default_rng(10)
+    names = np.sort(rng.integers(1, 1 << 62, 300).astype(np.uint64))
+    i, j = np.triu_indices(300, 1)
+    sizes = rng.integers(5, 15, 300).astype(np.uint32)
+    rows = [near._packed_pairs(np.full(x.sum(), 7), names[i[x]], names[j[x]], sizes[i[x]], sizes[j[x]]) for x in (i < 200, i > 100)]
+    made = near._merged(pa.Table.from_batches(rows))
+    ((got, n, a, b),) = near._unpacked(made)
+    assert (got == names).all() and (n == sizes).all() and (a == i).all() and (b == j).all()
+    assert made.column("block").to_pylist() == [7] and len(made["codes"][0].as_py()) < len(i) / 10
+
+
+def test_near_writes_no_row_a_pair(docs_of, monkeypatch):
+    """A cluster of different near copies: what is written grows with the sets, not with their pairs."""
+    rng, written, kept, stored = random.Random(12), [], near.kept, near.stored
+    text = words(rng, 60)
+    rows = [(k, " ".join([*text, f"own{k}"])) for k in range(80)]
+    monkeypatch.setattr(near, "kept", lambda df, *by, **k: (out := kept(df, *by, **k), written.append(out.count()))[0])
+
+    def counted(df, *by, **k):
+        path = stored(df, *by, **k)
+        written.append(df.sparkSession.read.parquet(path).count())
+        return path
+
+    monkeypatch.setattr(near, "stored", counted)
+    got = {tuple(r) for r in near.grouped(docs_of(rows)).collect()}
+    assert got == {(k, 0, 79) for k in range(80)}
+    assert written and max(written) < 80 * 79 / 4
+
+
 def test_near_survey_sees_what_is_rare_in_each_slice(monkeypatch):
     """An n-gram once in each slice, never frequent in one, is still told from the sample."""
     monkeypatch.setattr(near, "_TASK_GRAMS", 50)
