@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+#: Collections of garbage before shuffle files count as gone.
+_ROUNDS = 3
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +52,11 @@ def cleared(spark: SparkSession) -> int:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to, which it does when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that nothing refers to, which it does when the driver collects garbage.
+
+    Listeners may still hold the last plan, and what is found is deleted by a thread of its own, so it takes rounds.
+    """
+    for _ in range(_ROUNDS):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from silvestra import store
 from silvestra.llm import licenses, mixing, packing, perplexity, quality, toxic, urls
 from silvestra.llm.tokens import Words
 
@@ -476,3 +477,15 @@ def test_packed_keys():
     for n in (0, 1, 1000):
         keys = np.sort(rng.integers(0, 1 << 62, n).astype(np.uint64))
         assert (perplexity.unpacked(perplexity.packed(keys)) == keys).all()
+
+
+def test_released_shuffle_files_are_gone(spark):
+    """What a stored table was exchanged through is on no disk any more when the next step begins."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    store.released(spark)
+    before = disk.getAllFiles().size()
+    for _ in range(4):
+        path = store.stored(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count())
+        store.released(spark)
+        store.deleted(spark, path)
+        assert disk.getAllFiles().size() <= before
