@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from silvestra.llm import queries
+from silvestra.llm import near, queries
 
 
 def corpus(spark, folder):
@@ -76,3 +76,13 @@ def test_names():
     assert len(corpus_pipeline.STAGES) == 5
     assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_stage_of_near_copies_writes_no_row_a_pair(docs_of, spark, monkeypatch):
+    """Of a cluster of different near copies one stays, and no table written has as many rows as they have pairs."""
+    rng, written, kept = random.Random(13), [], near.kept
+    text = [f"w{rng.randrange(3000)}" for _ in range(60)]
+    docs = docs_of([(k, " ".join([*text, f"own{k}"])) for k in range(80)])
+    monkeypatch.setattr(near, "kept", lambda df, *by, **k: (out := kept(df, *by, **k), written.append(out.count()))[0])
+    assert [r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, docs, "").collect()] == [0]
+    assert written and max(written) < 80 * 79 / 4
