@@ -25,6 +25,12 @@ Pairs are never rows of a table: a block's are steps of codes in its own list of
 less than a byte a pair in a cluster, and of those verified only each set's number of links and a spanning
 forest of the block go on. A set's name leads with its least n-gram, so that near copies lie together.
 
+Where only classes are asked for (``classes``, ``deduplicated``), step 3 is preceded by a round of stars: of
+the sets with one least n-gram by some hash each is compared with one of them. That puts most of a cluster
+in one known class. Of the lists of step 4 just pairs of sets of different known classes go on, and
+frequencies of n-grams count each known class once, so a cluster's pairs are never listed. The classes are
+exact all the same: a pair left out joins two sets that are known to be connected.
+
 Equal sets are one node throughout, so groups of exact copies cost nothing and are never paired up.
 The result is a row for each document: its class and its number of links.
 
@@ -65,6 +71,8 @@ _LEVEL_BITS = 6
 PARITY_TEXT, LABEL_PAIRS = 192 << 20, 4_000_000
 #: Codes of pairs held in a task before those that repeat go.
 _HELD_CODES = 8_000_000
+#: Hashes by which sets with one least n-gram are compared with one of them.
+STARS = 8
 _PACKED = "block long, names binary, sizes binary, codes binary"
 _PACKED_SCHEMA = pa.schema([("block", pa.int64()), ("names", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
 
@@ -120,8 +128,8 @@ class _Once:
         return hashes[chosen], owner[chosen], key[new]
 
 
-def _survey(n: int, t: float):
-    """Rows (0, n-gram, count) of n-grams frequent in a slice of this task; (1, set, doc_id); (2, set, 0) of sets with too few n-grams in the sieve.
+def _survey(n: int, t: float, counting: bool = True):
+    """Unless ``counting`` is off, rows (0, n-gram, count) of n-grams frequent in a slice of this task; (1, set, doc_id); (2, set, 0) of sets with too few n-grams in the sieve.
 
     Of the n-grams that are rare in a slice, (3, n-gram, 1) for a share of their occurrences, so that
     those that are frequent over many slices show too.
@@ -150,6 +158,8 @@ def _survey(n: int, t: float):
             every, seen = (np.bincount(o, minlength=batch.num_rows)[at] for o in (owner, owner[hashes < _SIEVED]))
             free = key[seen <= every - np.ceil(t * every - 1e-9).astype(np.int64)]
             yield rows(2, free, np.zeros(len(free), np.int64))
+            if not counting:
+                continue
             held.append(hashes)
             size += len(hashes)
             if size >= _TASK_GRAMS:
@@ -250,7 +260,9 @@ def _ranked(hashes: np.ndarray, owner: np.ndarray, frequent: tuple[np.ndarray, n
     return ranked[order], owner[order], level[order]
 
 
-def _signatures(n: int, t: float, paired: int, n_buckets: int, frequent):
+def _signatures(n: int, t: float, paired: int, n_buckets: int, frequent, labelled: bool = False):
+    """The signatures of each set, packed by bucket; with ``labelled`` also the label of its text, by default its name."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, once = frequent.value, _Once()
         for batch in chunks(batches):
@@ -261,6 +273,8 @@ def _signatures(n: int, t: float, paired: int, n_buckets: int, frequent):
             heads = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
             size = np.diff(np.r_[heads, len(owner)])
             node = np.repeat(np.arange(len(heads)), size)
+            label = batch.column("label").take(pa.array(owner[heads])) if labelled else pa.nulls(len(heads), pa.int64())
+            label = np.where(label.is_valid().to_numpy(False), label.fill_null(0).to_numpy(), key.view(np.int64))
             place = np.arange(len(owner)) - heads[node]
             often = level >= np.log2(paired)
             rare = size - np.add.reduceat(often.astype(np.int64), heads)
@@ -284,13 +298,13 @@ def _signatures(n: int, t: float, paired: int, n_buckets: int, frequent):
             order = np.lexsort((of, bucket))
             bucket, sig, of = bucket[order], sig[order], of[order]
             edges = np.flatnonzero(np.diff(bucket)) + 1
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(5 + labelled)]
             for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(bucket)], strict=True):
                 own = of[lo:hi]
                 at = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
-                for k, v in enumerate((int(bucket[lo]), key[own[at]].tobytes(), size[own[at]].astype(np.uint32).tobytes(), np.diff(np.r_[at, hi - lo]).astype(np.uint32).tobytes(), sig[lo:hi].tobytes())):
+                for k, v in enumerate((int(bucket[lo]), key[own[at]].tobytes(), size[own[at]].astype(np.uint32).tobytes(), np.diff(np.r_[at, hi - lo]).astype(np.uint32).tobytes(), sig[lo:hi].tobytes(), *[label[own[at]].tobytes()] * labelled)):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "sets", "sizes", "counts", "sigs"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["bucket", "sets", "sizes", "counts", "sigs", *["labels"] * labelled])
 
     return run
 
@@ -449,6 +463,123 @@ def _listed(t: float, bounds: np.ndarray):
     return run
 
 
+def _ragged(first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k, place) for count[k] places from first[k] on, about ``_HELD_PAIRS`` at a time."""
+    ends, at = np.cumsum(count), 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _HELD_PAIRS, "right")))
+        c = count[at:to]
+        k = np.repeat(np.arange(at, to), c)
+        yield k, first[k] + np.arange(len(k)) - np.repeat(np.cumsum(c) - c, c)
+        at = to
+
+
+def _crossed(t: float, bounds: np.ndarray):
+    """As ``_listed``, but only of pairs of sets of different labels.
+
+    In a list, the sets that haven't its commonest label meet the others; a list of one label has no pairs.
+    """
+
+    def blocked(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        swap = a.view(np.int64) > b.view(np.int64)
+        a, b, n, m = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, m, n), np.where(swap, n, m)
+        x, y = (np.searchsorted(bounds, k, "right") for k in (a, b))
+        return _packed_pairs(np.minimum(x, y) * (len(bounds) + 1) + np.maximum(x, y), a, b, n, m)
+
+    def run(bucket: pa.Table) -> pa.Table:
+        sigs = _joined(bucket["sigs"], np.uint64)
+        of = np.repeat(np.arange(sum(len(x.as_py()) for x in bucket["sets"]) // 8), _joined(bucket["counts"], np.uint32))
+        key, label, size = _joined(bucket["sets"], np.uint64)[of], _joined(bucket["labels"], np.int64)[of], _joined(bucket["sizes"], np.uint32)[of].astype(np.int64)
+        name, index = sigs >> np.uint64(1), (sigs & np.uint64(1)).astype(bool)
+        order = np.lexsort((label, name))
+        # The commonest label of each name.
+        new = np.r_[True, np.diff(name[order]) != 0] if len(name) else np.zeros(0, bool)
+        runs = np.flatnonzero(new | np.r_[True, np.diff(label[order]) != 0]) if len(name) else np.zeros(0, np.int64)
+        length, which = np.diff(np.r_[runs, len(name)]), (np.cumsum(new) - 1)[runs]
+        most = np.lexsort((length, which))
+        most = most[np.r_[np.diff(which[most]) != 0, True]] if len(most) else most
+        several, lists = np.bincount(which) > 1, np.empty(len(name), np.int64)
+        lists[order] = np.cumsum(new) - 1
+        main = label == label[order][runs[most]][lists]
+        there = np.flatnonzero(several[lists]) if len(name) else np.zeros(0, np.int64)
+        there = there[np.lexsort((key[there], size[there], lists[there]))]
+        lists, key, label, size, index, main = (x[there] for x in (lists, key, label, size, index, main))
+        if len(key):
+            new = np.r_[True, (lists[1:] != lists[:-1]) | (key[1:] != key[:-1])]
+            lists, key, label, size, index, main = (x[new] for x in (lists, key, label, size, index, main))
+        ranked, rest, led = lists << 32 | size, np.flatnonzero(~main), np.flatnonzero(main & index)
+        upto = np.searchsorted(ranked, lists[rest] << 32 | np.floor((size[rest] + 1e-9) / t).astype(np.int64), "right")
+        after = np.where(index[rest], upto - rest - 1, 0)
+        low = np.searchsorted(led, np.searchsorted(ranked, lists[rest] << 32 | np.ceil(size[rest] * t - 1e-9).astype(np.int64)))
+        before = np.searchsorted(led, rest) - low
+        pairs = np.bincount(lists[rest], after + before, int(lists.max()) + 1 if len(lists) else 0)
+        long = pairs > LONG_LIST**2
+        rows: list[tuple] = []
+        flagged = (size.astype(np.uint32) << np.uint32(1)) | index
+        for k in np.flatnonzero(long):
+            lo, hi = np.searchsorted(lists, [k, k + 1])
+            own, other = ([x[i : i + LONG_LIST // 2] for i in range(0, len(x), LONG_LIST // 2)] for x in (lo + np.flatnonzero(~main[lo:hi]), lo + np.flatnonzero(main[lo:hi])))
+            meet = [(x, y) for i, x in enumerate(own) for y in own[i:]] + [p for x in own for y in other for p in ((x, y), (y, x))]
+            for x, y in meet:
+                if size[y[0]] * t <= size[x[-1]] + 1e-9 and index[x].any():
+                    rows.append((None, key[x].tobytes(), key[y].tobytes() if x is not y else b"", flagged[x].tobytes(), size[y].astype(np.uint32).tobytes() if x is not y else b""))
+        out = []
+        short = ~long[lists[rest]]
+        rest, after, low, before = rest[short], after[short], low[short], before[short]
+        for k, y in _ragged(rest + 1, after):
+            x = rest[k]
+            good = label[x] != label[y]
+            out.append(blocked(key[x[good]], key[y[good]], size[x[good]], size[y[good]]))
+        for k, place in _ragged(low, before):
+            x, y = led[place], rest[k]
+            out.append(blocked(key[x], key[y], size[x], size[y]))
+        made = pa.Table.from_batches(out, _PACKED_SCHEMA)
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        pieces = pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), *[pa.binary()] * 4), strict=True)], [*_PACKED_SCHEMA.names, "m"])
+        return pa.concat_tables([made.append_column("m", pa.nulls(len(made), pa.binary())), pieces])
+
+    return run
+
+
+def _minima(n: int, n_buckets: int):
+    """Of each set its least n-gram by each of ``STARS`` hashes, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = _Once()
+        for batch in chunks(batches):
+            hashes, owner, key = once.only(*_sets(batch, n))
+            if not len(hashes):
+                continue
+            heads = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
+            size = np.tile(np.diff(np.r_[heads, len(owner)]), STARS).astype(np.uint32)
+            least = np.concatenate([mix(np.minimum.reduceat(mix(hashes + np.uint64(k + 1 << 40)), heads) + np.uint64(k)) for k in range(STARS)])
+            key, bucket = np.tile(key, STARS), (least >> np.uint64(40)) % np.uint64(n_buckets)
+            chosen = np.unique(bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(chosen.astype(np.int32)), *(pa.array([x[bucket == b].tobytes() for b in chosen], pa.binary()) for x in (key, size, least))], ["bucket", "sets", "sizes", "least"])
+
+    return run
+
+
+def _stars(t: float, bounds: np.ndarray):
+    """Of one bucket: of the sets with one least n-gram one with each of the others, where their sizes allow it, packed by the ranges of names that they lie in."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        key, size, least = _joined(bucket["sets"], np.uint64), _joined(bucket["sizes"], np.uint32), _joined(bucket["least"], np.uint64)
+        order = np.lexsort((mix(key ^ least), least))
+        key, size, least = key[order], size[order], least[order]
+        heads = np.r_[0, np.flatnonzero(np.diff(least)) + 1] if len(least) else np.zeros(0, np.int64)
+        first = np.repeat(heads, np.diff(np.r_[heads, len(least)]))
+        n, m = size.astype(np.int64), size[first].astype(np.int64)
+        good = (key != key[first]) & (np.minimum(n, m) >= np.maximum(n, m) * t - 1e-9)
+        a, b = key[first[good]].view(np.int64), key[good].view(np.int64)
+        swap, n, m = a > b, m[good], n[good]
+        a, b, n, m = np.where(swap, b, a).view(np.uint64), np.where(swap, a, b).view(np.uint64), np.where(swap, m, n), np.where(swap, n, m)
+        x, y = (np.searchsorted(bounds, k, "right") for k in (a, b))
+        return pa.Table.from_batches([_packed_pairs(np.minimum(x, y) * (len(bounds) + 1) + np.maximum(x, y), a, b, n, m)], _PACKED_SCHEMA)
+
+    return run
+
+
 def _merged(group: pa.Table) -> pa.Table:
     """The pairs of a block, each once, as one row."""
     every, at = np.unique(_joined(group["names"], np.uint64), return_index=True)
@@ -514,6 +645,33 @@ def _passed(t: float):
     return run
 
 
+def _rooted(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The least node that each node is connected with by the pairs i, j; at first each node's own number."""
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return new
+        label = new
+
+
+def _forest(t: float):
+    """(kind, a, b, n) as ``_linked`` has, but only a spanning forest of a block's pairs of at least the threshold."""
+
+    def run(rows: pa.Table, sets: pa.Table) -> pa.Table:
+        found = _verified(t)(rows, sets)
+        a, b = found["a"].to_numpy(), found["b"].to_numpy()
+        name = np.unique(np.r_[a, b])
+        label = _rooted(np.searchsorted(name, a), np.searchsorted(name, b), np.arange(len(name)))
+        tree = label < np.arange(len(name))
+        k = int(tree.sum())
+        return pa.table([pa.array(x) for x in (np.ones(k, np.int32), name[tree], name[label[tree]], np.zeros(k, np.int64))], ["kind", "a", "b", "n"])
+
+    return run
+
+
 def _linked(t: float):
     """Of a block's pairs of at least the threshold: rows of kind 0 (a, 0, n) hold the documents that sets are linked with there; 1 (a, b, 0) a spanning forest; 2 (a, b, 0) the links of two sets that both share documents with other sets, which have negative numbers of documents."""
 
@@ -524,14 +682,7 @@ def _linked(t: float):
         docs = sets["docs"].to_numpy()[at]
         i, j, label = np.searchsorted(name, a), np.searchsorted(name, b), np.arange(len(name))
         near = np.bincount(i, np.abs(docs)[j], len(name)) + np.bincount(j, np.abs(docs)[i], len(name))
-        while True:
-            new = label.copy()
-            np.minimum.at(new, i, label[j])
-            np.minimum.at(new, j, label[i])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
+        label = _rooted(i, j, label)
         some, tree, both = near > 0, label < np.arange(len(name)), (docs[i] < 0) & (docs[j] < 0)
         columns = (np.r_[name[some], name[tree], a[both]], np.r_[np.zeros(some.sum(), np.int64), name[label[tree]], b[both]], np.r_[near[some].astype(np.int64), np.zeros(tree.sum() + both.sum(), np.int64)])
         kind = np.repeat(np.arange(3, dtype=np.int32), [some.sum(), tree.sum(), both.sum()])
@@ -694,17 +845,8 @@ def _met(texts: DataFrame, blocks: DataFrame, n: int, made, check, kind: str, do
     return blocks.groupBy("block").cogroup(sets.groupBy("to")).applyInArrow(check, kind)
 
 
-def _similar_sets(docs: DataFrame, n: int, t: float, paired: int, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(a, b, jaccard) of different sets, or unless ``whole`` the rows of ``_linked``; (set, doc_id) of all documents; (set, first, docs): each set's least doc_id and their number; (set, doc_id, b) of documents of several sets, of which b is one."""
-    if not 0.4 <= t <= 1:
-        raise ValueError("the threshold must be 0.4 to 1")
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    size = text_bytes(docs)
-    surveyed = stored(texts.mapInArrow(_survey(n, t), "kind int, a long, b long"), codec="zstd")
-    survey = spark.read.schema("kind int, a long, b long").parquet(surveyed)
-    members = kept(survey.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id")).distinct())
-    firsts = kept(members.groupBy("set").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")))
+def _frequent(survey: DataFrame, paired: int):
+    """The n-grams that are frequent, ascending, and the level of each, for all tasks."""
     counts = survey.where("kind in (0, 3)").groupBy("a").agg(F.sum(F.when(F.col("kind") == 0, F.col("b")).otherwise(0)).alias("n"), F.count_if(F.col("kind") == 3).alias("some"))
     counts = counts.select("a", (F.col("n") + F.when(F.col("some") >= 4, F.col("some") * SAMPLED).otherwise(0)).alias("n"))
     counts = kept(counts.where(F.col("n") >= min(16, paired)).select("a", F.floor(F.log2("n")).cast("int").alias("level")))
@@ -716,18 +858,49 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int, whole: bool) -
     got = counts.where(F.col("level") >= least).toArrow()
     names, levels = got["a"].to_numpy().view(np.uint64), got["level"].to_numpy().astype(np.uint8)
     order = np.argsort(names)
-    frequent = spark.sparkContext.broadcast((names[order], levels[order]))
+    return survey.sparkSession.sparkContext.broadcast((names[order], levels[order]))
+
+
+def _starred(texts: DataFrame, n: int, t: float, bounds: np.ndarray, size: int) -> DataFrame:
+    """The rows of ``_forest`` of some pairs: each set with one of those that have its least n-gram, by each of ``STARS`` hashes."""
+    least = texts.mapInArrow(_minima(n, buckets_for(size / 16)), "bucket int, sets binary, sizes binary, least binary")
+    pairs = kept(least.groupBy("bucket").applyInArrow(_stars(t, bounds), _PACKED).groupBy("block").applyInArrow(_merged, _PACKED))
+    released(texts.sparkSession)
+    return _met(texts, _blocks(pairs, 8), n, _steps, _forest(t), "kind int, a long, b long, n long")
+
+
+def _similar_sets(docs: DataFrame, n: int, t: float, paired: int, whole: bool, counted: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(a, b, jaccard) of different sets, or unless ``whole`` the rows of ``_linked``, unless ``counted`` those of ``_forest``; (set, doc_id) of all documents; (set, first, docs): each set's least doc_id and their number; (set, doc_id, b) of documents of several sets, of which b is one."""
+    if not 0.4 <= t <= 1:
+        raise ValueError("the threshold must be 0.4 to 1")
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
+    size = text_bytes(docs)
+    surveyed = stored(texts.mapInArrow(_survey(n, t, counted), "kind int, a long, b long"), codec="zstd")
+    survey = spark.read.schema("kind int, a long, b long").parquet(surveyed)
+    members = kept(survey.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id")).distinct())
+    firsts = kept(members.groupBy("set").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")))
+    frequent = _frequent(survey, paired) if counted else None
     sieved = texts.mapInArrow(_sieved(n, buckets_for(size)), "bucket int, sets binary, sizes binary, counts binary, grams binary")
     shared = sieved.groupBy("bucket").applyInArrow(_shared(buckets_for(size / 6)), "part int, rows binary")
     going = shared.groupBy("part").applyInArrow(_partnered(t), "set long").unionByName(survey.where("kind = 2").select(F.col("a").alias("set"))).distinct()
     chosen = kept(firsts.join(going, "set").groupBy(F.col("first").alias("__id")).agg(F.min("set").alias("set")))
     deleted(spark, surveyed)
-    del sieved, shared, going, survey, counts
+    del sieved, shared, going, survey
     released(spark)  # what the sieve exchanged
     texts = kept(texts.join(_small(chosen.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi"), codec="zstd")
     size, bounds = text_bytes(texts), _ranges(spark, texts, chosen)
-    packed = texts.mapInArrow(_signatures(n, t, paired, buckets_for(size * (1 - t) / 6 * 13), frequent), "bucket int, sets binary, sizes binary, counts binary, sigs binary")
-    listed = stored(packed.groupBy("bucket").applyInArrow(_listed(t, bounds), f"{_PACKED}, m binary"))
+    told, lists = texts, _listed
+    if not counted:
+        known = kept(_starred(texts, n, t, bounds, size))
+        labels = kept(chosen.join(components(known.select("a", "b")).select(F.col("node").alias("set"), "label"), "set"))
+        told, lists = texts.join(_small(labels), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "set", "label"), _crossed
+        surveyed = stored(told.where("label is null or label = set").select("doc_id", "text").mapInArrow(_survey(n, t), "kind int, a long, b long").where("kind in (0, 3)"), codec="zstd")
+        frequent = _frequent(spark.read.schema("kind int, a long, b long").parquet(surveyed), paired)
+        deleted(spark, surveyed)
+        released(spark)  # stars
+    packed = told.mapInArrow(_signatures(n, t, paired, buckets_for(size * (1 - t) / 6 * 13), frequent, not counted), "bucket int, sets binary, sizes binary, counts binary, sigs binary" + ", labels binary" * (not counted))
+    listed = stored(packed.groupBy("bucket").applyInArrow(lists(t, bounds), f"{_PACKED}, m binary"))
     del packed
     released(spark)  # signatures
     found = spark.read.schema(f"{_PACKED}, m binary").parquet(listed)
@@ -744,6 +917,8 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int, whole: bool) -
     several = kept(members.join(members.groupBy("doc_id").agg(F.count("*").alias("sets"), F.min("set").alias("b")).where("sets > 1").select("doc_id", "b"), "doc_id").select("set", "doc_id", "b"))  # documents of several sets
     if whole:
         return _met(texts, blocks, n, _steps, _verified(t), "a long, b long, jaccard double"), members, firsts, several
+    if not counted:
+        return _met(texts, blocks, n, _steps, _forest(t), "kind int, a long, b long, n long").unionByName(known), members, firsts, several
     docs = firsts.join(_small(several.select("set", F.lit(-1).alias("sign")).distinct()), "set", "left").select("set", (F.col("docs") * F.coalesce("sign", F.lit(1))).alias("docs"))
     return _met(texts, blocks, n, _steps, _linked(t), "kind int, a long, b long, n long", docs), members, firsts, several
 
@@ -788,7 +963,17 @@ def grouped(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, paired: i
     joins two texts of different documents: equal sets or sets of at least the threshold; links are
     counted by sets and their numbers of documents, so copies are never paired with one another.
     """
-    similar, members, firsts, several = _similar_sets(docs, n, threshold, paired, False)
+    return _classed(docs, n, threshold, paired, True)
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, paired: int = PAIRED) -> DataFrame:
+    """doc_id, class_id of every document, as ``grouped`` has them; pairs of sets that are known to be connected aren't compared."""
+    return _classed(docs, n, threshold, paired, False).select("doc_id", "class_id")
+
+
+def _classed(docs: DataFrame, n: int, threshold: float, paired: int, counted: bool) -> DataFrame:
+    """doc_id, class_id, n_links; unless ``counted``, the numbers of links are too low."""
+    similar, members, firsts, several = _similar_sets(docs, n, threshold, paired, False, counted)
     similar = kept(similar)
     near = similar.where("kind = 0").groupBy(F.col("a").alias("set")).agg(F.sum("n").alias("near"))
     label = components(similar.where("kind = 1").select("a", "b").unionByName(several.select(F.col("set").alias("a"), "b")))
@@ -813,7 +998,7 @@ def deduplicated(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     Rows that share a doc_id go or stay together; rows with a null doc_id stay. The ids to go are
     broadcast only where their count, which is taken, is small.
     """
-    gone = kept(grouped(docs, n, threshold).where("doc_id <> class_id").select("doc_id"))
+    gone = kept(classes(docs, n, threshold).where("doc_id <> class_id").select("doc_id"))
     rows, gone = docs.select(F.struct("*").alias("row")), gone.toDF("id")
     return rows.join(_small(gone), F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
 

@@ -86,3 +86,22 @@ def test_stage_of_near_copies_writes_no_row_a_pair(docs_of, spark, monkeypatch):
     monkeypatch.setattr(near, "kept", lambda df, *by, **k: (out := kept(df, *by, **k), written.append(out.count()))[0])
     assert [r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, docs, "").collect()] == [0]
     assert written and max(written) < 80 * 79 / 4
+
+
+def test_stage_of_near_copies_lists_few_pairs_of_a_cluster(docs_of, spark, monkeypatch):
+    """Of a cluster of different near copies the pairs that are written, packed ones too, are far fewer than there are."""
+    rng, pairs, stored = random.Random(14), [], near.stored
+    text = [f"w{rng.randrange(3000)}" for _ in range(60)]
+    docs = docs_of([(k, " ".join([*text, f"own{k}"])) for k in range(200)])
+
+    def counted(df, *by, **k):
+        path = stored(df, *by, **k)
+        if "codes" in df.columns:
+            rows = spark.read.parquet(path).where("block is not null").select("names", "sizes", "codes").toArrow()
+            pairs.append(sum(len(i) for _, _, i, _ in near._unpacked(rows)))
+        return path
+
+    monkeypatch.setattr(near, "stored", counted)
+    monkeypatch.setattr(near, "kept", lambda df, *by, **k: spark.read.schema(df.schema).parquet(counted(df, *by, **k)))
+    assert [r["doc_id"] for r in corpus_pipeline.one_of_near_copies(spark, docs, "").collect()] == [0]
+    assert pairs and max(pairs) < 200 * 199 / 8

@@ -184,6 +184,52 @@ def test_near_writes_no_row_a_pair(docs_of, monkeypatch):
     assert written and max(written) < 80 * 79 / 4
 
 
+@pytest.mark.parametrize(("paired", "long_list", "group", "stars"), [(4096, 2048, 2000, 8), (3, 2, 5, 1)])
+def test_near_classes_are_exact(docs_of, monkeypatch, paired, long_list, group, stars):
+    for name, value in (("LONG_LIST", long_list), ("GROUP_PAIRS", group), ("STARS", stars)):
+        monkeypatch.setattr(near, name, value)
+    monkeypatch.setattr(near, "_small", near._small if group > 5 else lambda rows: rows)
+    rows = near_rows(paired + 1)
+    got = {r["doc_id"]: r["class_id"] for r in near.classes(docs_of(rows), paired=paired).collect()}
+    assert got == {k: c for k, (c, _) in brute_groups(rows).items()}
+
+
+def test_near_classes_of_nothing(docs_of):
+    assert near.classes(docs_of([(1, "a")]).limit(0)).count() == 0
+    assert [tuple(r) for r in near.classes(docs_of([(1, None), (1, ""), (None, "a")])).collect()] == [(1, 1)]
+
+
+@pytest.mark.parametrize("long_list", [1000, 6])
+def test_near_lists_give_the_pairs_of_different_labels(monkeypatch, long_list):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(near, "LONG_LIST", long_list)
+    monkeypatch.setattr(near, "_HELD_PAIRS", 50)
+    key, size = np.arange(1, 121).astype(np.uint64) << np.uint64(40), rng.integers(5, 15, 120).astype(np.uint32)
+    label = np.where(rng.random(120) < 0.6, 3, rng.integers(4, 9, 120))
+    label[:20] = 3
+    lists = {77: np.arange(20), 78: np.arange(120), 79: np.arange(40, 60), 80: np.arange(15, 30)}  # the first is of one label
+    of = np.r_[tuple(lists.values())]
+    index = rng.random(len(of)) < 0.6
+    sig = np.repeat([*lists], [len(x) for x in lists.values()]).astype(np.uint64) << np.uint64(1) | index.astype(np.uint64)
+    order = np.argsort(of, kind="stable")
+    bucket = pa.table([[x.tobytes()] for x in (key, size, np.bincount(of).astype(np.uint32), sig[order], label)], ["sets", "sizes", "counts", "sigs", "labels"])
+    bounds, first = key[40:41], dict(zip(zip(sig >> np.uint64(1), of, strict=True), index, strict=True))
+    found = near._crossed(0.5, bounds)(bucket)
+    pieces = found.filter(pa.array([k is None for k in found["block"].to_pylist()])).select(["names", "sizes", "codes", "m"]).rename_columns(["a", "b", "n", "m"])
+    blocks = found.filter(pa.array([k is not None for k in found["block"].to_pylist()]))
+    got = {(a, b) for names, _, i, j in near._unpacked(blocks) for a, b in zip(names[i].tolist(), names[j].tolist(), strict=True)}
+    for b in near._expanded(0.5)(iter(pieces.add_column(0, "kind", pa.array(np.ones(len(pieces), np.int32))).to_batches())):
+        got |= set(zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True))
+    want = set()
+    for k, sets in lists.items():
+        for x, y in combinations(sets, 2):
+            (_, _, x), (_, _, y) = sorted((size[z], key[z], z) for z in (x, y))
+            if label[x] != label[y] and first[k, x] and size[y] * 0.5 <= size[x]:
+                want.add(tuple(sorted((int(key[x]), int(key[y])))))
+    assert (len(pieces) > 0) == (long_list == 6)
+    assert want and (got >= want if len(pieces) else got == want)
+
+
 def test_near_survey_sees_what_is_rare_in_each_slice(monkeypatch):
     """An n-gram once in each slice, never frequent in one, is still told from the sample."""
     monkeypatch.setattr(near, "_TASK_GRAMS", 50)
