@@ -25,11 +25,13 @@ Pairs are never rows of a table: a block's are steps of codes in its own list of
 less than a byte a pair in a cluster, and of those verified only each set's number of links and a spanning
 forest of the block go on. A set's name leads with its least n-gram, so that near copies lie together.
 
-Where only classes are asked for (``classes``, ``deduplicated``), step 3 is preceded by a round of stars: of
-the sets with one least n-gram by some hash each is compared with one of them. That puts most of a cluster
-in one known class. Of the lists of step 4 just pairs of sets of different known classes go on, and
-frequencies of n-grams count each known class once, so a cluster's pairs are never listed. The classes are
-exact all the same: a pair left out joins two sets that are known to be connected.
+Before step 3 comes a round of stars: of the sets with one least n-gram by some hash each is compared
+with one of them. That puts most of a cluster in one known class. Of the lists of step 4 just pairs of sets
+of different known classes go on, and frequencies of n-grams count each known class once, so a cluster's
+pairs are never listed. Where only classes are asked for (``classes``, ``deduplicated``) that is all: a pair
+left out joins two sets that are known to be connected. For the links (``grouped``) the sets of a known
+class meet each other directly, in blocks of bounded size in which products of matrices count what all pairs
+have in common, so only numbers of links are written. ``links`` alone lists all pairs.
 
 Equal sets are one node throughout, so groups of exact copies cost nothing and are never paired up.
 The result is a row for each document: its class and its number of links.
@@ -73,6 +75,10 @@ PARITY_TEXT, LABEL_PAIRS = 192 << 20, 4_000_000
 _HELD_CODES = 8_000_000
 #: Hashes by which sets with one least n-gram are compared with one of them.
 STARS = 8
+#: Sets of a part of a known class, of which two meet in a task; how far apart the parts are that meet in a round.
+PART_SETS, ROUND = 8192, 2
+#: Pairs of sets that are counted at once; bytes of a matrix; the share of the sets from which an n-gram has a column of its own.
+_CELLS, _MATRIX_BYTES, _DENSE = 4 << 20, 32 << 20, 64
 _PACKED = "block long, names binary, sizes binary, codes binary"
 _PACKED_SCHEMA = pa.schema([("block", pa.int64()), ("names", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
 
@@ -128,6 +134,23 @@ class _Once:
         return hashes[chosen], owner[chosen], key[new]
 
 
+def _labelled(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams and texts of the sets that a document answers for, and the place of each set in the flat list of those.
+
+    ``sets`` lists those of a document; one without a list answers for all of its sets, which have the place -1.
+    """
+    hashes, owner = _sets(batch, n)
+    at, key = _keys(hashes, owner)
+    listed = batch.column("sets")
+    place, known, free = {int(x): k for k, x in enumerate(listed.flatten().to_numpy())}, np.full(len(key), -1), listed.is_null().to_numpy(False)[at]
+    if place:
+        known = np.array([place.get(x, -1) for x in key.view(np.int64).tolist()], np.int64)
+    mine = (known >= 0) | free
+    sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, np.diff(owner) != 0]), len(owner)]) if len(owner) else np.zeros(0, np.int64)
+    every = np.repeat(mine, sizes)
+    return hashes[every], owner[every], known[mine]
+
+
 def _survey(n: int, t: float, counting: bool = True):
     """Unless ``counting`` is off, rows (0, n-gram, count) of n-grams frequent in a slice of this task; (1, set, doc_id); (2, set, 0) of sets with too few n-grams in the sieve.
 
@@ -261,20 +284,26 @@ def _ranked(hashes: np.ndarray, owner: np.ndarray, frequent: tuple[np.ndarray, n
 
 
 def _signatures(n: int, t: float, paired: int, n_buckets: int, frequent, labelled: bool = False):
-    """The signatures of each set, packed by bucket; with ``labelled`` also the label of its text, by default its name."""
+    """The signatures of each set, packed by bucket; with ``labelled`` also its label, by default its name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, once = frequent.value, _Once()
         for batch in chunks(batches):
-            hashes, owner, key = once.only(*_sets(batch, n))
+            hashes, owner, *known = _labelled(batch, n) if labelled else _sets(batch, n)
+            every = _keys(hashes, owner)[1]
+            hashes, owner, key = once.only(hashes, owner)
             if not len(hashes):
                 continue
+            label = key.view(np.int64)
+            if labelled:  # of the sets that are new; what is told of one is the same everywhere
+                told = dict(zip(every.tolist(), known[0].tolist(), strict=True))
+                place = np.array([told[x] for x in key.tolist()], np.int64)
+                named = batch.column("labels").flatten().to_numpy()
+                label = np.where(place < 0, label, named[place] if len(named) else 0)
             ranked, owner, level = _ranked(hashes, owner, table)
             heads = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
             size = np.diff(np.r_[heads, len(owner)])
             node = np.repeat(np.arange(len(heads)), size)
-            label = batch.column("label").take(pa.array(owner[heads])) if labelled else pa.nulls(len(heads), pa.int64())
-            label = np.where(label.is_valid().to_numpy(False), label.fill_null(0).to_numpy(), key.view(np.int64))
             place = np.arange(len(owner)) - heads[node]
             often = level >= np.log2(paired)
             rare = size - np.add.reduceat(often.astype(np.int64), heads)
@@ -673,13 +702,19 @@ def _forest(t: float):
 
 
 def _linked(t: float):
-    """Of a block's pairs of at least the threshold: rows of kind 0 (a, 0, n) hold the documents that sets are linked with there; 1 (a, b, 0) a spanning forest; 2 (a, b, 0) the links of two sets that both share documents with other sets, which have negative numbers of documents."""
+    """Of a block's pairs of at least the threshold, but those of one known class: rows of kind 0 (a, 0, n) hold the documents that sets are linked with there; 1 (a, b, 0) a spanning forest; 2 (a, b, 0) the links of two sets that both share documents with other sets, which have negative numbers of documents."""
 
     def run(rows: pa.Table, sets: pa.Table) -> pa.Table:
-        found = _verified(t)(rows, sets)
-        a, b = found["a"].to_numpy(), found["b"].to_numpy()
         name, at = np.unique(sets["set"].to_numpy(), return_index=True)
-        docs = sets["docs"].to_numpy()[at]
+        docs, known, pairs = sets["docs"].to_numpy()[at], sets["label"].to_numpy()[at], []
+        for names, _, i, j in _unpacked(rows):
+            names = names.view(np.int64)
+            of = known[np.searchsorted(name, names)]
+            other = of[i] != of[j]  # pieces of long lists may hold pairs of one class, which are counted where that meets
+            pairs.append((names[i[other]], names[j[other]]))
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        found = _verify(t)(pa.table([pa.array(a), pa.array(b)], ["a", "b"]), sets)
+        a, b = found["a"].to_numpy(), found["b"].to_numpy()
         i, j, label = np.searchsorted(name, a), np.searchsorted(name, b), np.arange(len(name))
         near = np.bincount(i, np.abs(docs)[j], len(name)) + np.bincount(j, np.abs(docs)[i], len(name))
         label = _rooted(i, j, label)
@@ -691,6 +726,103 @@ def _linked(t: float):
     return run
 
 
+def _routed(n: int, groups: int, nearest: int, farthest: int):
+    """The sets of known classes, sent to where a part of a class meets another that is so far apart; small classes lie together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = _Once()
+        for batch in chunks(batches):
+            hashes, owner, known = _labelled(batch, n)
+            _, key = _keys(hashes, owner)
+            heads = np.r_[0, np.flatnonzero(np.diff(owner)) + 1, len(owner)] if len(owner) else np.zeros(1, np.int64)
+            label, parts, docs = (batch.column(c).flatten().to_numpy() for c in ("labels", "parts", "docs"))
+            chosen = np.flatnonzero((known >= 0) & once.new(key))
+            chosen = chosen[parts[known[chosen]] > 0] if len(chosen) else chosen
+            rows: list[tuple] = []
+            for k, at in zip(chosen.tolist(), known[chosen].tolist(), strict=True):
+                several, grams = int(parts[at]), None
+                own = int(mix(key[k : k + 1])[0] % np.uint64(several))
+                for other in range(several):
+                    if nearest <= abs(own - other) < farthest:
+                        grams = grams or _steps(hashes[heads[k] : heads[k + 1]])
+                        name = mix(label[at : at + 1].view(np.uint64))
+                        to = mix(mix(name + np.uint64(min(own, other))) + np.uint64(max(own, other))) if several > 1 else name % np.uint64(groups)
+                        rows.append((int(to.view(np.int64)[0]), int(key[k : k + 1].view(np.int64)[0]), int(label[at]), own, other, int(docs[at]), grams))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, (*[pa.int64()] * 6, pa.binary()), strict=True)], ["to", "set", "label", "part", "other", "docs", "grams"])
+
+    return run
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """How many n-grams each of some sets has in common with each of others: the place of the first of them, and a row for each.
+
+    N-grams that many sets have are columns of matrices; of the others the lists of sets are gone through.
+    """
+    sizes = np.array([len(x) for x in b])
+    grams, column, often = np.unique(np.concatenate(b), return_inverse=True, return_counts=True)
+    owner, order = np.repeat(np.arange(len(b)), sizes), np.argsort(column, kind="stable")
+    starts, dense = np.cumsum(often) - often, often * _DENSE >= len(b)
+    owner, columns = owner[order], np.flatnonzero(dense)
+    width = max(1, _MATRIX_BYTES // 4 // len(b))
+    step = max(1, _CELLS // len(b))
+    for first in range(0, len(a), step):
+        some = a[first : first + step]
+        row, flat = np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some)
+        place = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
+        there = grams[place] == flat
+        row, place = row[there], place[there]
+        out, big = np.zeros((len(some), len(b)), np.float32), dense[place]
+        for at in range(0, len(columns), width):
+            part = columns[at : at + width]
+            x, y = np.zeros((len(some), len(part)), np.float32), np.zeros((len(b), len(part)), np.float32)
+            mine = big & (place >= part[0]) & (place <= part[-1])
+            x[row[mine], np.searchsorted(part, place[mine])] = 1
+            for k, which in _ragged(starts[part], often[part]):
+                y[owner[which], k] = 1
+            out += x @ y.T
+        row, place = row[~big], place[~big]
+        for k, which in _ragged(starts[place], often[place]):
+            np.add.at(out, (row[k], owner[which]), 1)
+        yield first, out
+
+
+def _within(t: float):
+    """Of the sets of known classes that meet: rows of kinds 0 and 2 as ``_linked`` has them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        name, label, part, other, docs = (rows[c].to_numpy() for c in ("set", "label", "part", "other", "docs"))
+        at = np.unique(np.stack([label, name]), axis=1, return_index=True)[1]
+        at, grams = at[np.lexsort((part[at], label[at]))], rows["grams"].combine_chunks()
+        near, both = np.zeros(len(name), np.int64), []
+        for own in np.split(at, np.flatnonzero(np.diff(label[at])) + 1):
+            low, high = min(part[own[0]], other[own[0]]), max(part[own[0]], other[own[0]])
+            x, y = own[part[own] == low], own[part[own] == high]
+            if not len(x) or not len(y):
+                continue
+            sets = {k: np.cumsum(unplaned(grams[k].as_py(), 6), dtype=np.uint64) for k in own.tolist()}
+            n, m = (np.array([len(sets[k]) for k in z.tolist()]) for z in (x, y))
+            for first, common in _common([sets[k] for k in x.tolist()], [sets[k] for k in y.tolist()]):
+                some = x[first : first + len(common)]
+                good = common >= (n[first : first + len(common), None] + m) * ((t - 1e-9) / (1 + t - 1e-9))
+                if low == high:
+                    good[np.arange(len(some)), first + np.arange(len(some))] = False
+                else:
+                    near[y] += np.abs(docs[some]) @ good
+                near[some] += good @ np.abs(docs[y])
+                i, j = np.flatnonzero(docs[some] < 0), np.flatnonzero(docs[y] < 0)
+                if len(i) and len(j):
+                    k, l = np.nonzero(good[np.ix_(i, j)])  # noqa: E741
+                    a, b = name[some[i[k]]], name[y[j[l]]]
+                    both.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        both = np.unique(np.concatenate(both, axis=1), axis=1) if both else np.zeros((2, 0), np.int64)
+        some = near > 0
+        columns = (np.repeat(np.array([0, 2], np.int32), [some.sum(), both.shape[1]]), np.r_[name[some], both[0]], np.r_[np.zeros(some.sum(), np.int64), both[1]], np.r_[near[some], np.zeros(both.shape[1], np.int64)])
+        return pa.table([pa.array(c) for c in columns], ["kind", "a", "b", "n"])
+
+    return run
+
+
 def _verified(t: float):
     """(a, b, jaccard) of a block's pairs of at least the threshold."""
 
@@ -837,11 +969,11 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def _met(texts: DataFrame, blocks: DataFrame, n: int, made, check, kind: str, docs: DataFrame | None = None) -> DataFrame:
-    """What ``check`` says of each block's pairs, given what ``made`` makes of their sets, and by ``docs`` (set, docs) how many documents each has."""
+    """What ``check`` says of each block's pairs, given what ``made`` makes of their sets, and by ``docs`` (set, docs, label) how many documents each has, and its known class."""
     routes = blocks.mapInArrow(_names, "to long, set long").distinct()
     routes = kept(routes if docs is None else routes.join(_small(docs), "set"))
     # Equal sets are made once by each task, so they may come several times.
-    sets = texts.mapInArrow(_set_rows(n, made), "set long, grams binary").join(_small(routes), "set").select("to", "set", "grams", *([] if docs is None else ["docs"]))
+    sets = texts.mapInArrow(_set_rows(n, made), "set long, grams binary").join(_small(routes), "set").select("to", "set", "grams", *([] if docs is None else ["docs", "label"]))
     return blocks.groupBy("block").cogroup(sets.groupBy("to")).applyInArrow(check, kind)
 
 
@@ -869,6 +1001,18 @@ def _starred(texts: DataFrame, n: int, t: float, bounds: np.ndarray, size: int)
     return _met(texts, _blocks(pairs, 8), n, _steps, _forest(t), "kind int, a long, b long, n long")
 
 
+def _counted_within(told: DataFrame, classes: DataFrame, n: int, t: float) -> DataFrame:
+    """Rows of kinds 0 and 2 as ``_linked`` has them, of all pairs in one known class; a round ships a set to ``2 * ROUND`` places at most."""
+    most, groups = classes.agg(F.max("parts"), F.sum(F.when(F.col("parts") == 1, F.col("share")))).first()
+    out = None
+    for nearest in range(0, most or 1, ROUND):
+        rows = told.where("sets is not null").mapInArrow(_routed(n, 1 + int(groups or 0), nearest, nearest + ROUND), "to long, set long, label long, part long, other long, docs long, grams binary")
+        made = kept(rows.groupBy("to").applyInArrow(_within(t), "kind int, a long, b long, n long"))
+        released(told.sparkSession)
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def _similar_sets(docs: DataFrame, n: int, t: float, paired: int, whole: bool, counted: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(a, b, jaccard) of different sets, or unless ``whole`` the rows of ``_linked``, unless ``counted`` those of ``_forest``; (set, doc_id) of all documents; (set, first, docs): each set's least doc_id and their number; (set, doc_id, b) of documents of several sets, of which b is one."""
     if not 0.4 <= t <= 1:
@@ -876,30 +1020,47 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int, whole: bool, c
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
     size = text_bytes(docs)
-    surveyed = stored(texts.mapInArrow(_survey(n, t, counted), "kind int, a long, b long"), codec="zstd")
+    surveyed = stored(texts.mapInArrow(_survey(n, t, whole), "kind int, a long, b long"), codec="zstd")
     survey = spark.read.schema("kind int, a long, b long").parquet(surveyed)
     members = kept(survey.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id")).distinct())
     firsts = kept(members.groupBy("set").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")))
-    frequent = _frequent(survey, paired) if counted else None
+    frequent = _frequent(survey, paired) if whole else None
     sieved = texts.mapInArrow(_sieved(n, buckets_for(size)), "bucket int, sets binary, sizes binary, counts binary, grams binary")
     shared = sieved.groupBy("bucket").applyInArrow(_shared(buckets_for(size / 6)), "part int, rows binary")
     going = shared.groupBy("part").applyInArrow(_partnered(t), "set long").unionByName(survey.where("kind = 2").select(F.col("a").alias("set"))).distinct()
-    chosen = kept(firsts.join(going, "set").groupBy(F.col("first").alias("__id")).agg(F.min("set").alias("set")))
+    owned = kept(firsts.join(going, "set").select("set", "first", "docs"))
+    chosen = kept(owned.groupBy(F.col("first").alias("__id")).agg(F.min("set").alias("set")))
+    several = kept(members.join(members.groupBy("doc_id").agg(F.count("*").alias("sets"), F.min("set").alias("b")).where("sets > 1").select("doc_id", "b"), "doc_id").select("set", "doc_id", "b"))  # documents of several sets
     deleted(spark, surveyed)
     del sieved, shared, going, survey
     released(spark)  # what the sieve exchanged
-    texts = kept(texts.join(_small(chosen.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi"), codec="zstd")
+    going = stored(texts.join(_small(chosen.select("__id")), F.col("doc_id") == F.col("__id"), "left_semi"), codec="zstd")
+    texts = spark.read.schema(texts.schema).parquet(going)
     size, bounds = text_bytes(texts), _ranges(spark, texts, chosen)
-    told, lists = texts, _listed
-    if not counted:
+    signs, lists = F.col("docs") * F.coalesce("sign", F.lit(1)), _listed
+    docs = owned.join(_small(several.select("set", F.lit(-1).alias("sign")).distinct()), "set", "left").select("set", "first", signs.alias("docs"))
+    if not whole:
         known = kept(_starred(texts, n, t, bounds, size))
-        labels = kept(chosen.join(components(known.select("a", "b")).select(F.col("node").alias("set"), "label"), "set"))
-        told, lists = texts.join(_small(labels), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "set", "label"), _crossed
-        surveyed = stored(told.where("label is null or label = set").select("doc_id", "text").mapInArrow(_survey(n, t), "kind int, a long, b long").where("kind in (0, 3)"), codec="zstd")
+        labels = kept(docs.join(components(known.select("a", "b")).select(F.col("node").alias("set"), "label"), "set", "left"))
+        sizes = texts.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
+        classes = labels.where("label is not null").join(_small(sizes.withColumnRenamed("doc_id", "first")), "first") if counted else labels.limit(0).withColumn("size", F.lit(0))
+        classes = kept(classes.groupBy("label").agg(F.greatest(F.sum("size") / GROUP_BYTES, F.count("*") / PART_SETS).alias("share")).withColumn("parts", F.ceil("share").cast("int")))
+        named = kept(labels.select("set", "docs", F.coalesce("label", "set").alias("label"))) if counted else None
+        # Documents of one set without a label answer for it anyway.
+        labels = labels.join(_small(several.select(F.col("doc_id").alias("first"), F.lit(True).alias("shared")).distinct()), "first", "left").where("label is not null or shared").join(_small(classes.select("label", "parts")), "label", "left")
+        labels = labels.select(F.col("first").alias("__id"), F.struct("set", F.coalesce("label", "set").alias("label"), F.coalesce("parts", F.lit(0)).alias("parts"), "docs").alias("x")).groupBy("__id").agg(F.collect_list("x").alias("x"))
+        labels = kept(labels.select("__id", F.col("x.set").alias("sets"), F.col("x.label").alias("labels"), F.col("x.parts").alias("parts"), F.col("x.docs").alias("docs")))
+        told = kept(texts.join(_small(labels), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "sets", "labels", "parts", "docs"), codec="zstd")
+        deleted(spark, going)
+        texts, lists = told.select("doc_id", "text"), _crossed
+        released(spark)  # stars
+        within = _counted_within(told, classes, n, t) if counted else None
+        leads = F.exists(F.arrays_zip("sets", "labels"), lambda x: x["sets"] == x["labels"])
+        surveyed = stored(told.where(F.col("sets").isNull() | leads).select("doc_id", "text").mapInArrow(_survey(n, t), "kind int, a long, b long").where("kind in (0, 3)"), codec="zstd")
         frequent = _frequent(spark.read.schema("kind int, a long, b long").parquet(surveyed), paired)
         deleted(spark, surveyed)
-        released(spark)  # stars
-    packed = told.mapInArrow(_signatures(n, t, paired, buckets_for(size * (1 - t) / 6 * 13), frequent, not counted), "bucket int, sets binary, sizes binary, counts binary, sigs binary" + ", labels binary" * (not counted))
+        released(spark)  # what was surveyed
+    packed = (texts if whole else told).mapInArrow(_signatures(n, t, paired, buckets_for(size * (1 - t) / 6 * 13), frequent, not whole), "bucket int, sets binary, sizes binary, counts binary, sigs binary" + ", labels binary" * (not whole))
     listed = stored(packed.groupBy("bucket").applyInArrow(lists(t, bounds), f"{_PACKED}, m binary"))
     del packed
     released(spark)  # signatures
@@ -914,13 +1075,12 @@ def _similar_sets(docs: DataFrame, n: int, t: float, paired: int, whole: bool, c
     pairs = kept(_met(texts, pairs, n, _parity, _passed(t), _PACKED))
     released(spark)  # parities
     blocks = _blocks(pairs, 8)
-    several = kept(members.join(members.groupBy("doc_id").agg(F.count("*").alias("sets"), F.min("set").alias("b")).where("sets > 1").select("doc_id", "b"), "doc_id").select("set", "doc_id", "b"))  # documents of several sets
     if whole:
         return _met(texts, blocks, n, _steps, _verified(t), "a long, b long, jaccard double"), members, firsts, several
     if not counted:
         return _met(texts, blocks, n, _steps, _forest(t), "kind int, a long, b long, n long").unionByName(known), members, firsts, several
-    docs = firsts.join(_small(several.select("set", F.lit(-1).alias("sign")).distinct()), "set", "left").select("set", (F.col("docs") * F.coalesce("sign", F.lit(1))).alias("docs"))
-    return _met(texts, blocks, n, _steps, _linked(t), "kind int, a long, b long, n long", docs), members, firsts, several
+    linked = _met(texts, blocks, n, _steps, _linked(t), "kind int, a long, b long, n long", named)
+    return linked.unionByName(known).unionByName(within), members, firsts, several
 
 
 def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, paired: int = PAIRED) -> DataFrame:

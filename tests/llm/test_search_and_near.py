@@ -184,6 +184,43 @@ def test_near_writes_no_row_a_pair(docs_of, monkeypatch):
     assert written and max(written) < 80 * 79 / 4
 
 
+def test_near_counts_links_of_a_cluster_without_listing_its_pairs(docs_of, monkeypatch):
+    rng, listed, kept = random.Random(13), [], near.kept
+    text = words(rng, 60)
+    rows = [(k, " ".join([*text, f"own{k}"])) for k in range(80)]
+
+    def counted(df, *by, **k):
+        out = kept(df, *by, **k)
+        if "codes" in out.columns:
+            listed.append(sum(len(i) for _, _, i, _ in near._unpacked(out.toArrow())))
+        return out
+
+    monkeypatch.setattr(near, "kept", counted)
+    assert {tuple(r) for r in near.grouped(docs_of(rows)).collect()} == {(k, 0, 79) for k in range(80)}
+    assert listed and max(listed) <= near.STARS * 79
+
+
+@pytest.mark.parametrize(("sets", "round_", "cells", "dense", "stars"), [(8192, 2, 4 << 20, 64, 8), (4, 1, 7, 1, 3)])
+def test_near_links_within_known_classes_are_exact(docs_of, monkeypatch, sets, round_, cells, dense, stars):
+    for name, value in (("PART_SETS", sets), ("ROUND", round_), ("_CELLS", cells), ("_MATRIX_BYTES", cells * 8), ("_DENSE", dense), ("STARS", stars)):
+        monkeypatch.setattr(near, name, value)
+    rows = near_rows(sets)
+    rows += [(100, rows[20][1]), (90, rows[20][1]), (90, rows[21][1]), (91, rows[21][1]), (91, rows[22][1]), (91, rows[40][1])]  # several sets a document
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near.grouped(docs_of(rows)).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_near_common_counts(monkeypatch):
+    rng = np.random.default_rng(14)
+    monkeypatch.setattr(near, "_CELLS", 100)
+    monkeypatch.setattr(near, "_MATRIX_BYTES", 500)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(1, 40)) ** 2).astype(np.uint64) for _ in range(k)] for k in (30, 47))
+    for dense in (1, 3, 1000):
+        monkeypatch.setattr(near, "_DENSE", dense)
+        got = np.concatenate([x for _, x in near._common(a, b)])
+        assert (got == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
 @pytest.mark.parametrize(("paired", "long_list", "group", "stars"), [(4096, 2048, 2000, 8), (3, 2, 5, 1)])
 def test_near_classes_are_exact(docs_of, monkeypatch, paired, long_list, group, stars):
     for name, value in (("LONG_LIST", long_list), ("GROUP_PAIRS", group), ("STARS", stars)):
