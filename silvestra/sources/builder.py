@@ -21,6 +21,8 @@ from .dom import Node, rows_of
 from .xml import clean_locales, one_language, parsed, system_locales
 
 VERSION = "1"
+#: Documents that one task should parse.
+TASK_DOCS = 5000
 _ARROW = to_arrow_schema(NODES)
 
 
@@ -76,10 +78,18 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that documents are made of, over tasks of bounded work: files of short rows may be so small that one task would read all of them.
+
+    The rows are counted, which takes only the footers of files.
+    """
+    return rows.repartition(max(1, -(-rows.count() // TASK_DOCS)), key)
+
+
 def shredded(docs: DataFrame, rules: Rules | None = None, adapters: tuple[Adapter, ...] = (), fixups: tuple[Fixup, ...] = ()) -> DataFrame:
     """Node rows of many documents, each a silo of its own: silo_id, content (string or binary), and name if there is one.
 
-    One pass without an exchange. A null document has no rows; an invalid one raises, or with
+    One pass without an exchange, so tasks are those of ``docs`` (see ``spread``). A null document has no rows; an invalid one raises, or with
     ``ignore_invalid`` has none. Other columns are ignored.
     """
     rules = rules or Rules()
