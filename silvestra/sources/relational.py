@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 from ..schema import ATTRS, COLUMNS, NODES, in_path
 from ..store import written
 
-BUCKET_ROWS = 1_000_000
+#: Rows and bytes of text of a bucket of siblings below the root; rows of a task that joins or ranks the levels below.
+BUCKET_ROWS, BUCKET_TEXT, TASK_ROWS = 100_000, 32 << 20, 200_000
+#: Keys that are few enough to be sent to all tasks.
+FEW = 10_000
 
 
 @dataclass
@@ -41,6 +45,18 @@ class Level:
     below: Level | None = None
 
 
+def _tasks(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // TASK_ROWS))
+
+
+def _meeting(rows: DataFrame, few: DataFrame, mine: list[str], theirs: list[str], n: int, how: str = "inner") -> DataFrame:
+    """Rows joined with those of other keys in tasks of bounded size, whatever the number of shuffle partitions."""
+    on = reduce(Column.__and__, [F.col(a) == F.col(b) for a, b in zip(mine, theirs, strict=True)])
+    if few.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(few), on, how)
+    return rows.repartition(n, *mine).join(few.repartition(n, *theirs), on, how)
+
+
 def _prepared(level: Level, sums: DataFrame | None) -> DataFrame:
     """Keys k0.., parent keys p0.., attrs, text, leaf texts, and the size of each row's subtree; ``sums`` has those below by key."""
     pairs = [F.struct(F.lit(n).alias("name"), c.cast("string").alias("value")) for n, c in level.attrs.items()]
@@ -53,8 +69,8 @@ def _prepared(level: Level, sums: DataFrame | None) -> DataFrame:
     own = 1 + len(leaves)
     if sums is None:
         return rows.withColumn("size", F.lit(own).cast("long"))
-    on = reduce(Column.__and__, [F.col(f"k{k}") == F.col(f"c{k}") for k in range(len(level.key))])
-    rows = rows.join(sums, on, "left").withColumn("size", own + F.coalesce("below", F.lit(0)))
+    mine, theirs = ([f"{x}{k}" for k in range(len(level.key))] for x in "kc")
+    rows = _meeting(rows, sums, mine, theirs, _tasks(rows), "left").withColumn("size", own + F.coalesce("below", F.lit(0)))
     return written(rows.drop("below", *[f"c{k}" for k in range(len(level.key))]))  # read again for ids and for the level above
 
 
@@ -63,30 +79,42 @@ def _order(rows: DataFrame, keys: int) -> list:
     return [*[f"k{k}" for k in range(keys)], F.array_join(F.transform("attrs", lambda a: F.coalesce(a["value"], F.lit(""))), "\x01"), *extra]
 
 
-def ranked(rows: DataFrame, keys: int, first: str | None) -> DataFrame:
+def _place(key: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are not beyond the key, by chunks of bounds, so that few are looked at."""
+    step = max(1, round(len(bounds) ** 0.5))
+    chunks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    passed = lambda some: F.size(F.filter(some, lambda b: b <= key))
+    chunk = passed(F.array(*[F.lit(c[0]) for c in chunks]))
+    within = F.get(F.array(*[F.array(*map(F.lit, c)) for c in chunks]), chunk - 1)
+    return F.when(chunk == 0, F.lit(0)).otherwise((chunk - 1) * step + passed(within))
+
+
+def ranked(rows: DataFrame, keys: int, first: str | None, n: int | None = None) -> DataFrame:
     """rank (from 1) and before (the sizes of earlier siblings), and whether a row is the last.
 
-    Siblings share ``first``, a column with the parent's id; where it is None all rows are siblings.
+    Siblings share ``first``, a column with the parent's id, and are ranked in ``n`` tasks; where it is None all rows are siblings.
     """
     order, numeric = _order(rows, keys), dict(rows.dtypes)["k0"] in ("int", "bigint", "smallint", "double", "float")
     if first is not None:
-        by = W.partitionBy(first).orderBy(*order)
+        by, rows = W.partitionBy(first).orderBy(*order), rows if n is None else rows.repartition(n, first)
         return rows.withColumn("rank", F.row_number().over(by).cast("long")).withColumn("before", F.sum("size").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).withColumn("is_last", F.lead(F.lit(1)).over(by).isNull())
-    buckets = -(-rows.count() // BUCKET_ROWS)
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in rows.columns if c == "text" or c[0] == "l"]
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(reduce(Column.__add__, texts, F.lit(0))), F.lit(0))).first()
+    buckets = max(-(-count // BUCKET_ROWS), -(-size // BUCKET_TEXT))
     bounds = rows.agg(F.percentile_approx("k0", [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0] if buckets > 1 and numeric else []
     if buckets > 1 and not numeric:  # a sample of the keys, in order; any bounds are right
         bounds = [r["k0"] for r in rows.select("k0").where(F.pmod(F.xxhash64("k0"), F.lit(BUCKET_ROWS // 100 + 1)) == 0).distinct().orderBy("k0").collect()]
         bounds = bounds[:: max(1, len(bounds) // buckets)][1:]
     bounds = sorted(set(bounds))
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("k0"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", place)
+    spread = rows.withColumn("bucket", _place(F.col("k0"), bounds) if bounds else F.lit(0))
+    rows = spread.repartition(len(bounds) + 1, "bucket")
     by = W.partitionBy("bucket").orderBy(*order)
     rows = rows.withColumn("rank", F.row_number().over(by).cast("long")).withColumn("before", F.sum("size").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    sums = rows.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    all_before = W.orderBy("of").rowsBetween(W.unboundedPreceding, -1)  # one row a bucket
-    sums = sums.select("of", F.coalesce(F.sum("n").over(all_before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(all_before), F.lit(0)).alias("s0"), F.sum("n").over(W.partitionBy()).alias("n_all"))
-    rows = rows.join(F.broadcast(sums), F.col("bucket") == F.col("of"))
-    return rows.withColumn("rank", F.col("rank") + F.col("n0")).withColumn("before", F.col("before") + F.col("s0")).withColumn("is_last", F.col("rank") == F.col("n_all")).drop("bucket", "of", "n0", "s0", "n_all")
+    n0, s0 = [0] * (len(bounds) + 1), [0] * (len(bounds) + 1)  # one row a bucket
+    for r in spread.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect():
+        n0[r["bucket"]], s0[r["bucket"]] = r["n"], r["s"]
+    earlier = lambda x: F.get(F.array(*[F.lit(v).cast("long") for v in accumulate([0, *x[:-1]])]), F.col("bucket"))
+    return rows.withColumn("rank", F.col("rank") + earlier(n0)).withColumn("before", F.col("before") + earlier(s0)).withColumn("is_last", F.col("rank") == F.lit(sum(n0))).drop("bucket")
 
 
 def _nodes(rows: DataFrame, level: Level, path: str, depth: int, before: int, silo: str) -> DataFrame:
@@ -133,8 +161,9 @@ def tree(root: str, top: Level, silo: str = "silo") -> DataFrame:
     for k, (level, lower) in enumerate(zip(chain, chain[1:], strict=False), 1):
         keys, leaves = len(level.key), len(level.leaves)
         ups = rows.select(*[F.col(f"k{j}").alias(f"u{j}") for j in range(keys)], F.col("node_id").alias("parent_id"), F.concat("anc", F.array("node_id")).alias("anc"))
-        on = reduce(Column.__and__, [F.col(f"p{j}") == F.col(f"u{j}") for j in range(keys)])
-        rows = ranked(prepared[k].join(ups, on).drop(*[f"u{j}" for j in range(keys)]), len(lower.key), "parent_id")
+        mine, theirs = ([f"{x}{j}" for j in range(keys)] for x in "pu")
+        n = _tasks(prepared[k])
+        rows = ranked(_meeting(prepared[k], ups, mine, theirs, n).drop(*theirs), len(lower.key), "parent_id", n)
         rows = rows.withColumn("node_id", F.col("parent_id") + 1 + leaves + F.col("before"))
         rows = rows if lower.below is None else written(rows)
         path, depth = f"{path}/{in_path(lower.element)}", depth + 1
