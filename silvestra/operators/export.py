@@ -33,6 +33,49 @@ def _by_parent(rows: list[dict]) -> dict[int | None, list[dict]]:
     return kids
 
 
+def _streamed(rows: Iterator[dict], multiline: bool, indent: bool, collapse: bool, children_only: bool) -> str:
+    """The XML of one root's nodes, which come in the order of the document: only the open elements are held besides what is written."""
+    out: list[str] = []
+    pieces: list[str] = []
+    opened: list[dict] = []
+    line, fresh = "\n" if multiline else "", False  # whether the last element has no child so far
+
+    def pad() -> str:
+        return "  " * (len(opened) - children_only) if indent else ""
+
+    def close() -> None:
+        row = opened.pop()
+        if children_only and not opened:
+            return
+        tail = xml_escaped(row["tail"] or "")
+        if not fresh:
+            out.append(f"{pad()}</{row['element']}>{tail}{line}")
+        elif collapse and not row["text"]:
+            out.append(f" />{tail}{line}")
+        else:
+            out.append(f">{xml_escaped(row['text'] or '')}</{row['element']}>{tail}{line}")
+
+    for row in rows:
+        while opened and opened[-1]["node_id"] != row["parent_id"]:
+            close()
+            fresh = False
+        if not opened and row["node_id"] != row["__head"]:
+            continue
+        if opened and fresh:
+            out.append(f">{xml_escaped(opened[-1]['text'] or '')}{line}")
+        if opened or not children_only:
+            out.append(f"{pad()}<{row['element']}" + "".join(f' {a["name"]}="{xml_escaped(a["value"] or "")}"' for a in row["attrs"] or ()))
+            fresh = True
+        opened.append(row)
+        if len(out) > 10_000:
+            pieces.append("".join(out))
+            out.clear()
+    while opened:
+        close()
+        fresh = False
+    return "".join([*pieces, *out])
+
+
 def subtrees(nodes: DataFrame, roots: DataFrame, siblings: bool = False) -> DataFrame:
     """All nodes at or below each root, with the root's id as ``root_id``; with its later siblings on demand.
 
@@ -54,14 +97,14 @@ def subtrees(nodes: DataFrame, roots: DataFrame, siblings: bool = False) -> Data
     return lines.join(tops, (F.col("silo_id") == F.col("__silo")) & (F.col("__line") == F.col("__head"))).select(*COLUMNS, "root_id", "__head")
 
 
-def _by_root(rows: DataFrame, made: Callable[[list[dict]], str], name: str) -> DataFrame:
+def _by_root(rows: DataFrame, made: Callable[[Iterator[dict]], str], name: str) -> DataFrame:
     """silo_id, node_id and what is made of each root's nodes, which come as a sorted stream: many small subtrees share a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in batch.to_pylist())
         out: list[tuple] = []
         for (silo, root), group in groupby(rows, key=lambda r: (r["silo_id"], r["root_id"])):
-            out.append((silo, root, made(list(group))))
+            out.append((silo, root, made(group)))
             if len(out) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["silo_id", "node_id", name])
                 out = []
@@ -74,10 +117,8 @@ def _by_root(rows: DataFrame, made: Callable[[list[dict]], str], name: str) -> D
 def exported(nodes: DataFrame, roots: DataFrame, header: bool = False, multiline: bool = False, indent: bool = False, siblings: bool = False, children_only: bool = False, collapse: bool = False) -> DataFrame:
     """silo_id, node_id, xml of each root. ``children_only`` leaves the root's own tags out."""
 
-    def made(rows: list[dict]) -> str:
-        root, kids, tops = rows[0]["root_id"], _by_parent(rows), {r["__head"] for r in rows}
-        chosen = kids.get(root, []) if children_only else [r for r in rows if r["node_id"] in tops]
-        return (HEADER if header else "") + "".join(_element(r, kids, multiline, indent, collapse, 0) for r in chosen)
+    def made(rows: Iterator[dict]) -> str:
+        return (HEADER if header else "") + _streamed(rows, multiline, indent, collapse, children_only)
 
     wanted = subtrees(nodes, roots, siblings and not children_only).select("silo_id", "node_id", "parent_id", "element", "text", "tail", "attrs", "root_id", "__head")
     return _by_root(wanted, made, "xml")
@@ -102,7 +143,8 @@ def folded(nodes: DataFrame, roots: DataFrame, enter: Callable[[dict, list], boo
     both add strings to the list they are given, which are joined. One that returns True ends the fold.
     """
 
-    def made(rows: list[dict]) -> str:
+    def made(group: Iterator[dict]) -> str:
+        rows = list(group)
         kids, out, heads = _by_parent(rows), [], {r["__head"] for r in rows}
 
         def visit(row: dict) -> bool:
